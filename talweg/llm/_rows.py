@@ -91,11 +91,18 @@ class Words:
         power, inverse = _powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * power[:n], out=sums[1:])
+        self._sums, self._inverse = sums, inverse
         self.hash = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
         #: words of text i: first[i] to first[i + 1]
         self.first = np.searchsorted(self.starts, self.offsets)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
+    def stems(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the first n bytes of the words longer than that, and the words' numbers."""
+        at = np.flatnonzero(self.ends - self.starts > n)
+        first = self.starts[at]
+        return mix((self._sums[first + n] - self._sums[first]) * self._inverse[first] + np.uint64(n << 32)), at
+
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words, and the number of each run's first word; no run crosses texts."""
         n = len(self.hash) - k + 1
