@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,3 +24,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/talweg-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per context, so that their workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_talweg_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="talweg-")) / "talweg-code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._talweg_shipped = True
+
+
+def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow of a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

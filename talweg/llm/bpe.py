@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from talweg.llm._rows import decoded, narrow, rows
+from talweg.llm._shared import arrow_map
 
 #: A text is cut into pieces of about so many characters, so that no call holds all of a very long one.
 PIECE = 1 << 16
@@ -69,7 +70,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             ends = np.cumsum([0, *map(len, coded)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(coded))], ["doc_id", "ids"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return arrow_map(narrow(docs, id_col, text_col), run, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -82,7 +83,7 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
             bodies = [enc.decode_bytes(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(bodies, pa.binary())], ["doc_id", "body"])
 
-    return coded.select(id_col, ids_col).mapInArrow(run, "doc_id long, body binary")
+    return arrow_map(coded.select(id_col, ids_col), run, "doc_id long, body binary")
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
@@ -104,4 +105,4 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 b.append(hashlib.sha256(body).hexdigest() if digests else body)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string() if digests else pa.list_(pa.int32())), pa.array(b, pa.string() if digests else pa.binary())], ["doc_id", "n_tokens", *(x.split()[0] for x in kinds.split(", "))])
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, f"doc_id long, n_tokens long, {kinds}")
+    return arrow_map(narrow(docs, id_col, text_col), run, f"doc_id long, n_tokens long, {kinds}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from talweg.llm._rows import Words, mix, rows, text_bytes
-from talweg.llm._shared import stored
+from talweg.llm._shared import arrow_map, stored
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echo_words", "n_upper", "n_punct")
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -83,7 +83,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x, pa.int64()) for x in _counts(texts))], ["doc_id", "lang", "source", *_COUNTS])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), text_bytes(text_col).alias("body"))
-    return slim.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return arrow_map(slim, run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def base_failed() -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import bpe, quality, secret_scan, toxicity, urls
+from talweg.llm import bit_sliced, bpe, mixing, quality, secret_scan, sentence_spans, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,24 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_byte_bpe, op6_quality_rules, op7_url_filter, op9_toxicity)}
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by integer inner product of every vector whose id is divisible by 50."""
+    return bit_sliced.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the mix of sources to their tempered shares."""
+    mixed, _ = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", *(F.col(f"mix_.{c}").cast("long").alias(c) for c in ("lane", "block", "release", "deadline", "slot", "position")))
+
+
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that repeated spans cover."""
+    out = sentence_spans.dedup(_table(spark, sf_dir, "documents"))
+    removed = F.array_join(F.transform("removed", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "n_sentences", "n_removed", removed.alias("removed"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_byte_bpe, op4_exact_top_k, op6_quality_rules, op7_url_filter, op8_source_mix, op9_toxicity, op10_span_dedup)}
 
 ORACLES: dict[str, str] = {}

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from talweg.llm._rows import decoded, narrow, rows
+from talweg.llm._shared import arrow_map
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -130,4 +131,4 @@ def scan(docs: DataFrame, min_bits: float = 36.0, id_col: str = "doc_id", text_c
                 out.append(sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], ["doc_id", "spans"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, spans array<struct<kind string, start long, end long, bits double>>")
+    return arrow_map(narrow(docs, id_col, text_col), run, "doc_id long, spans array<struct<kind string, start long, end long, bits double>>")

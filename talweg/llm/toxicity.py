@@ -11,12 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm._rows import Words, narrow, rows
+from talweg.llm._shared import arrow_map
 
 #: Buckets of hashed terms and latent factors of each.
 BUCKETS, FACTORS = 1 << 18, 4
+#: Added to a count's variance, so that rare terms need more than chance to lean.
+SHRINK = 20.0
 #: Bytes of the word beginnings that are terms, too.
 STEMS = (4, 5)
-#: Hashed terms that the machine keeps: those whose label shares lean most, by z-score.
+#: Hashed terms that the machine keeps at most (else as many as toxic rows, 256 at least): those whose label shares lean most, by z-score.
 TERMS = 2048
 #: Labelled documents that training takes at most, for each label.
 SAMPLE = 5000
@@ -71,7 +74,7 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def fit(index: np.ndarray, first: np.ndarray, label: np.ndarray, share: float, steps: int = 60, rate: float = 0.08, l2: float = 1e-3, seed: int = 7) -> Machine:
     """Full-batch Adam on the logistic loss; share: of label 1 among all labelled rows, to which the bias is set back.
 
-    Terms in fewer than five rows or beyond the TERMS that lean most take no part. Without rows of both labels the score is the share everywhere.
+    Terms in fewer than five rows or beyond those that lean most take no part. Without rows of both labels the score is the share everywhere.
     """
     n, prior = len(label), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     empty = Machine(prior, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
@@ -81,8 +84,8 @@ def fit(index: np.ndarray, first: np.ndarray, label: np.ndarray, share: float, s
     toxic = np.bincount(index[np.repeat(label == 1, np.diff(first))], minlength=BUCKETS)
     part = label.sum() / n
     often = np.flatnonzero(hits >= 5)
-    lean = np.abs(toxic - part * hits)[often] / np.sqrt(hits[often] * part * (1 - part))
-    often = np.sort(often[np.lexsort((often, -lean))][:TERMS])
+    lean = np.abs(toxic - part * hits)[often] / np.sqrt(hits[often] * part * (1 - part) + SHRINK)
+    often = np.sort(often[np.lexsort((often, -lean))][: min(TERMS, max(256, int(label.sum())))])
     place = np.full(BUCKETS, -1)
     place[often] = np.arange(len(often))
     keep = place[index] >= 0
@@ -131,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             index, first = terms(bodies)
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.ListArray.from_arrays(first.astype(np.int32), index)], ["toxic", "terms"])
 
-    got = texts.mapInArrow(run, "toxic int, terms array<int>").toArrow()
+    got = arrow_map(texts, run, "toxic int, terms array<int>").toArrow()
     lists = got.column("terms").combine_chunks()
     index = np.asarray(lists.flatten(), np.int32)
     first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))]) if len(lists) else np.zeros(1, np.int64)
@@ -147,7 +150,7 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
         for ids, bodies in rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shared.value.score(*terms(bodies)))], ["doc_id", "score"])
 
-    return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return arrow_map(narrow(docs, id_col, text_col), run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float, text_col: str = "text") -> DataFrame:
@@ -164,4 +167,4 @@ def without_toxic(docs: DataFrame, machine: Machine, threshold: float, text_col:
                 yield batch.slice(done, len(ids)).filter(pa.array(keep))
                 done += len(ids)
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
