@@ -22,7 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends there, a lost executor costs no earlier work."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/talweg-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(clean, None)
+    conf.set(clean, "true")  # once the table is written, nothing reads the shuffles that made it
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(clean, before) if before else conf.unset(clean)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -86,23 +86,24 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     return arrow_map(coded.select(id_col, ids_col), run, "doc_id long, body binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
-    """Encodes and decodes in one pass: doc_id, n_tokens, then either ids_sha256 and decoded_sha256 or, without
-    digests, ids array<int> and decoded binary. Rows are independent, so nothing is shuffled and a lost executor
-    costs its tasks only."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256
+    (of the decoded bytes) and, if asked for, ids array<int>. Rows are independent, so nothing is shuffled and a lost executor
+    costs its tasks only. Null and empty texts have no tokens."""
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
-    kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
 
     def run(batches):
         enc = encoder(ranks.value, pattern)
         for keys, texts in rows(batches):
-            n, a, b = [], [], []
-            for t in texts:
-                ids = encode_text(enc, decoded(t))
-                body = enc.decode_bytes(ids)
-                n.append(len(ids))
-                a.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest() if digests else ids)
-                b.append(hashlib.sha256(body).hexdigest() if digests else body)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string() if digests else pa.list_(pa.int32())), pa.array(b, pa.string() if digests else pa.binary())], ["doc_id", "n_tokens", *(x.split()[0] for x in kinds.split(", "))])
-
-    return arrow_map(narrow(docs, id_col, text_col), run, f"doc_id long, n_tokens long, {kinds}")
+            coded = [encode_text(enc, decoded(t)) for t in texts]
+            columns = {
+                "doc_id": pa.array(keys, pa.int64()),
+                "n_tokens": pa.array(map(len, coded), pa.int64()),
+                "ids_sha256": pa.array(hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in coded),
+                "decoded_sha256": pa.array(hashlib.sha256(enc.decode_bytes(x)).hexdigest() for x in coded),
+            }
+            if with_ids:
+                columns["ids"] = pa.array(coded, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return arrow_map(narrow(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import bit_sliced, bpe, mixing, quality, secret_scan, sentence_spans, toxicity, urls
+from talweg.llm import bit_sliced, bpe, chosen_path, line_dedup, mixing, quality, secret_scan, sentence_spans, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,11 +32,21 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that it repeats, itself or after another one, exactly or nearly."""
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("lines_.n").alias("n_lines"), F.col("lines_.removed").alias("n_removed"), "text")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the 50k byte-level ranks, and the bytes that they decode to."""
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 5-word shingle similarity 0.75 or more."""
+    return chosen_path.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every document; thresholds come from its language's and source's sketches."""
     return quality.judge(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -73,6 +83,6 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", removed.alias("removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_byte_bpe, op4_exact_top_k, op6_quality_rules, op7_url_filter, op8_source_mix, op9_toxicity, op10_span_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_byte_bpe, op4_exact_top_k, op5_near_duplicates, op6_quality_rules, op7_url_filter, op8_source_mix, op9_toxicity, op10_span_dedup)}
 
 ORACLES: dict[str, str] = {}
