@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from talweg.plans import search, texts  # noqa: F401
+from talweg.plans._sql import ORACLES, QUERIES  # noqa: F401
