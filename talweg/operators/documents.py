@@ -88,7 +88,7 @@ def passages(docs: DataFrame) -> DataFrame:
     phone = rows(tel, "TELEPHONY", F.concat_ws(" ", F.col("establishment"), F.col("o.offer"), F.col("o.price"), F.col("o.benefits")), numeric.price(F.col("o.price")))
     tables = docs.select("doc_id", "establishment", F.posexplode("other_tables").alias("at", "t")).select("doc_id", "establishment", "at", "t.table_name", F.posexplode("t.data").alias("row", "cells")).withColumn("idx", F.col("at") * 1000 + F.col("row"))
     equipment = text.either(F.upper("table_name"), ("ONT", "ÉQUIPEMENT", "EQUIPEMENT", "MODEM"))
-    cells = F.array_join(F.transform(F.map_entries(F.map_filter("cells", lambda _, v: F.coalesce(v, F.lit("")) != "")), lambda e: F.concat_ws(": ", e["key"], e["value"])), ", ")
+    cells = F.array_join(F.transform(F.array_sort(F.map_entries(F.map_filter("cells", lambda _, v: F.coalesce(v, F.lit("")) != ""))), lambda e: F.concat_ws(": ", e["key"], e["value"])), ", ")
     other = rows(tables, F.when(equipment, "EQUIPMENT").otherwise("OTHER"), F.concat_ws(" - ", F.col("table_name"), cells))
     papers = docs.select("doc_id", F.posexplode(F.concat(text.listed(F.col("required_documents_new")), text.listed(F.col("required_documents_switch")))).alias("idx", "paper"))
     needed = rows(papers, "DOCUMENTS", F.col("paper"))

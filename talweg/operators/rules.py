@@ -46,7 +46,7 @@ def entity_filter(ranked: DataFrame, found: DataFrame) -> DataFrame:
 def word_in(query: Column, key: Column) -> Column:
     """Whether a key stands in a query as whole words."""
     side = r"[^\p{L}\p{N}_]"
-    return query.rlike(F.concat(F.lit(f"(^|{side})"), F.lit(r"\Q"), key, F.lit(r"\E"), F.lit(f"($|{side})")))
+    return F.rlike(query, F.concat(F.lit(f"(^|{side})"), F.lit(r"\Q"), key, F.lit(r"\E"), F.lit(f"($|{side})")))
 
 
 def tags(queries: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OFFER = T.StructType.fromDDL(
+OFFER = (
     "document_id string, language string, doc_type string, product_family string, technology array<string>, customer_segment array<string>, "
     "commitment_type string, usage_focus array<string>, metadata struct<title_ar: string, title_fr: string, company: string, version: string, effective_date: string>, "
     "offer_core struct<name_ar: string, name_fr: string, description_ar: string, description_fr: string, conditions_ar: array<string>, conditions_fr: array<string>, "
@@ -18,28 +18,32 @@ OFFER = T.StructType.fromDDL(
     "policy_summary struct<summary_ar: string, summary_fr: string>, faq_ar array<struct<question: string, answer: string>>, faq_fr array<struct<question: string, answer: string>>, "
     "contact struct<phone: string, email: string, notes_ar: string, notes_fr: string>, keywords_ar array<string>, keywords_fr array<string>, keywords array<string>, search_text string, dense_text_primary string"
 )
-GUIDE = T.StructType.fromDDL(
+GUIDE = (
     "id string, title string, system string, business_process string, filename string, relative_path string, language array<string>, date string, tags array<string>, "
     "summary string, prerequisites array<string>, s3_key string, sections array<struct<section_title: string, description: string, steps: array<struct<step_number: int, action: string, details: string, ui: string>>>>"
 )
-CONVENTION = T.StructType.fromDDL(
+CONVENTION = (
     "filename string, establishment string, beneficiaries string, purpose string, keywords array<string>, "
     "internet_offers_table array<struct<category_segment: string, offer_type: string, speed: string, price: string, benefits: string>>, telephony_offers_table array<struct<offer: string, price: string, benefits: string>>, "
     "other_tables array<struct<table_name: string, data: array<map<string, string>>>>, required_documents_new array<string>, required_documents_switch array<string>, notes array<string>"
 )
-CATALOGUE = T.StructType.fromDDL("s3_key string, filename string, category string, ext string, lang string")
+CATALOGUE = "s3_key string, filename string, category string, ext string, lang string"
 
 
-def json_objects(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _struct(schema: str | T.StructType) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def json_objects(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """One object, or one array of objects, per file, with the path of its file in `_file_path`; malformed files give no rows."""
-    full = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    full = T.StructType([*_struct(schema).fields, T.StructField("_bad", T.StringType())])
     rows = spark.read.schema(full).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
     return rows.select("*", F.col("_metadata.file_path").alias("_file_path")).filter("_bad is null").drop("_bad")
 
 
-def json_container(spark: SparkSession, path: str, schema: T.StructType, keys: tuple[str, ...] = ("queries", "products", "data")) -> DataFrame:
+def json_container(spark: SparkSession, path: str, schema: str | T.StructType, keys: tuple[str, ...] = ("queries", "products", "data")) -> DataFrame:
     """The objects of files that hold a list, an object with a list under one of the keys, or a single object."""
-    kind = schema.simpleString()
+    kind = _struct(schema).simpleString()
     outer = F.from_json("value", f"struct<{', '.join(f'`{k}`: array<{kind}>' for k in keys)}>")
     whole = spark.read.text(path, wholetext=True)
     listed = F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<{kind}>"))
