@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step holds at most, unless a single text is longer.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 
 
 def text_bytes(col: str) -> Column:

@@ -19,16 +19,22 @@ def shared_dir(spark: SparkSession) -> str:
     return known or f"file://{tempfile.gettempdir()}/talweg-shared"
 
 
+#: Once a table is written, nothing reads the shuffles that made it; small batches keep Python workers small.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends there, a lost executor costs no earlier work."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/talweg-{name}-{uuid.uuid4().hex}"
-    conf, clean = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(clean, None)
-    conf.set(clean, "true")  # once the table is written, nothing reads the shuffles that made it
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        conf.set(clean, before) if before else conf.unset(clean)
+        for k, v in before.items():
+            conf.set(k, v) if v else conf.unset(k)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +52,26 @@ def ship(spark: SparkSession) -> None:
     context._talweg_shipped = True
 
 
+def _lean(run: Callable) -> Callable:
+    """run, in a worker that gives freed memory back to the system: idle workers stay alive and would hold it."""
+
+    def lean(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+            if trim:
+                trim(0)
+
+    return lean
+
+
 def arrow_map(df: DataFrame, run: Callable, schema) -> DataFrame:
     """mapInArrow of a function of this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_lean(run), schema)
