@@ -38,6 +38,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """An aggregate that is to be joined on its own keys, dealt out anew before. Both sides of the join are then shuffled for the
+    join alone, and Spark can split a key that holds much of the other side."""
+    return df.hint("rebalance")
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once per context, so that their workers can import it wherever they run."""
     context = spark.sparkContext

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._shared import stored
+from talweg.llm._shared import apart, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: each larger neighbour b of a goes to the least of a and its neighbours
-        large = both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b").distinct()
+        large = both.filter("b > a").join(apart(least), "a").select(F.col("m").alias("a"), "b").distinct()
         # small star: a's smaller neighbours, and a, go to the least of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("v")).select(F.col("m").alias("a"), F.col("v").alias("b"))
+        small = large.join(apart(low), "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("v")).select(F.col("m").alias("a"), F.col("v").alias("b"))
         now = stored(ordered(small), "edges")
         last, seen = seen, mark(now)
         if seen == last:

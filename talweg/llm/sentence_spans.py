@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talweg.llm._rows import Words, mix, narrow, rows
 from talweg.llm._rows import _powers as powers
-from talweg.llm._shared import arrow_map
+from talweg.llm._shared import apart, arrow_map
 
 #: Sentences and words that a span has at least; it is the shortest run from its first sentence with both.
 RUN, LEAST = 3, 12
@@ -87,7 +87,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     found = arrow_map(narrow(docs, id_col, text_col).filter("doc_id is not null"), run, "hash long, doc_id long")
     first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").select("hash", "first_id")
-    return found.join(first, "hash").filter("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
+    return found.join(apart(first), "hash").filter("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

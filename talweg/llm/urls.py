@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._shared import stored
+from talweg.llm._shared import apart, stored
 
 #: Rules in no special order: (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -62,11 +62,11 @@ def templates(urls: DataFrame) -> DataFrame:
         node = child.groupBy("host", "done").agg(F.count("*").alias("kids"), F.sum(F.when(known, F.col("bad"))).alias("all_bad"), F.sum(F.when(known, F.col("lab"))).alias("all_lab"))
         share = F.col("all_bad") / F.col("all_lab")
         alike = F.abs(F.col("bad") / F.col("lab") - share) <= ERRORS * F.sqrt(share * (1 - share) / F.col("lab")) + 1e-9
-        named = child.join(node, ["host", "done"]).select("host", "done", "seg", F.when((F.col("kids") > CHILDREN) & (F.col("n") < SUPPORT), "*").when(known & alike, "~").otherwise(F.col("seg")).alias("name"))
-        tree = tree.join(named, ["host", "done", "seg"], "left").select("host", "shape", "n", "lab", "bad", F.concat("done", F.when(F.col("name").isNull(), "").otherwise(F.concat(F.lit("/"), "name"))).alias("done"))
+        named = child.join(apart(node), ["host", "done"]).select("host", "done", "seg", F.when((F.col("kids") > CHILDREN) & (F.col("n") < SUPPORT), "*").when(known & alike, "~").otherwise(F.col("seg")).alias("name"))
+        tree = tree.join(apart(named), ["host", "done", "seg"], "left").select("host", "shape", "n", "lab", "bad", F.concat("done", F.when(F.col("name").isNull(), "").otherwise(F.concat(F.lit("/"), "name"))).alias("done"))
         tree = stored(tree, "url-tree")
     total = tree.groupBy("host", "done").agg(F.sum("lab").alias("labelled"), F.sum("bad").alias("blocked"))
-    return tree.join(total, ["host", "done"]).select("host", "shape", F.col("done").alias("template"), "labelled", "blocked")
+    return tree.join(apart(total), ["host", "done"]).select("host", "shape", F.col("done").alias("template"), "labelled", "blocked")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
