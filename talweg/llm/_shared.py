@@ -38,6 +38,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table of stored() that nothing reads any more; what was made of it has been stored."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def apart(df: DataFrame) -> DataFrame:
     """An aggregate that is to be joined on its own keys, dealt out anew before. Both sides of the join are then shuffled for the
     join alone, and Spark can split a key that holds much of the other side."""
