@@ -19,8 +19,9 @@ BUCKETS, FACTORS = 1 << 18, 4
 SHRINK = 20.0
 #: Bytes of the word beginnings that are terms, too.
 STEMS = (4, 5)
-#: Hashed terms that the machine keeps at most (else as many as toxic rows, 256 at least): those whose label shares lean most, by z-score.
-TERMS = 2048
+#: Hashed terms that the machine keeps: those whose label shares lean by LEAN deviations, the FEWEST that lean most at least,
+#: TERMS at most.
+LEAN, FEWEST, TERMS = 2.0, 16, 2048
 #: Labelled documents that training takes at most, for each label.
 SAMPLE = 5000
 #: A-Z to a-z, and ASCII that is neither letter nor digit to a space.
@@ -85,7 +86,8 @@ def fit(index: np.ndarray, first: np.ndarray, label: np.ndarray, share: float, s
     part = label.sum() / n
     often = np.flatnonzero(hits >= 5)
     lean = np.abs(toxic - part * hits)[often] / np.sqrt(hits[often] * part * (1 - part) + SHRINK)
-    often = np.sort(often[np.lexsort((often, -lean))][: min(TERMS, max(256, int(label.sum())))])
+    order = np.lexsort((often, -lean))
+    often = np.sort(often[order][: min(TERMS, max(FEWEST, int((lean >= LEAN).sum())))])
     place = np.full(BUCKETS, -1)
     place[often] = np.arange(len(often))
     keep = place[index] >= 0
