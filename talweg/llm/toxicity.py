@@ -88,11 +88,12 @@ def fit(index: np.ndarray, first: np.ndarray, label: np.ndarray, share: float, s
     lean = np.abs(toxic - part * hits)[often] / np.sqrt(hits[often] * part * (1 - part) + SHRINK)
     order = np.lexsort((often, -lean))
     often = np.sort(often[order][: min(TERMS, max(FEWEST, int((lean >= LEAN).sum())))])
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, np.int32)
     place[often] = np.arange(len(often))
-    keep = place[index] >= 0
-    row = np.repeat(np.arange(n), np.diff(first))[keep]
-    col = place[index][keep]
+    col = place[index]
+    keep = col >= 0
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))[keep]
+    col = col[keep]
     first = np.searchsorted(row, np.arange(n + 1))
     balance = np.where(label == 1, 0.5 / label.sum(), 0.5 / (n - label.sum()))
     rng, d = np.random.default_rng(seed), len(often)
@@ -141,6 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     index = np.asarray(lists.flatten(), np.int32)
     first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))]) if len(lists) else np.zeros(1, np.int64)
     label = np.asarray(got.column("toxic").to_numpy(), np.float64)
+    del got, lists
     return fit(index, first, label, counts.get(1, 0) / max(1, sum(counts.values())))
 
 
