@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -136,6 +137,19 @@ def test_lines_equal_brute_force(spark, texts):
     assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == want
 
 
+def test_lines_with_one_word_replaced(spark):
+    rng, rows, sizes = random.Random(8), [], (10, 15, 20, 30, 50)
+    while len(rows) < 1000:
+        base = words(rng, sizes[len(rows) // 200])
+        other = edited(rng, base, 1)
+        a, b = (re.sub("[0-9]+", "0", " ".join(x)) for x in (base, other))
+        if 0 < distance(a, b) <= int(0.1 * max(len(a), len(b))):
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    gone = [r.doc_id for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("lines_.emptied").select("doc_id").collect()]
+    assert all(i % 2 for i in gone)
+    assert all(sum(i // 200 == k for i in gone) >= 95 for k in range(len(sizes)))
+
+
 def test_a_family_of_alike_lines(spark):
     rng = random.Random(1)
     base = words(rng, 400)
