@@ -150,6 +150,16 @@ def test_lines_with_one_word_replaced(spark):
     assert all(sum(i // 200 == k for i in gone) >= 95 for k in range(len(sizes)))
 
 
+def test_long_lines_with_many_edits(spark):
+    rng = random.Random(5)
+    base = words(rng, 4000)
+    other, far = ([x + "yyy" if rng.random() < share else x for x in base] for share in (0.06, 0.3))
+    rows = [(i, " ".join(x)) for i, x in enumerate((base, other, far))]
+    assert len(rows[1][1]) - len(rows[0][1]) > 500 and len(rows[2][1]) > 1.1 * len(rows[0][1])
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("lines_.emptied").collect()
+    assert [r.doc_id for r in got] == [1]
+
+
 def test_a_family_of_alike_lines(spark):
     rng = random.Random(1)
     base = words(rng, 400)
