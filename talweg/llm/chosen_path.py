@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -106,13 +108,14 @@ def _children(known: DataFrame) -> DataFrame:
     return arrow_map(known.select("node", "rep", "sketch"), run, "node long, rep long")
 
 
-def nodes(reps: DataFrame) -> DataFrame:
+def nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """(node, rep): the nodes that are to be compared, from (rep, n_shingles, sketch); nodes of the same documents count once.
 
     Levels go on while a node has more than SMALL documents. Nodes that still do after LEVELS levels are mostly alike; they are cut
-    by hash into parts of about SMALL documents, other ones in each tree, and the smallest document is in each part.
+    by hash into parts of about SMALL documents, other ones in each tree, and the smallest document is in each part. The second
+    table has these nodes whole (None without any), for what the parts leave unconnected.
     """
-    found = None
+    found = whole = None
     level = stored(_children(reps.withColumn("node", F.lit(None).cast("long"))), "paths")
     for depth in range(1, LEVELS + 1):
         sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("n > 1")
@@ -124,6 +127,7 @@ def nodes(reps: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         if depth == LEVELS:
+            whole = large.select("node", "rep")
             parts = F.ceil(F.col("n") / SMALL)
             cut = large.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), parts)).alias("node"), "rep")
             least = large.groupBy("node", "n").agg(F.min("rep").alias("rep"))
@@ -131,7 +135,31 @@ def nodes(reps: DataFrame) -> DataFrame:
             found = found.unionByName(cut.unionByName(least).distinct())
         else:
             level = stored(_children(large.join(reps, "rep")), "paths")
-    return found
+    return found, whole
+
+
+def blocks(large: DataFrame) -> DataFrame:
+    """large (node, rep, n_shingles, sketch, group) as nodes of about SMALL documents that hold every pair of a node's documents of
+    different groups and sizes alike enough: parts of bands of sizes, each with every part of its own band and the next one.
+
+    A link's sizes are in one band or in neighbouring ones, as a band spans slightly more than 1 / 0.75. Nodes of one
+    group are left out. The work is the square of what the parts of nodes() leave unconnected.
+    """
+    split = large.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("node")
+    large = large.join(apart(split), "node", "left_semi").withColumn("size_band", F.floor(F.log("n_shingles") / (1.0001 * math.log(100 / PERCENT))))
+    counts = large.groupBy("node", "size_band").agg(F.ceil(2 * F.count("*") / SMALL).alias("parts"))
+    above = counts.select("node", (F.col("size_band") - 1).alias("size_band"), F.col("parts").alias("above"))
+    below = counts.select("node", (F.col("size_band") + 1).alias("size_band"), F.col("parts").alias("below"))
+    sizes = counts.join(above, ["node", "size_band"], "left").join(below, ["node", "size_band"], "left")
+    rows = large.join(apart(sizes), ["node", "size_band"]).withColumn("part", F.pmod(F.xxhash64("group", "rep"), "parts"))
+
+    def others(n: str):
+        return F.when(F.col(n).isNull(), F.expr("cast(array() as array<bigint>)")).otherwise(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    own = F.transform(others("parts"), lambda i: F.xxhash64("node", "size_band", F.least("part", i), F.greatest("part", i), F.lit(0)))
+    up = F.transform(others("above"), lambda i: F.xxhash64("node", "size_band", "part", i, F.lit(1)))
+    down = F.transform(others("below"), lambda i: F.xxhash64("node", F.col("size_band") - 1, i, "part", F.lit(1)))
+    return rows.select(F.explode(F.concat(own, up, down)).alias("node"), "rep", "n_shingles", "sketch", "group")
 
 
 def forest(a: np.ndarray, b: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -284,7 +312,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with the same set are one class before anything is joined, so copies are never paired. Classes go down the trees. Of
     each node's candidates a spanning forest is confirmed on full sets; then the candidates that it leaves unconnected are, all of
-    them, so a large group takes pairs in proportion to its documents and loses no link that its nodes hold. Null and empty texts are linked with nothing; a null doc_id is kept
+    them, so a large group takes pairs in proportion to its documents and loses no link that its nodes hold; nodes that were cut
+    are compared part against part. Null and empty texts are linked with nothing; a null doc_id is kept
     and has no component; rows with the same id are one document whose links are those of any of its texts.
     """
     sketched = stored(sketch(docs, id_col, text_col), "sketches")
@@ -292,19 +321,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = full.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
     named = stored(full.select("doc_id", "one", "two", "n_shingles").join(apart(classes), ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "classes")
     reps = stored(full.join(named.filter("doc_id = rep").select("doc_id", "n_shingles"), ["doc_id", "n_shingles"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep"]), "reps")
-    members = stored(nodes(reps).join(reps, "rep"), "members")
+    small, large = nodes(reps)
+    members = stored(small.join(reps, "rep"), "members")
     # two texts under one id link their classes
     own = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high"))
     twice = named.join(own.filter("a <> high").select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     found, pairs = None, stored(_forests(members.withColumn("group", F.col("rep"))), "pairs")
-    if not pairs.isEmpty():
-        # every document with a candidate is in these pairs
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    if large is not None or not pairs.isEmpty():
+        # every document with a candidate is in these pairs or in a node that was cut
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        ids = (ids if large is None else ids.unionByName(large.select(F.col("rep").alias("doc_id")))).distinct()
         texts = stored(narrow(docs, id_col, text_col).join(ids, "doc_id", "left_semi"), "texts")
         tested = stored(_confirmed(pairs, texts), "links")
         found = tested.filter("link").select("a", "b")
         groups = graph.components(found).select(F.col("node").alias("rep"), F.col("component").alias("group"))
         grouped = stored(members.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep")), "members")
+        if large is not None:
+            whole_nodes = large.join(reps, "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+            grouped = grouped.unionByName(stored(blocks(whole_nodes), "blocks").select(grouped.columns))
         split = grouped.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("node")
         grouped = grouped.join(split, "node", "left_semi")
         rest = stored(_open(grouped), "open")

@@ -71,6 +71,27 @@ def test_large_nodes_are_branched_and_cut(spark, copies, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_links_across_the_parts_of_a_cut_node(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "SMALL", 8)
+    monkeypatch.setattr(chosen_path, "LEVELS", 1)
+    monkeypatch.setattr(chosen_path, "TREES", 1)
+    monkeypatch.setattr(chosen_path, "_ROOTS", chosen_path._ROOTS[:1])
+    rng = random.Random(6)
+    common = words(rng, 104)
+    # own words: 25 or more share 2/3 with any other document, 9 more than 3/4 with each other
+    docs = [(i, " ".join(common + words(rng, 9 if i % 20 == 7 else 40))) for i in range(200)]
+    want, _ = near(docs)
+    assert len(set(want.values())) == 191
+    at_root = {r.node: r.n for r in chosen_path._children(chosen_path.sketch(spark.createDataFrame(docs, "doc_id long, text string")).select(F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("rep"), "sketch")).groupBy("node").agg(F.collect_set("rep").alias("n")).collect()}
+    monkeypatch.setattr(chosen_path, "COMMON", 70)
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    together = max(at_root.values(), key=len)
+    short = sorted(i for i in together if i % 20 == 7)
+    assert len(together) > 100 and len(short) > 3
+    assert {got[i] for i in short} == {min(got[i] for i in short)}
+    assert all(got[i] in (i, want[i]) or got[i] in short for i, _ in docs)
+
+
 def test_heavy_nodes_are_confirmed_pair_by_pair(spark, copies, monkeypatch):
     monkeypatch.setattr(chosen_path, "HEAVY", 0)
     want, _ = near(copies)
