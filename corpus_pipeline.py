@@ -38,8 +38,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, digests and ids of every document."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    """doc_id, n_tokens, digests, ids and position of every document; positions grow in the order of the mix, which is the order
+    in which its files were written."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, place=mixing.written_place())
 
 
 STAGES = [("toxicity", toxic_filter), ("line dedup", repeated_lines), ("near dedup", near_copies), ("source mix", source_mix), ("byte-level BPE", token_ids)]

@@ -9,9 +9,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from talweg.llm._rows import decoded, narrow, rows
+from talweg.llm._rows import decoded, narrow, rows, text_bytes
 from talweg.llm._shared import arrow_map
 
 #: A text is cut into pieces of about so many characters, so that no call holds all of a very long one.
@@ -86,15 +87,18 @@ def decode(coded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     return arrow_map(coded.select(id_col, ids_col), run, "doc_id long, body binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, place: Column | None = None) -> DataFrame:
     """Encodes and decodes in one pass: doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256
     (of the decoded bytes) and, if asked for, ids array<int>. Rows are independent, so nothing is shuffled and a lost executor
-    costs its tasks only. Null and empty texts have no tokens."""
+    costs its tasks only. Null and empty texts have no tokens. place: a long of each row that comes out as `position`."""
+    placed = place is not None  # a Column cannot be sent along
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
     def run(batches):
         enc = encoder(ranks.value, pattern)
         for keys, texts in rows(batches):
+            if placed:
+                keys, places = ([k[c] for k in keys] for c in ("doc_id", "position"))
             coded = [encode_text(enc, decoded(t)) for t in texts]
             columns = {
                 "doc_id": pa.array(keys, pa.int64()),
@@ -102,8 +106,11 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
                 "ids_sha256": pa.array(hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in coded),
                 "decoded_sha256": pa.array(hashlib.sha256(enc.decode_bytes(x)).hexdigest() for x in coded),
             }
+            if placed:
+                columns["position"] = pa.array(places, pa.int64())
             if with_ids:
                 columns["ids"] = pa.array(coded, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(columns)
 
-    return arrow_map(narrow(docs, id_col, text_col), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    named = narrow(docs, id_col, text_col) if not placed else docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), place.alias("position")).alias("key"), text_bytes(text_col).alias("body"))
+    return arrow_map(named, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", position long" * placed + ", ids array<int>" * with_ids)

@@ -139,3 +139,11 @@ def in_order(mixed: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place: Column = F.floor(F.col("mix_.slot") * parts / max(1, slots)).cast("int")
     return mixed.repartitionById(parts, place).sortWithinPartitions("mix_.position").drop("mix_")
+
+
+def written_place() -> Column:
+    """Of a table of files, a long for each row that grows in the order in which the rows were written: the number of the part, of
+    its file and of the row in it. Files are read again by size, so the order of rows as read says nothing."""
+    name = F.col("_metadata.file_name")
+    part, file = (F.coalesce(F.regexp_extract(name, x, 1).try_cast("long"), F.lit(0).cast("long")) for x in ("^part-([0-9]+)", "-c([0-9]+)[.]"))
+    return F.shiftleft(part, 43) + F.shiftleft(file, 33) + F.col("_metadata.row_index")

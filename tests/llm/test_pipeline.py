@@ -5,7 +5,7 @@ from brute import near
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from talweg.llm import bpe, toxicity
+from talweg.llm import bpe, mixing, toxicity
 
 
 def test_stages_follow_each_other(spark, odd, tmp_path):
@@ -39,6 +39,16 @@ def test_one_of_each_group_stays(spark, tmp_path):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for c in want.values()}) == [0, 9]
 
 
+def test_the_order_of_the_mix_comes_out(spark, tmp_path):
+    rows = [(i, "word " * (1 + i * 37 % 400), "en", f"s{i % 7 % 3}", 1) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed, _ = mixing.mix(docs)
+    want = [r.doc_id for r in mixed.orderBy("mix_.position").select("doc_id").collect()]
+    pipeline.source_mix(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / "mixed"))
+    out = pipeline.token_ids(spark, spark.read.parquet(str(tmp_path / "mixed")), str(tmp_path)).collect()
+    assert [r.doc_id for r in sorted(out, key=lambda r: r.position)] == want and len({r.position for r in out}) == 700
+
+
 def test_toxic_documents_go_and_clean_ones_stay(spark, small):
     folder = small.replace("sf0.001", "sf0.1")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
