@@ -5,14 +5,17 @@ from __future__ import annotations
 import heapq
 import json
 import math
-from bisect import bisect_left
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Lanes at most: the largest sources have one each, all others share the last. Slots of a period.
-LANES, PERIOD = 256, 1024
+from talweg.llm._shared import stored
+
+#: Lanes at most: the largest sources have one each, all others share the last. Slots of a period: weights are whole
+#: multiples of 1 / PERIOD, so that even 2^26 blocks are not a hundredth of a block off.
+LANES, PERIOD = 256, 1 << 36
 #: Documents of a block.
 BLOCK = 16
 
@@ -32,8 +35,8 @@ def shares(weights: list[float], period: int) -> list[int]:
     return out
 
 
-def pattern(slots: list[int], period: int) -> list[list[int]]:
-    """One period: the slots of each lane, by earliest deadline first.
+def pattern(slots: list[int], period: int, left: list[int] | None = None) -> list[list[int]]:
+    """One period, or as much of it as a lane has blocks left: the slots of each lane, by earliest deadline first.
 
     Lane i's block j may run from floor(j * period / slots[i]) and before ceil((j + 1) * period / slots[i]). Shares add up to
     the period, so every slot is taken and every deadline met: no lane is ever a whole block off its target.
@@ -47,6 +50,8 @@ def pattern(slots: list[int], period: int) -> list[list[int]]:
             heapq.heappush(ready, (-(-(len(out[i]) + 1) * period // slots[i]), i))
         _, i = heapq.heappop(ready)
         out[i].append(slot)
+        if left and len(out[i]) == left[i]:
+            break
         if len(out[i]) < slots[i]:
             heapq.heappush(waiting, (len(out[i]) * period // slots[i], i))
     return out
@@ -54,28 +59,44 @@ def pattern(slots: list[int], period: int) -> list[list[int]]:
 
 def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[dict]:
     """Rows (lane, first, last, start, share, period, slots): in a phase, lane's blocks first to last - 1 run in slots
-    start + (r div share) * period + slots[r mod share], r = block - first.
+    start + (r div share) * period + slots[r mod share], r = block - first. No phase is longer than a period.
 
     A phase ends when a lane has no blocks left; the others go on with their weights in proportion.
     """
     done, start, out = [0] * len(blocks), 0, []
     while active := [i for i, n in enumerate(blocks) if done[i] < n]:
-        length = max(period, 4 * len(active))
+        length = max(period, PERIOD)
         share = shares([weights[i] for i in active], length)
-        slots = pattern(share, length)
-        left = [blocks[i] - done[i] - 1 for i in active]
-        end = 1 + min(r // p * length + s[r % p] for r, p, s in zip(left, share, slots, strict=True))
+        slots = pattern(share, length, [blocks[i] - done[i] for i in active])
+        end = sum(map(len, slots))
         for i, p, s in zip(active, share, slots, strict=True):
-            served = end // length * p + bisect_left(s, end % length)
-            if served:
-                out.append({"lane": i, "first": done[i], "last": done[i] + served, "start": start, "share": p, "period": length, "slots": s})
-            done[i] += served
+            if s:
+                out.append({"lane": i, "first": done[i], "last": done[i] + len(s), "start": start, "share": p, "period": length, "slots": s})
+            done[i] += len(s)
         start += end
     return out
 
 
+#: Blocks in a row of the plan, rows of it in one literal, and blocks of a plan that is broadcast.
+CHUNK, LITERAL, BROADCAST = 1024, 64, 1 << 18
+
+
+def placed(plan: list[dict]) -> list[dict]:
+    """Rows of phases() with the slot, release and deadline of each block, at most CHUNK blocks to a row."""
+    out = []
+    for p in plan:
+        for k in range(0, len(p["slots"]), CHUNK):
+            some = p["slots"][k : k + CHUNK]
+            windows = [(p["start"] + r * p["period"] // p["share"], p["start"] - (-(r + 1) * p["period"] // p["share"])) for r in range(k, k + len(some))]
+            out.append({"lane": p["lane"], "first": p["first"] + k, "slots": [p["start"] + s for s in some], "releases": [a for a, _ in windows], "deadlines": [b for _, b in windows]})
+    return out
+
+
 def _table(spark, rows: list[dict], kind: str) -> DataFrame:
-    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+    """A table of the driver's rows; in the shared folder if they are more than one literal's."""
+    parts = [rows[k : k + LITERAL] for k in range(0, len(rows), LITERAL)] or [[]]
+    frames = [spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(x)), f"array<struct<{kind}>>"))) for x in parts]
+    return frames[0] if len(frames) == 1 else stored(reduce(DataFrame.unionByName, frames), "mix-plan")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.7, block: int = BLOCK, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, int]:
@@ -86,7 +107,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     given); without any, row counts to the power `temperature`. The largest sources have a lane each, null being a source;
     beyond LANES - 1 the rest share one. In each phase, the blocks that a lane has had by any slot differ from its target by
     less than one. Rows are counted and numbered in buckets of a source's hash, never in one task per source. Counts of
-    at most LANES sources and their plan pass through the driver. An empty table gives no rows and 0 slots.
+    at most LANES sources and their plan, a slot for each block, pass through the driver. An empty table gives no rows and 0 slots.
     """
     spark = docs.sparkSession
     sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n"))
@@ -116,22 +137,23 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     groups = groups.groupBy(F.coalesce("lane", F.lit(last)).alias("lane"), F.pmod("key", F.coalesce("buckets", F.lit(max(1, math.ceil(rest / rows))))).alias("bucket")).agg(F.count("*").alias("n"))
     before = groups.select("lane", "bucket", (F.sum("n").over(W.partitionBy("lane").orderBy("bucket")) - F.col("n")).alias("before"))
     number = F.row_number().over(W.partitionBy("lane", "bucket").orderBy("key", "id", "source")) - 1
-    placed = dealt.withColumn("number", number).join(before, ["lane", "bucket"]).withColumn("number", F.col("number") + F.col("before"))
-    steps = F.broadcast(_table(spark, plan, "lane int, first long, last long, start long, share long, period long, slots array<long>").withColumnRenamed("lane", "in_lane"))
-    placed = placed.withColumn("block", F.floor(F.col("number") / block)).join(steps, (F.col("lane") == F.col("in_lane")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("last")))
-    r = F.col("block") - F.col("first")
-    slot = F.col("start") + F.expr("(block - first) div share") * F.col("period") + F.get("slots", (r % F.col("share")).cast("int"))
+    placed_ = dealt.withColumn("number", number).join(before, ["lane", "bucket"]).withColumn("number", F.col("number") + F.col("before"))
+    steps = _table(spark, placed(plan), "lane int, first long, slots array<long>, releases array<long>, deadlines array<long>")
+    steps = steps.select(F.col("lane").alias("in_lane"), "first", F.posexplode(F.arrays_zip("slots", "releases", "deadlines")).alias("k", "one"))
+    steps = steps.select("in_lane", (F.col("first") + F.col("k")).alias("in_block"), F.col("one.slots").alias("slot"), F.col("one.releases").alias("release"), F.col("one.deadlines").alias("deadline"))
+    steps = F.broadcast(steps) if slots <= BROADCAST else steps
+    placed_ = placed_.withColumn("block", F.floor(F.col("number") / block)).join(steps, (F.col("lane") == F.col("in_lane")) & (F.col("block") == F.col("in_block")))
     at = F.col("number") % block
     mixed = F.struct(
         "lane",
         "block",
         at.alias("at"),
-        (F.col("start") + F.expr("((block - first) * period) div share")).alias("release"),
-        (F.col("start") + F.expr("((block - first + 1) * period + share - 1) div share")).alias("deadline"),
-        slot.alias("slot"),
-        (slot * block + at).alias("position"),
+        "release",
+        "deadline",
+        "slot",
+        (F.col("slot") * block + at).alias("position"),
     )
-    return placed.select("row.*", mixed.alias("mix_")), slots
+    return placed_.select("row.*", mixed.alias("mix_")), slots
 
 
 def in_order(mixed: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:

@@ -72,6 +72,18 @@ def test_less_than_one_block_off_target():
         assert all(abs(had[i] - (t + 1) * p / 64) < 1 for i, p in enumerate(share))
 
 
+def test_off_target_over_many_slots():
+    for weights in ([1.0] * 20, [1.0, 0.5, 0.0004]):
+        plan = mixing.phases([100_000] * len(weights), weights)
+        first = [p for p in plan if p["start"] == 0]
+        at = {t: p["lane"] for p in first for t in p["slots"]}
+        had, wanted = [0] * len(weights), [w / sum(weights) for w in weights]
+        assert len(at) >= 100_000
+        for t in range(100_000):
+            had[at[t]] += 1
+            assert all(abs(h - (t + 1) * w) < 1.001 for h, w in zip(had, wanted, strict=True))
+
+
 def test_all_rows_once_and_in_order(spark, odd, none):
     rows = [(i, "big" if i % 3 else None if i % 2 else f"s{i % 5}") for i in range(3000)] + [(7, "big")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, source string")
