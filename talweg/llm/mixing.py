@@ -13,7 +13,8 @@ from pyspark.sql.window import Window as W
 
 from talweg.llm._shared import stored
 
-#: Lanes at most: the largest sources have one each, all others share the last. Slots of a period: weights are whole
+#: Lanes at most: the largest sources have one each, all others share the last, within which they
+#: have lanes again. Slots of a period: weights are whole
 #: multiples of 1 / PERIOD, so that even 2^26 blocks are not a hundredth of a block off.
 LANES, PERIOD = 256, 1 << 36
 #: Documents of a block.
@@ -81,6 +82,31 @@ def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> lis
 CHUNK, LITERAL, BROADCAST = 1024, 64, 1 << 18
 
 
+def nested(blocks: list[int], weights: list[float], most: int) -> tuple[list[dict], list[list[int]]]:
+    """phases() of at most `most` lanes, and for each source of a shared last lane the lane's blocks that are its own.
+
+    The last lane's weight is the sum of its sources' weights; within it they are scheduled likewise, in lanes of their own and
+    again a shared one.
+    """
+    edges = list(range(0, max(1, len(blocks) - most), most - 1)) + [max(0, -(-(len(blocks) - most) // (most - 1))) * (most - 1)]
+    own: list[list[int]] = []
+    plan: list[dict] = []
+    for a in sorted(set(edges), reverse=True):
+        rest = a + most - 1 if a + most < len(blocks) else len(blocks)
+        inner = own
+        sizes, wanted = blocks[a:rest], weights[a:rest]
+        if rest < len(blocks):
+            sizes, wanted = [*sizes, sum(blocks[rest:])], [*wanted, math.fsum(weights[rest:])]
+        plan = phases(sizes, wanted)
+        if a:
+            slots: list[list[int]] = [[] for _ in sizes]
+            for p in plan:
+                slots[p["lane"]] += [p["start"] + s for s in p["slots"]]
+            last = slots.pop() if inner else []
+            own = slots + [[last[k] for k in x] for x in inner]
+    return plan, own
+
+
 def placed(plan: list[dict]) -> list[dict]:
     """Rows of phases() with the slot, release and deadline of each block, at most CHUNK blocks to a row."""
     out = []
@@ -105,44 +131,48 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     Every row appears once, in blocks of one source; slots order the blocks, position = slot * block + place in the block. Within
     a source, documents come in the order of a seeded hash. weights: a target for each source (0 or missing: the smallest
     given); without any, row counts to the power `temperature`. The largest sources have a lane each, null being a source;
-    beyond LANES - 1 the rest share one. In each phase, the blocks that a lane has had by any slot differ from its target by
+    beyond LANES - 1 the rest share one, weighted by their sum, and are mixed to their weights within it. In each phase, the blocks that a lane has had by any slot differ from its target by
     less than one. Rows are counted and numbered in buckets of a source's hash, never in one task per source. Counts of
-    at most LANES sources and their plan, a slot for each block, pass through the driver. An empty table gives no rows and 0 slots.
+    sources and their plan, a slot for each block, pass through the driver. An empty table gives no rows and 0 slots.
     """
     spark = docs.sparkSession
     sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n"))
-    first = sizes.orderBy(F.desc("n"), F.asc_nulls_first("source")).limit(LANES - 1).collect()
-    total = docs.count()
-    counts = [r["n"] for r in first]
-    if (rest := total - sum(counts)) > 0:
-        counts.append(rest)
+    sources = sorted(sizes.collect(), key=lambda r: (-r["n"], r["source"] is not None, r["source"] or ""))
+    total = sum(r["n"] for r in sources)
     if weights:
-        given = [weights.get(r["source"]) or 0 for r in first] + [0] * (rest > 0)
+        given = [weights.get(r["source"]) or 0 for r in sources]
         least = min((x for x in given if x > 0), default=1.0)
         target = [x if x > 0 else least for x in given]
     else:
-        target = [n**temperature for n in counts]
-    plan = phases([math.ceil(n / block) for n in counts], target)
+        target = [r["n"] ** temperature for r in sources]
+    plan, own = nested([math.ceil(r["n"] / block) for r in sources], target, LANES)
+    last = len(sources) - len(own)  # of several sources, which share this lane
     slots = sum(p["last"] - p["first"] for p in plan)
     # buckets of about 512 rows, of more where there are very many
     rows = max(512, math.isqrt(total))
-    lanes = [{"lane": i, "name": r["source"], "own": True, "buckets": math.ceil(r["n"] / rows)} for i, r in enumerate(first)]
-    # the names that have a lane are bounded by LANES, so this table is, too
-    lane = F.broadcast(_table(spark, lanes, "lane int, name string, own boolean, buckets int"))
-    last = len(first)
+    lanes = [{"member": i, "lane": min(i, last), "name": r["source"], "own": True, "buckets": math.ceil(r["n"] / rows)} for i, r in enumerate(sources)]
+    lanes_ = _table(spark, lanes, "member int, lane int, name string, own boolean, buckets int")
+    lane = F.broadcast(lanes_) if len(sources) <= LANES else lanes_
     named = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
-    dealt = named.join(lane, F.col("source").eqNullSafe(F.col("name")), "left")
-    dealt = dealt.select("row", "key", "id", "source", F.coalesce("lane", F.lit(last)).alias("lane"), F.pmod("key", F.coalesce("buckets", F.lit(max(1, math.ceil(rest / rows))))).alias("bucket"))
-    groups = docs.select(F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(source_col).cast("string").alias("source")).join(lane, F.col("source").eqNullSafe(F.col("name")), "left")
-    groups = groups.groupBy(F.coalesce("lane", F.lit(last)).alias("lane"), F.pmod("key", F.coalesce("buckets", F.lit(max(1, math.ceil(rest / rows))))).alias("bucket")).agg(F.count("*").alias("n"))
-    before = groups.select("lane", "bucket", (F.sum("n").over(W.partitionBy("lane").orderBy("bucket")) - F.col("n")).alias("before"))
-    number = F.row_number().over(W.partitionBy("lane", "bucket").orderBy("key", "id", "source")) - 1
-    placed_ = dealt.withColumn("number", number).join(before, ["lane", "bucket"]).withColumn("number", F.col("number") + F.col("before"))
+    dealt = named.join(lane, F.col("source").eqNullSafe(F.col("name")))
+    dealt = dealt.select("row", "key", "id", "source", "member", "lane", F.pmod("key", "buckets").alias("bucket"))
+    groups = docs.select(F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(source_col).cast("string").alias("source")).join(lane, F.col("source").eqNullSafe(F.col("name")))
+    groups = groups.groupBy("member", F.pmod("key", "buckets").alias("bucket")).agg(F.count("*").alias("n"))
+    before = groups.select("member", "bucket", (F.sum("n").over(W.partitionBy("member").orderBy("bucket")) - F.col("n")).alias("before"))
+    number = F.row_number().over(W.partitionBy("member", "bucket").orderBy("key", "id", "source")) - 1
+    placed_ = dealt.withColumn("number", number).join(before, ["member", "bucket"]).withColumn("number", F.col("number") + F.col("before"))
+    placed_ = placed_.withColumn("block", F.floor(F.col("number") / block))
+    if own:
+        inner = [{"of": last + i, "first": k, "places": x[k : k + CHUNK]} for i, x in enumerate(own) for k in range(0, len(x), CHUNK)]
+        places = _table(spark, inner, "of int, first long, places array<long>").select("of", "first", F.posexplode("places").alias("k", "place"))
+        places = places.select("of", (F.col("first") + F.col("k")).alias("own_block"), "place")
+        places = F.broadcast(places) if slots <= BROADCAST else places
+        placed_ = placed_.join(places, (F.col("member") == F.col("of")) & (F.col("block") == F.col("own_block")), "left").withColumn("block", F.coalesce("place", "block"))
     steps = _table(spark, placed(plan), "lane int, first long, slots array<long>, releases array<long>, deadlines array<long>")
     steps = steps.select(F.col("lane").alias("in_lane"), "first", F.posexplode(F.arrays_zip("slots", "releases", "deadlines")).alias("k", "one"))
     steps = steps.select("in_lane", (F.col("first") + F.col("k")).alias("in_block"), F.col("one.slots").alias("slot"), F.col("one.releases").alias("release"), F.col("one.deadlines").alias("deadline"))
     steps = F.broadcast(steps) if slots <= BROADCAST else steps
-    placed_ = placed_.withColumn("block", F.floor(F.col("number") / block)).join(steps, (F.col("lane") == F.col("in_lane")) & (F.col("block") == F.col("in_block")))
+    placed_ = placed_.join(steps, (F.col("lane") == F.col("in_lane")) & (F.col("block") == F.col("in_block")))
     at = F.col("number") % block
     mixed = F.struct(
         "lane",

@@ -116,6 +116,19 @@ def test_more_sources_than_lanes(spark, monkeypatch):
     assert len({r.position for r in got}) == len({r.doc_id for r in got}) == 900 and {r.lane for r in got} == {0, 1, 2, 3}
 
 
+def test_sources_of_the_shared_lane_keep_their_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LANES", 4)
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    docs = spark.createDataFrame([(i, f"s{i % 9}") for i in range(1800)], "doc_id long, source string")
+    weights = {f"s{i}": 8.0 if i == 7 else 1.0 for i in range(9)}
+    mixed, slots = mixing.mix(docs, weights, block=4)
+    got = mixed.select("doc_id", "source", "mix_.slot", "mix_.lane", "mix_.position").collect()
+    assert {r.slot for r in got} == set(range(slots)) and len({r.position for r in got}) == len({r.doc_id for r in got}) == 1800
+    assert {r.lane for r in got if r.source == "s7"} == {3}
+    had = Counter(s for s, _ in {(r.source, r.slot) for r in got if r.slot < 80})
+    assert all(abs(had[s] - 80 * w / 16) < 4 for s, w in weights.items())
+
+
 # ---- urls
 
 
