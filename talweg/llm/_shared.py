@@ -46,6 +46,32 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """stored() in buckets of a key, one for each shuffle partition: groups and joins on the key then read a bucket in place."""
+    spark = df.sparkSession
+    table = f"talweg_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark).rstrip('/')}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
+def drop_bucketed(df: DataFrame) -> None:
+    """Deletes a table of bucketed() that nothing reads any more."""
+    files = df.inputFiles()
+    name = files[0].split("/")[-2] if files else None
+    discard(df)
+    if name:
+        df.sparkSession.sql(f"drop table if exists {name}")
+
+
+def free(name: str, df: DataFrame) -> str:
+    """name, with underscores until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def apart(df: DataFrame) -> DataFrame:
     """An aggregate that is to be joined on its own keys, dealt out anew before. Both sides of the join are then shuffled for the
     join alone, and Spark can split a key that holds much of the other side."""
