@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,18 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends there, a lost executor costs no earlier work."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/talweg-{name}-{uuid.uuid4().hex}"
-    conf = df.sparkSession.conf
+@contextmanager
+def _written(spark: SparkSession):
+    conf = spark.conf
     before = {k: conf.get(k, None) for k in _WRITING}
     for k, v in _WRITING.items():
         conf.set(k, v)
     try:
-        df.write.parquet(path)
+        yield
     finally:
         for k, v in before.items():
             conf.set(k, v) if v else conf.unset(k)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it again: lineage ends there, a lost executor costs no earlier work."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/talweg-{name}-{uuid.uuid4().hex}"
+    with _written(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,7 +58,8 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     table = f"talweg_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, key).option("path", f"{shared_dir(spark).rstrip('/')}/{table}").saveAsTable(table)
+    with _written(spark):
+        df.write.bucketBy(n, key).option("path", f"{shared_dir(spark).rstrip('/')}/{table}").saveAsTable(table)
     return spark.table(table)
 
 

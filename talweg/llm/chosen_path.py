@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,19 +12,22 @@ from pyspark.sql import functions as F
 
 from talweg.llm import graph
 from talweg.llm._rows import Words, mix, narrow, rows
-from talweg.llm._shared import apart, arrow_map, stored
+from talweg.llm._shared import apart, arrow_map, discard, stored
 
 #: Words of a shingle; links have 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 75
 #: Minwise tokens of a document, and those that a candidate pair has in common at least: at similarity 0.75 the mean is 96 with a
 #: deviation of 4.9, so one link in ten thousand is missed as a pair of its own.
 TOKENS, COMMON = 128, 78
-#: Independent trees. A node's documents go on by one token, and by another in a third of the nodes: 4/3 = 1/0.75 on average.
-TREES = 16
-#: Documents of a node that are compared exhaustively; levels after which larger nodes are cut.
-SMALL, LEVELS = 512, 4
+#: Independent trees. A node's documents go on by one token, and by another in a third of the nodes: 4/3 = 1/0.75 on average. A pair
+#: at 0.75 meets in a tree's first level with probability 0.81, after four levels with 0.45: in one of ten trees with 0.997.
+TREES = 10
+#: Documents of a node that are compared exhaustively; levels after which a larger node is compared in blocks.
+SMALL, LEVELS = 512, 8
 #: Shingles of a node's documents up to which their texts are brought together in one task.
 HEAVY = 4_000_000
+#: Columns of one product of incidence matrices.
+COLUMNS = 4096
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _RNG = np.random.Generator(np.random.PCG64(97))
@@ -51,6 +55,11 @@ def shingles(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def digest(shingled: np.ndarray) -> int:
+    """A long that stands for the whole set."""
+    return int(np.bitwise_xor.reduce(mix(shingled)).view(np.int64)) if len(shingled) else 0
+
+
 def tokens(shingled: np.ndarray) -> np.ndarray:
     """TOKENS minwise tokens: the smallest of the shingles under as many hash functions."""
     out = np.full(TOKENS, 2**32 - 1, np.uint32)
@@ -82,7 +91,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches):
         for ids, texts in rows(batches):
             sets = shingles(texts)
-            one = [int(np.bitwise_xor.reduce(mix(s)).view(np.int64)) if len(s) else 0 for s in sets]
+            one = [digest(s) for s in sets]
             two = [int(np.add.reduce(mix(s ^ _MORE)).view(np.int64)) if len(s) else 0 for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array([tokens(s).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "one", "two", "sketch"])
 
@@ -108,36 +117,6 @@ def _children(known: DataFrame) -> DataFrame:
     return arrow_map(known.select("node", "rep", "sketch"), run, "node long, rep long")
 
 
-def nodes(reps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, rep): the nodes that are to be compared, from (rep, n_shingles, sketch); nodes of the same documents count once.
-
-    Levels go on while a node has more than SMALL documents. Nodes that still do after LEVELS levels are mostly alike; they are cut
-    by hash into parts of about SMALL documents, other ones in each tree, and the smallest document is in each part. The second
-    table has these nodes whole (None without any), for what the parts leave unconnected.
-    """
-    found = whole = None
-    level = stored(_children(reps.withColumn("node", F.lit(None).cast("long"))), "paths")
-    for depth in range(1, LEVELS + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).filter("n > 1")
-        once = sizes.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n")
-        known = stored(level.join(apart(once), "node"), "paths")
-        small = known.filter(F.col("n") <= SMALL).select("node", "rep")
-        found = small if found is None else found.unionByName(small)
-        large = known.filter(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        if depth == LEVELS:
-            whole = large.select("node", "rep")
-            parts = F.ceil(F.col("n") / SMALL)
-            cut = large.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), parts)).alias("node"), "rep")
-            least = large.groupBy("node", "n").agg(F.min("rep").alias("rep"))
-            least = least.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).select(F.xxhash64("node", "part").alias("node"), "rep")
-            found = found.unionByName(cut.unionByName(least).distinct())
-        else:
-            level = stored(_children(large.join(reps, "rep")), "paths")
-    return found, whole
-
-
 def blocks(large: DataFrame) -> DataFrame:
     """large (node, rep, n_shingles, sketch, group) as nodes of about SMALL documents that hold every pair of a node's documents of
     different groups and sizes alike enough: parts of bands of sizes, each with every part of its own band and the next one.
@@ -162,25 +141,6 @@ def blocks(large: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.concat(own, up, down)).alias("node"), "rep", "n_shingles", "sketch", "group")
 
 
-def forest(a: np.ndarray, b: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """Edges of a spanning forest of edges (a, b), which are taken in their order; groups: each node's group at the start."""
-    top = {int(g): int(g) for g in np.unique(groups)}
-
-    def find(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    out = []
-    for k, (i, j) in enumerate(zip(groups[a].tolist(), groups[b].tolist(), strict=True)):
-        i, j = find(i), find(j)
-        if i != j:
-            top[i] = j
-            out.append(k)
-    return np.array(out, np.int64)
-
-
 def candidates(reps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (places in reps) of one node's documents that are alike enough in tokens and size and of different groups, the most
     alike first."""
@@ -198,8 +158,8 @@ def candidates(reps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, groups
     return a[order], b[order]
 
 
-def linked(a: np.ndarray, b: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> list[int]:
-    """Of candidate pairs, in their order, those that are links and join two groups that no earlier one has joined."""
+def _joined(a: np.ndarray, b: np.ndarray, groups: np.ndarray, test) -> list[int]:
+    """Of pairs, in their order, those that pass the test and join two groups that no earlier one has joined."""
     top = {int(g): int(g) for g in np.unique(groups)}
 
     def find(x: int) -> int:
@@ -211,12 +171,41 @@ def linked(a: np.ndarray, b: np.ndarray, groups: np.ndarray, sets: list[np.ndarr
     out = []
     for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
         x, y = find(int(groups[i])), find(int(groups[j]))
-        if x != y and alike(sets[i], sets[j]):
+        if x != y and test(i, j):
             top[x] = y
             out.append(k)
     return out
 
 
+def linked(a: np.ndarray, b: np.ndarray, groups: np.ndarray, sets: list[np.ndarray]) -> list[int]:
+    """Of candidate pairs, in their order, those that are links and join two groups that no earlier one has joined.
+
+    Many pairs take their intersections from products of incidence matrices of the shingles that several sets have, if that is
+    less work than to compare them one by one.
+    """
+    m, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    if len(a) > m and m:
+        values, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = counts >= 2
+        width = int(shared.sum())
+        if m * m * width / 4e9 < (sizes[a] + sizes[b]).sum() * 1e-8 + len(a) * 1e-5:
+            column = np.cumsum(shared) - 1
+            keep = shared[at]
+            row, col = np.repeat(np.arange(m), sizes)[keep], column[at[keep]]
+            order = np.argsort(col, kind="stable")
+            row, col = row[order], col[order]
+            both = np.zeros((m, m), np.float32)
+            for k in range(0, width, COLUMNS):
+                x, y = np.searchsorted(col, [k, k + COLUMNS])
+                part = np.zeros((m, min(COLUMNS, width - k)), np.float32)
+                part[row[x:y], col[x:y] - k] = 1
+                both += part @ part.T
+            common = both[a, b].astype(np.int64)
+            links = np.flatnonzero((common > 0) & (100 * common >= PERCENT * (sizes[a] + sizes[b] - common)))
+            return links[_joined(a[links], b[links], groups, lambda i, j: True)].tolist()
+    return _joined(a, b, groups, lambda i, j: alike(sets[i], sets[j]))
+
+
 def alike(x: np.ndarray, y: np.ndarray) -> bool:
     """The contract's test on two full sets, sorted and without repeats."""
     if not len(x) or not len(y):
@@ -251,18 +240,6 @@ def _members(part: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarr
     return pick, reps, np.asarray(pick.column("n_shingles"), np.int64), _sketch_rows(pick.column("sketch").combine_chunks()), np.asarray(pick.column("group"), np.int64)
 
 
-def _forests(members: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of each node's candidates, the most alike first."""
-
-    def node(part: pa.Table) -> pa.RecordBatch:
-        _, reps, sizes, sketches, groups = _members(part)
-        a, b = candidates(reps, sizes, sketches, groups)
-        pick = forest(a, b, np.arange(len(reps)))
-        return pa.RecordBatch.from_arrays([pa.array(reps[a[pick]]), pa.array(reps[b[pick]])], ["a", "b"])
-
-    return _by_node(members.select("node", "rep", "n_shingles", "sketch", "group"), node, "a long, b long").distinct()
-
-
 def _open(members: DataFrame) -> DataFrame:
     """What is left to confirm once groups are known: pairs (a, b) of nodes with few of them or with very long documents, and
     (node, a) of the documents of other nodes that have any, to be compared within the node."""
@@ -279,74 +256,160 @@ def _open(members: DataFrame) -> DataFrame:
 
 
 def _within(members: DataFrame) -> DataFrame:
-    """(a, b): links of each node's documents (node, rep, n_shingles, sketch, group, body) that join groups, compared exhaustively."""
+    """(a, b): links of each node's documents (node, rep, one, n_shingles, sketch, group, body) that join groups, compared
+    exhaustively."""
 
     def node(part: pa.Table) -> pa.RecordBatch:
-        pick, reps, sizes, sketches, groups = _members(part)
+        sets = shingles(part.column("body").to_pylist())
+        fine = np.array([digest(s) == one for s, one in zip(sets, part.column("one").to_pylist(), strict=True)], bool)
+        own = dict(zip(np.asarray(part.column("rep"))[fine].tolist(), (s for s, x in zip(sets, fine, strict=True) if x), strict=True))
+        _, reps, sizes, sketches, groups = _members(part.filter(pa.array(fine)))
         a, b = candidates(reps, sizes, sketches, groups)
-        k = linked(a, b, groups, shingles(pick.column("body").to_pylist()))
+        k = linked(a, b, groups, [own[x] for x in reps.tolist()])
         return pa.RecordBatch.from_arrays([pa.array(reps[a[k]]), pa.array(reps[b[k]])], ["a", "b"])
 
-    return _by_node(members.select("node", "rep", "n_shingles", "sketch", "group", "body"), node, "a long, b long").distinct()
+    return _by_node(members.select("node", "rep", "one", "n_shingles", "sketch", "group", "body"), node, "a long, b long").distinct()
+
+
+def _similar(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that have enough tokens in common and sizes alike enough to be links."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                n, m = np.asarray(part.column(2), np.int64), np.asarray(part.column(4), np.int64)
+                common = (_sketch_rows(part.column(3)) == _sketch_rows(part.column(5))).sum(1)
+                yield part.select([0, 1]).filter(pa.array((common >= COMMON) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))))
+
+    one, two = (reps.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b"), run, "a long, b long")
+
+
+def _bodies(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, one, body) of the sets in ids (rep), a row for each text of the document that stands for the set; only the row
+    whose shingles have the digest `one` is the set's, which readers check."""
+    wanted = stored(reps.select("rep", "home", "one").join(ids, "rep", "left_semi"), "wanted")
+    return stored(docs.join(wanted, F.col("doc_id") == F.col("home")).select("rep", "one", "body"), "texts")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, link): whether the full sets of the two texts are alike enough."""
+    """The pairs (a, b) whose full sets are alike enough."""
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                bodies = dict(zip(a + b, part.column(2).to_pylist() + part.column(3).to_pylist(), strict=True))
-                sets = dict(zip(bodies, shingles(list(bodies.values())), strict=True))
-                link = [alike(sets[x], sets[y]) for x, y in zip(a, b, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(link)], ["a", "b", "link"])
+                keys = [[(x, i) for x, i in zip(part.column(c).to_pylist(), part.column(c + 1).to_pylist(), strict=True)] for c in (0, 3)]
+                bodies = dict(zip(keys[0] + keys[1], part.column(2).to_pylist() + part.column(5).to_pylist(), strict=True))
+                made = dict(zip(bodies, shingles(list(bodies.values())), strict=True))
+                fine = {key: s for key, s in made.items() if digest(s) == key[1]}
+                link = [x in fine and y in fine and alike(fine[x], fine[y]) for x, y in zip(*keys, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(3)], ["a", "b"]).filter(pa.array(link))
+
+    one, two = (texts.select(F.col("rep").alias(x), F.col("one").alias(f"one_{x}"), F.col("body").alias(f"body_{x}")) for x in "ab")
+    return stored(arrow_map(pairs.join(one, "a").join(two, "b").select("a", "one_a", "body_a", "b", "one_b", "body_b"), run, "a long, b long"), "links")
+
+
+def _strays(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large nodes' rows (node, rep, n, group): as small nodes (node, rep) where almost all are of one group, and the rest.
 
-    one, two = texts.select(F.col("doc_id").alias("a"), F.col("body").alias("body_a")), texts.select(F.col("doc_id").alias("b"), F.col("body").alias("body_b"))
-    return arrow_map(pairs.join(one, "a").join(two, "b").select("a", "b", "body_a", "body_b"), run, "a long, b long, link boolean")
+    The documents outside a node's largest group, if at most SMALL, are compared with all others: the node is cut by hash into
+    parts of about SMALL / 2, and they are in each part.
+    """
+    sizes = large.groupBy("node", "group").agg(F.count("*").alias("own"), F.max("n").alias("n"))
+    most = sizes.groupBy("node").agg(F.max("own").alias("own"), F.max("n").alias("n"))
+    main = sizes.join(apart(most.select("node", "own")), ["node", "own"]).groupBy("node").agg(F.min("group").alias("main"), (F.max("n") - F.max("own")).alias("strays"))
+    marked = stored(large.join(apart(main), "node"), "large-nodes")
+    few = marked.filter(F.col("strays") <= SMALL)
+    parts = F.ceil(F.col("n") * 2 / SMALL)
+    part = F.when(F.col("group") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), parts))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
+    cut = few.select("node", "rep", F.explode(part).alias("part")).select(F.xxhash64("node", "part").alias("node"), "rep")
+    return cut, marked.filter(F.col("strays") > SMALL).select("node", "rep", "n", "group")
+
+
+def _grouped(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """rows (node, rep, ...) with the group of each; nodes of one group are left out."""
+    if groups is None:
+        return rows.withColumn("group", F.col("rep"))
+    rows = stored(rows.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep")), "grouped")
+    several = rows.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("node")
+    return rows.join(apart(several), "node", "left_semi")
+
+
+def links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """(a, b): links that connect all sets (rep, home, one, n_shingles, sketch) that are alike and meet in a node; docs (doc_id, body).
+
+    At each level, every document of a node is compared with one of them first, in proportion to documents. Nodes that this
+    connects are done. Of the others, small ones are compared exhaustively, and large ones, too, where few documents are outside
+    the largest group; the rest go on down the trees. Nodes of the same documents count once.
+    """
+    found = groups = whole = None
+    small = []
+    level = stored(_children(reps.withColumn("node", F.lit(None).cast("long"))), "paths")
+    for depth in range(1, LEVELS + 1):
+        salt = F.lit(int(mix(np.array([depth], np.uint64))[0].view(np.int64)))
+        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(salt)).bitwiseXOR(salt).alias("lead"), F.bit_xor(F.xxhash64("rep")).alias("x")).filter("n > 1")
+        once = sizes.groupBy("n", "lead", "x").agg(F.min("node").alias("node")).select("node", "n", "lead")
+        known = stored(level.join(apart(once), "node"), "nodes")
+        discard(level)
+        tried = known.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+        if groups is not None:
+            one, two = (groups.select(F.col("rep").alias(x), F.col("group").alias(f"group_{x}")) for x in "ab")
+            tried = tried.join(one, "a", "left").join(two, "b", "left").filter("not coalesce(group_a = group_b, false)").select("a", "b")
+        tried = stored(_similar(tried, reps), "pairs")
+        if not tried.isEmpty():
+            new = _confirmed(tried, _bodies(docs, tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), reps))
+            found = new if found is None else found.unionByName(new)
+            groups = graph.components(found).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+        small.append(known.filter(F.col("n") <= SMALL).select("node", "rep"))
+        large = known.filter(F.col("n") > SMALL).select("node", "rep", "n")
+        if large.isEmpty():
+            break
+        cut, large = _strays(_grouped(large, groups))
+        small.append(cut)
+        large = stored(large, "large-nodes")
+        if large.isEmpty():
+            break
+        if depth == LEVELS:
+            whole = large.select("node", "rep")
+        else:
+            level = stored(_children(large.select("node", "rep").join(reps, "rep")), "paths")
+    members = _grouped(reduce(DataFrame.unionByName, small), groups).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    if whole is not None:
+        whole = _grouped(whole, groups).join(reps.select("rep", "n_shingles", "sketch"), "rep")
+        members = members.unionByName(blocks(whole).select(members.columns))
+    members = stored(members, "members")
+    rest = stored(_open(members), "open")
+    if rest.isEmpty():
+        return found
+    texts = _bodies(docs, rest.select(F.explode(F.array("a", "b")).alias("rep")).filter("rep is not null").distinct(), reps)
+    new = [_confirmed(rest.filter("node is null").select("a", "b"), texts)]
+    inside = members.join(rest.filter("node is not null").select("node", F.col("a").alias("rep")), ["node", "rep"]).join(texts, "rep")
+    new.append(stored(_within(inside), "links"))
+    return reduce(DataFrame.unionByName, new if found is None else [found, *new])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept: a row for each input row.
 
-    Documents with the same set are one class before anything is joined, so copies are never paired. Classes go down the trees. Of
-    each node's candidates a spanning forest is confirmed on full sets; then the candidates that it leaves unconnected are, all of
-    them, so a large group takes pairs in proportion to its documents and loses no link that its nodes hold; nodes that were cut
-    are compared part against part. Null and empty texts are linked with nothing; a null doc_id is kept
+    Documents with the same set are one class before anything is joined, so copies are never paired. Classes go down the trees,
+    and links are confirmed on full sets. Null and empty texts are linked with nothing; a null doc_id is kept
     and has no component; rows with the same id are one document whose links are those of any of its texts.
     """
-    sketched = stored(sketch(docs, id_col, text_col), "sketches")
+    sketched = stored(sketch(docs, id_col, text_col).withColumn("rep", F.xxhash64("one", "two", "n_shingles")), "sketches")
     full = sketched.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    named = stored(full.select("doc_id", "one", "two", "n_shingles").join(apart(classes), ["one", "two", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "classes")
-    reps = stored(full.join(named.filter("doc_id = rep").select("doc_id", "n_shingles"), ["doc_id", "n_shingles"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sketch").dropDuplicates(["rep"]), "reps")
-    small, large = nodes(reps)
-    members = stored(small.join(reps, "rep"), "members")
-    # two texts under one id link their classes
-    own = named.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high"))
-    twice = named.join(own.filter("a <> high").select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    found, pairs = None, stored(_forests(members.withColumn("group", F.col("rep"))), "pairs")
-    if large is not None or not pairs.isEmpty():
-        # every document with a candidate is in these pairs or in a node that was cut
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-        ids = (ids if large is None else ids.unionByName(large.select(F.col("rep").alias("doc_id")))).distinct()
-        texts = stored(narrow(docs, id_col, text_col).join(ids, "doc_id", "left_semi"), "texts")
-        tested = stored(_confirmed(pairs, texts), "links")
-        found = tested.filter("link").select("a", "b")
-        groups = graph.components(found).select(F.col("node").alias("rep"), F.col("component").alias("group"))
-        grouped = stored(members.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep")), "members")
-        if large is not None:
-            whole_nodes = large.join(reps, "rep").join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
-            grouped = grouped.unionByName(stored(blocks(whole_nodes), "blocks").select(grouped.columns))
-        split = grouped.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("node")
-        grouped = grouped.join(split, "node", "left_semi")
-        rest = stored(_open(grouped), "open")
-        pairs = rest.filter("node is null").select("a", "b").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        whole = grouped.join(rest.filter("node is not null").select("node", F.col("a").alias("rep")), ["node", "rep"]).join(texts.select(F.col("doc_id").alias("rep"), "body"), "rep")
-        found = found.unionByName(stored(_confirmed(pairs, texts), "links").filter("link").select("a", "b")).unionByName(stored(_within(whole), "links"))
-    links = twice if found is None else twice.unionByName(found)
-    groups = graph.components(links).select(F.col("node").alias("a"), "component")
-    named_ = own.join(groups, "a", "left").select("doc_id", F.coalesce("component", "a").alias("component"))
-    out = sketched.select("doc_id", "n_shingles").join(named_, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    classes = full.groupBy("rep").agg(F.min("doc_id").alias("home"))
+    named = full.select("rep", "doc_id", "n_shingles", "one", "sketch").join(apart(classes), "rep")
+    reps = stored(named.filter("doc_id = home").dropDuplicates(["rep"]).select("rep", "home", "one", "n_shingles", "sketch"), "reps")
+    found = links(narrow(docs, id_col, text_col), reps)
+    # the texts of one id link their classes
+    own = full.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).filter("a <> last").select("doc_id", "a")
+    twice = full.select("doc_id", F.col("rep").alias("b")).join(apart(own), "doc_id").select("a", "b")
+    groups = graph.components(twice if found is None else twice.unionByName(found)).select(F.col("node").alias("rep"), "component")
+    homes = stored(reps.select("rep", "home").join(groups, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "homes")
+    least = homes.groupBy("component").agg(F.min("home").alias("component_id"))
+    least = homes.select("rep", "component").join(apart(least), "component").select("rep", "component_id")
+    ids = full.select("doc_id", "rep").distinct().join(apart(least), "rep").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = sketched.select("doc_id", "n_shingles").join(apart(ids), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
