@@ -64,32 +64,60 @@ def test_components_equal_brute_force(spark, copies):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_large_nodes_are_branched_and_cut(spark, copies, monkeypatch):
+def test_large_nodes_are_branched(spark, copies, monkeypatch):
     monkeypatch.setattr(chosen_path, "SMALL", 8)
     want, _ = near(copies)
     got = chosen_path.near_duplicates(spark.createDataFrame(copies, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
 
 
-def test_links_across_the_parts_of_a_cut_node(spark, monkeypatch):
-    monkeypatch.setattr(chosen_path, "SMALL", 8)
-    monkeypatch.setattr(chosen_path, "LEVELS", 1)
-    monkeypatch.setattr(chosen_path, "TREES", 1)
-    monkeypatch.setattr(chosen_path, "_ROOTS", chosen_path._ROOTS[:1])
+@pytest.fixture(scope="module")
+def templates():
+    """One boilerplate with 28 own words keep documents apart (about 0.6), those of 9 link with each other."""
     rng = random.Random(6)
     common = words(rng, 104)
-    # own words: 25 or more share 2/3 with any other document, 9 more than 3/4 with each other
-    docs = [(i, " ".join(common + words(rng, 9 if i % 20 == 7 else 40))) for i in range(200)]
+    return [(i, " ".join(common + words(rng, 9 if i % 20 == 7 else 28))) for i in range(400)]
+
+
+def test_unlinked_pages_of_one_template(spark, templates, monkeypatch):
+    """Large nodes that branching does not take apart are compared in blocks, and no link is lost."""
+    monkeypatch.setattr(chosen_path, "SMALL", 16)
+    monkeypatch.setattr(chosen_path, "LEVELS", 2)
+    want, _ = near(templates)
+    assert 300 < len(set(want.values())) < 400
+    got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(spark.createDataFrame(templates, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_a_family_and_a_few_others_in_a_node(spark, monkeypatch):
+    monkeypatch.setattr(chosen_path, "SMALL", 16)
+    rng = random.Random(16)
+    base = words(rng, 120)
+    docs = [(i, " ".join(edited(rng, base, 1))) for i in range(120)]
+    docs += [(i, " ".join(base[:90] + words(rng, 25))) for i in range(120, 126)]
     want, _ = near(docs)
-    assert len(set(want.values())) == 191
-    at_root = {r.node: r.n for r in chosen_path._children(chosen_path.sketch(spark.createDataFrame(docs, "doc_id long, text string")).select(F.lit(None).cast("long").alias("node"), F.col("doc_id").alias("rep"), "sketch")).groupBy("node").agg(F.collect_set("rep").alias("n")).collect()}
-    monkeypatch.setattr(chosen_path, "COMMON", 70)
     got = {r.doc_id: r.component_id for r in chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    together = max(at_root.values(), key=len)
-    short = sorted(i for i in together if i % 20 == 7)
-    assert len(together) > 100 and len(short) > 3
-    assert {got[i] for i in short} == {min(got[i] for i in short)}
-    assert all(got[i] in (i, want[i]) or got[i] in short for i, _ in docs)
+    assert got == want
+
+
+def test_texts_of_one_id(spark):
+    rng = random.Random(21)
+    one, two = words(rng, 80), words(rng, 80)
+    docs = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(edited(rng, one, 1))), (3, " ".join(edited(rng, two, 1))), (4, " ".join(words(rng, 80)))]
+    got = {(r.doc_id, r.component_id) for r in chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_products_of_incidence_matrices_give_the_same_links():
+    rng = np.random.default_rng(3)
+    common = rng.integers(1, 2**60, 100, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(1, 2**60, int(n), dtype=np.uint64)])) for n in rng.integers(5, 40, 60)]
+    a, b = map(np.array, zip(*combinations(range(60), 2), strict=True))
+    groups = np.arange(60)
+    got = chosen_path.linked(a, b, groups, sets)
+    want = [k for k in range(len(a)) if chosen_path.alike(sets[a[k]], sets[b[k]])]
+    assert components(range(60), [(a[k], b[k]) for k in got]) == components(range(60), [(a[k], b[k]) for k in want])
+    assert set(got) <= set(want) and len(set(components(range(60), [(a[k], b[k]) for k in want]).values())) > 1
 
 
 def test_heavy_nodes_are_confirmed_pair_by_pair(spark, copies, monkeypatch):
@@ -118,11 +146,6 @@ def test_odd_rows(spark, odd, none):
 # ---- lines
 
 
-def sim(norm, spark_hash):
-    hashes = [spark_hash[w] for w in norm.split(" ")]
-    return sum(1 << b for b in range(63) if 2 * sum((h >> b) & 1 for h in hashes) > len(hashes))
-
-
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(9)
@@ -136,39 +159,86 @@ def texts():
     return docs
 
 
+def normal(line):
+    return re.sub(r"[\x00-/:-@\[-`{-\x7F]+", " ", line.lower()).strip(" ")
+
+
 def test_lines_equal_brute_force(spark, texts):
+    """Links by edit similarity alone, over all pairs of lines."""
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    norms = {(r.doc_id, r.pos): r.norm for r in line_dedup.lines(df).collect()}
-    all_words = sorted({w for n in norms.values() for w in n.split(" ")})
-    hashed = {r.w: r.h for r in spark.createDataFrame([(w,) for w in all_words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    norms = {(i, p): normal(x) for i, t in texts for p, x in enumerate(t.split("\n")) if normal(x)}
+    assert {(r.doc_id, r.pos): r.norm for r in line_dedup.lines(df).collect()} == norms
     distinct = sorted(set(norms.values()))
-    sims = {n: sim(n, hashed) for n in distinct}
-    assert {(r.doc_id, r.pos): r.sim for r in line_dedup.simhashed(line_dedup.lines(df)).collect()} == {k: sims[n] for k, n in norms.items()}
     links = []
     for a, b in combinations(distinct, 2):
         longer = max(len(a), len(b))
-        if bin(sims[a] ^ sims[b]).count("1") <= line_dedup.BITS and min(len(a), len(b)) >= 0.9 * longer and distance(a, b) <= min(int(0.1 * longer), 500):
+        if min(len(a), len(b)) >= 0.9 * longer and distance(a, b) <= int(0.1 * longer):
             links.append((a, b))
     assert links
     group = components(distinct, links)
     first = {}
     for k in sorted(norms):
         first.setdefault(group[norms[k]], k)
-    want = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in norms or first[group[norms[i, p]]] == (i, p)) for i, t in texts}
-    assert {r.doc_id: r.text for r in line_dedup.dedup(df).collect()} == want
+    want = {i: [x for p, x in enumerate(t.split("\n")) if (i, p) not in norms or first[group[norms[i, p]]] == (i, p)] for i, t in texts}
+    got = {r.doc_id: r.text.split("\n") for r in line_dedup.dedup(df).collect()}
+    missed = [x for i in want for x in got[i] if x not in want[i]]
+    assert all(x in got[i] for i in want for x in want[i])  # nothing else goes
+    assert len(missed) <= 0.02 * (len(norms) - sum(map(len, want.values())))  # single letters, which few hashes tell apart
 
 
-def test_lines_with_one_word_replaced(spark):
-    rng, rows, sizes = random.Random(8), [], (10, 15, 20, 30, 50)
-    while len(rows) < 1000:
+def one_letter(rng, base):
+    out, k = list(base), rng.randrange(len(base))
+    at = rng.randrange(len(out[k]))
+    out[k] = out[k][:at] + rng.choice("vwxyz") + out[k][at + 1 :]
+    return out
+
+
+def some_words(rng, base):
+    out = list(base)
+    for k in rng.sample(range(len(out)), max(1, round(0.07 * len(out)))):
+        out[k] = "".join(rng.choice("stuvwxyz") for _ in range(len(out[k])))
+    return out
+
+
+def one_more(rng, base):
+    out = list(base)
+    out.insert(rng.randrange(len(out) + 1), "".join(rng.choice("stuvwxyz") for _ in range(3)))
+    return out
+
+
+@pytest.mark.parametrize("change", [one_letter, some_words, one_more])
+def test_recall_against_edit_similarity_alone(spark, change):
+    """Pairs within the 10 %: nine of ten are found at every length, whatever their SimHashes."""
+    rng, rows, sizes = random.Random(8), [], (5, 8, 12, 20, 30, 60, 150)
+    while len(rows) < 200 * len(sizes):
         base = words(rng, sizes[len(rows) // 200])
-        other = edited(rng, base, 1)
-        a, b = (re.sub("[0-9]+", "0", " ".join(x)) for x in (base, other))
+        a, b = " ".join(base), " ".join(change(rng, base))
         if 0 < distance(a, b) <= int(0.1 * max(len(a), len(b))):
-            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+            rows += [(len(rows), a), (len(rows) + 1, b)]
     gone = [r.doc_id for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("lines_.emptied").select("doc_id").collect()]
     assert all(i % 2 for i in gone)
-    assert all(sum(i // 200 == k for i in gone) >= 95 for k in range(len(sizes)))
+    assert all(sum(i // 200 == k for i in gone) >= 90 for k in range(len(sizes))), [sum(i // 200 == k for i in gone) for k in range(len(sizes))]
+
+
+def test_digits_count_as_letters(spark):
+    rows = [(1, "Total due 15 DA"), (2, "Total due 99 DA"), (3, "total due: 15 DA!")]
+    got = {r.doc_id: r.lines_.emptied for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: False, 2: False, 3: True}
+
+
+def test_lines_of_the_same_words_in_other_orders(spark):
+    rng = random.Random(14)
+    base = words(rng, 24)
+    rows = [(i, " ".join(rng.sample(base, len(base)))) for i in range(60)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == dict(rows)
+
+
+def test_own_columns_of_the_operators_names(spark):
+    df = spark.createDataFrame([(1, "a line of some words\nanother one"), (2, "a line of some words")], "doc_id long, text string").withColumn("lines_", F.lit("mine"))
+    got = line_dedup.dedup(df)
+    assert got.columns == ["doc_id", "text", "lines_", "lines__"]
+    assert {r.doc_id: (r.lines_, r.lines__.emptied) for r in got.collect()} == {1: ("mine", False), 2: ("mine", True)}
 
 
 def test_long_lines_with_many_edits(spark):
