@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.llm import bpe, chosen_path, line_dedup, mixing, toxicity
-from talweg.llm._shared import stored
+from talweg.llm._shared import free, stored
 
 
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,9 +20,10 @@ def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without repeated and nearly repeated lines; documents all of whose lines are found elsewhere go, n_chars follows the text."""
-    out = line_dedup.dedup(docs).filter("not lines_.emptied")
+    info = free("lines_", docs)
+    out = line_dedup.dedup(docs).filter(~F.col(f"{info}.emptied"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("lines_.removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(F.col(f"{info}.removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
