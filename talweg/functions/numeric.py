@@ -66,9 +66,9 @@ def query_numbers(text: Column) -> Column:  # T24
 
 
 def nearest(value: Column, known: tuple[int, ...]) -> Column:  # M4
-    """The nearest of the known values if it is within a tenth, else the value; of two as near the smaller."""
+    """The nearest of the known values if it is within a tenth of the value, else the value; of two as near the smaller."""
     gap = F.array_min(F.array(*(F.struct(F.abs(value - k).alias("gap"), F.lit(float(k)).alias("known")) for k in known)))
-    return F.when(gap["gap"] <= 0.1 * gap["known"], gap["known"]).otherwise(value.cast("double"))
+    return F.when(gap["gap"] <= 0.1 * value, gap["known"]).otherwise(value.cast("double"))
 
 
 def dot(a: Column, b: Column) -> Column:  # M1
@@ -94,7 +94,7 @@ def numeric_boost(prices: Column, speeds: Column, price_: Column, speed_: Column
     """Factor of a passage: its price equals the first query price that is near (2, or 1.5 within 100 DA), likewise speed
     (1.5 within a tenth of its own), and 1.5 for free passages if 0 is asked for."""
     near_price = F.get(F.filter(prices, lambda p: F.abs(p - price_) <= 100), F.lit(0))
-    near_speed = F.get(F.filter(speeds, lambda s: (s == speed_) | (F.abs(s - speed_) < 0.1 * speed_)), F.lit(0))
+    near_speed = F.get(F.filter(speeds, lambda s: (s == speed_) | (F.abs(s - speed_) <= 0.1 * speed_)), F.lit(0))
     one = F.when(near_price == price_, 2.0).when(near_price.isNotNull(), 1.5).otherwise(1.0)
     two = F.when(near_speed == speed_, 2.0).when(near_speed.isNotNull(), 1.5).otherwise(1.0)
     return one * two * F.when(free & F.exists(prices, lambda p: p == 0), 1.5).otherwise(1.0)
@@ -105,10 +105,13 @@ def clamped(boost: Column) -> Column:  # M6
 
 
 def confidence(best: Column, second: Column) -> Column:  # M7
-    """A rough confidence of a first place by its score and its lead."""
-    lead = best - F.coalesce(second, F.lit(0.0))
-    base = F.when(best >= 0.7, 0.9).when(best >= 0.5, 0.7).when(best >= 0.3, 0.5).otherwise(0.3)
-    return F.least(F.lit(1.0), base + F.when(lead >= 0.1, 0.1).otherwise(0.0))
+    """Confidence in a first place: by its score alone, or the mean of that and of what its lead over the second place gives."""
+
+    def level(value: Column, *steps: float) -> Column:
+        return chained([(value > step, x) for step, x in zip(steps, (0.9, 0.7, 0.5), strict=True)], 0.3)
+
+    own = level(best, 0.7, 0.5, 0.3)
+    return F.when(best.isNull(), 0.0).when(second.isNull(), own).otherwise((own + level(best - second, 0.2, 0.1, 0.05)) / 2)
 
 
 def chained(pairs: list[tuple[Column, object]], default) -> Column:

@@ -102,13 +102,12 @@ def title_form(text: Column) -> Column:  # T15
     return F.lower(F.trim(text))
 
 
-# UTF-8 that was read as Latin-1, and what it stood for.
-MOJIBAKE = (("Ã©", "é"), ("Ã¨", "è"), ("Ãª", "ê"), ("Ã§", "ç"), ("Ã´", "ô"), ("Ã®", "î"), ("Ã»", "û"), ("Ã¢", "â"), ("â€™", "'"))
+# Replacements in lower-case labels, in the order in which they are made.
+REPAIRS = (("ã©", "é"), ("ã¨", "è"), ("ã ", "à"), ("ã®", "î"), ("ã´", "ô"), ("ã¢", "â"), ("ã§", "ç"), ("ãª", "ê"), ("â«", "»"), ("â»", "»"), ("<<", ""), (">>", ""), ("«", ""), ("»", ""), ("-", " "), ("_", " "), ("  ", " "))
 
 
 def repaired(text: Column) -> Column:  # T16
-    fixed = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), MOJIBAKE, text)
-    return squeeze(F.lower(F.translate(F.regexp_replace(fixed, "[«»]|<<|>>", ""), "-_", "  ")))
+    return F.regexp_replace(reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), REPAIRS, F.lower(text)), r"^\s+|\s+$", "")
 
 
 def straight_quotes(text: Column) -> Column:  # T17

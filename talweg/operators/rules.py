@@ -22,18 +22,26 @@ def classify(queries: DataFrame) -> DataFrame:
     return out.select("query_id", F.coalesce(F.col("best.intent"), F.lit("GENERAL")).alias("intent"), F.coalesce(F.col("best.score") / F.col("total"), F.lit(0.5)).alias("confidence"))
 
 
+#: How a query names an establishment (accents taken off, any case); {0} is its code. Two have further forms.
+NAMED = (r"etablissement\s+{0}\b", r"etab\s*=?\s*{0}\b")
+MORE = {"P": (r"\b{0}\b.*etablissement", r"convention.*\b{0}\b"), "V": (r"\b{0}\b.*etablissement",)}
+#: How a query says that an establishment is the only one.
+ONLY = (r"(?:uniquement|seulement|exclusivement|specifiquement)\s+(?:pour\s+)?(?:l')?etablissement", r"pour\s+(?:l')?etablissement\s+\w+\s+uniquement")
+
+
+def _in(query: Column, patterns) -> Column:
+    return F.rlike(text.bare(query), F.lit("(?iU)" + "|".join(patterns)))
+
+
 def entities(query: Column) -> Column:
-    """Codes of establishments that a query names, in alphabetical order: after the word, or as [Etab = X]."""
-    plain = F.upper(text.bare(query))
-    named = F.concat(F.regexp_extract_all(plain, F.lit(r"ETABLISSEMENT\s+([\p{L}\p{N}_]+)")), F.regexp_extract_all(plain, F.lit(r"ETAB\s*=?\s+([\p{L}\p{N}_]+)")), F.regexp_extract_all(plain, F.lit(r"ETAB\s*=\s*([\p{L}\p{N}_]+)")))
-    return F.array_sort(F.array_distinct(F.filter(named, lambda x: x.isin(*dims.ENTITY_CODES))))
+    """Codes of establishments that a query names, in alphabetical order."""
+    return F.array_compact(F.array(*(F.when(_in(query, [p.format(c) for p in (*NAMED, *MORE.get(c, ()))]), c) for c in sorted(dims.ENTITY_CODES))))
 
 
 def entity_confidence(query: Column) -> Column:
-    """0 without an entity, .95 if it is said to be the only one, .85 for one, .6 for more."""
+    """0 without an entity, .95 if the query names one and says that it is the only one, .85 for one, .6 for more."""
     n = F.size(entities(query))
-    only = F.lower(text.bare(query)).rlike("(uniquement|seulement|exclusivement|specifiquement)")
-    return F.when(n == 0, 0.0).when((n == 1) & only, 0.95).when(n == 1, 0.85).otherwise(0.6)
+    return F.when(n == 0, 0.0).when((n == 1) & _in(query, ONLY), 0.95).when(n == 1, 0.85).otherwise(0.6)
 
 
 def entity_filter(ranked: DataFrame, found: DataFrame) -> DataFrame:
@@ -101,12 +109,12 @@ def beneficiary_of(queries: DataFrame) -> DataFrame:
 
 
 def beneficiary_expansion(queries: DataFrame, most: int = 3) -> DataFrame:
-    """(query_id, query) followed by the first words, up to three, of each class it names that it does not have."""
+    """(query_id, query) followed by those of the first three words of each class it names that it does not have."""
     known = F.broadcast(dims.dictionary(queries.sparkSession, dims.BENEFICIARY_WORDS))  # fixed
+    first = known.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("ordinal"))).filter(F.col("n") <= most)
     low = F.lower("query")
-    hit = queries.join(known, F.contains(low, F.col("value"))).select("query_id", "key").distinct()
-    more = queries.join(hit, "query_id").join(known, "key").filter(~F.contains(low, F.col("value")))
-    more = more.withColumn("n", F.row_number().over(W.partitionBy("query_id", "key").orderBy("ordinal"))).filter(F.col("n") <= most)
+    hit = queries.join(known, F.contains(low, F.col("value"))).select("query_id", "query", "key").distinct()
+    more = hit.join(F.broadcast(first), "key").filter(~F.contains(low, F.col("value")))
     words = more.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda x: x["value"]).alias("more"))
     return queries.join(words, "query_id", "left").select("query_id", F.array_join(F.concat(F.array("query"), text.listed(F.col("more"))), " ").alias("query"))
 
@@ -119,11 +127,11 @@ def signature_words(passage: Column, class_: Column) -> Column:
 
 
 def entity_signatures(passages: DataFrame, tokens: str = "tokens", entity: str = "entity_code") -> DataFrame:
-    """(entity, token, n, total, share, idf) with idf = ln((entities + 1) / (df + 1)) + 1 over entities."""
+    """(entity, token, n, total, share, df, idf) with idf = ln((entities + 1) / (df + 1)) + 1 over entities."""
     own = passages.select(entity, F.explode(tokens).alias("token")).groupBy(entity, "token").agg(F.count("*").alias("n"))
     count = passages.agg(F.count_distinct(entity).alias("entities"))  # one row
     total = own.groupBy("token").agg(F.sum("n").alias("total"), F.count("*").alias("df"))
-    return own.join(total, "token").crossJoin(count).select(entity, "token", "n", "total", (F.col("n") / F.col("total")).alias("share"), (F.ln((F.col("entities") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    return own.join(total, "token").crossJoin(count).select(entity, "token", "n", "total", (F.col("n") / F.col("total")).alias("share"), "df", (F.ln((F.col("entities") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def signature_boost(passage: Column, entity: Column, base: Column, mismatch: Column) -> Column:
@@ -134,20 +142,20 @@ def signature_boost(passage: Column, entity: Column, base: Column, mismatch: Col
 
 # Words of a query that stand for a topic of offers (French, then Arabic).
 TOPIC_WORDS = {
-    "payment": "paiement,payment,payement,carte,eddahabia,cib,edahabia,bancaire,électronique,avantage,دفع,تسديد,إلكتروني,بطاقة,الذهبية,رقمي",
-    "ont": "ont,modem,routeur,wifi,wi-fi,wifi 6,xgs-pon,xgs,gpon,préférentiel,preferentiel,tarif,اونت,مودم,راوتر,واي فاي,وايفاي,تفضيلي,سعر",
-    "school": "école,ecole,écoles,ecoles,primaire,primaires,scolaire,établissement,etablissement,مدرسة,مدارس,ابتدائي,ابتدائية,مدرسي,تعليمي,مؤسسة",
-    "referral": "parrainage,parrainer,parrain,sponsoring,référer,filleul,إحالة,رعاية,راعي,مُحال",
-    "business": "business,entreprise,professionnel,société,pme,medium business,moyen,pmi,tpe,أعمال,محترف,مهني,شركة,مؤسسة,صغيرة,متوسطة",
-    "tenant": "locataire,resident,résident,location,sans facture,sans justificatif,مستأجر,ساكن,كاري,بدون فاتورة,بدون إثبات",
-    "home": "résidentiel,residentiel,particulier,domicile,maison,appartement,سكني,منزلي,خواص",
-    "gamer": "gamer,gamers,gaming,jeux,joueur,ps5,xbox,جيمر,ألعاب,لاعب,بلايستيشن,اكس بوكس",
+    "payment": ["paiement", "payment", "payement", "carte", "eddahabia", "cib", "edahabia", "bancaire", "électronique", "avantage", "دفع", "تسديد", "إلكتروني", "بطاقة", "الذهبية", "رقمي"],
+    "ont": ["ont", "modem", "routeur", "wifi", "wi-fi", "wifi 6", "xgs-pon", "xgs", "gpon", "préférentiel", "preferentiel", "tarif", "اونت", "مودم", "راوتر", "واي فاي", "وايفاي", "تفضيلي", "سعر"],
+    "school": ["école", "ecole", "écoles", "ecoles", "primaire", "primaires", "scolaire", "établissement", "etablissement", "مدرسة", "مدارس", "ابتدائي", "ابتدائية", "مدرسي", "تعليمي", "مؤسسة"],
+    "referral": ["parrainage", "parrainer", "parrain", "sponsoring", "référer", "filleul", "إحالة", "رعاية", "راعي", "مُحال"],
+    "business": ["business", "entreprise", "professionnel", "société", "pme", "medium business", "moyen", "pmi", "tpe", "أعمال", "محترف", "مهني", "شركة", "مؤسسة", "صغيرة", "متوسطة"],
+    "tenant": ["locataire", "resident", "résident", "location", "sans facture", "sans justificatif", "مستأجر", "ساكن", "كاري", "بدون فاتورة", "بدون إثبات"],
+    "home": ["résidentiel", "residentiel", "particulier", "domicile", "maison", "appartement", "سكني", "منزلي", "خواص"],
+    "gamer": ["gamer", "gamers", "gaming", "jeux", "joueur", "ps5", "xbox", "جيمر", "ألعاب", "لاعب", "بلايستيشن", "اكس بوكس"],
 }
 
 
 def topics(form: Column, tokens: Column) -> Column:
     """Strength of each topic in a query, and whether it is strong enough to count against other documents."""
-    n = {k: F.size(F.array_intersect(tokens, F.array(*(F.lit(w) for w in words.split(","))))) for k, words in TOPIC_WORDS.items()}
+    n = {k: F.size(F.array_intersect(tokens, F.array(*map(F.lit, words)))) for k, words in TOPIC_WORDS.items()}
     has = lambda *parts: text.either(form, parts)
     ont, wifi6, special = has("ont", "اونت"), has("wifi 6", "واي فاي 6", "xgs-pon", "xgs"), has("préférentiel", "preferentiel", "تفضيلي")
     school, primary = has("école", "ecole", "مدرسة", "مدارس"), has("primaire", "ابتدائي")
@@ -171,11 +179,17 @@ def topics(form: Column, tokens: Column) -> Column:
     )
 
 
-def routed(pairs: DataFrame) -> DataFrame:
+#: Words of a query that point to tax texts, to a move to fibre, and to faults.
+TAX = ("timbre", "fiscal", "taxe", "طابع", "جبائي", "قانون", "المالية", "ضريبة")
+MOVES = ("modernisation", "migration", "basculement", "عصرنة", "تحديث", "تحويل")
+FAULTS = ("interruption", "coupure", "ralenti", "lent", "انقطاع", "بطء")
+
+
+def routed(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
     """The rule score of (query, document) pairs that share a token or a synonym, or whose topic decides.
 
     Columns: query_id, form and tokens of the query; doc_id, doc_tokens, doc_type, family, segments (array), technologies (array),
-    commitment, all lower case; matches (J13). The score is a sum of terms, each 0 where its topic is not asked for.
+    commitment, all lower case; matches (J13). synonyms: of the documents' labels, few and fixed. The score is a sum of terms, each 0 where its topic is not asked for.
     """
     t = topics(F.col("form"), F.col("tokens"))
     p = pairs.withColumn("t", t)
@@ -198,7 +212,14 @@ def routed(pairs: DataFrame) -> DataFrame:
     business, tenant, gamer = segment("business", "enterprise"), segment("locataire"), fam("gamer")
     asked = lambda words: text.either(F.col("form"), words)
     moves = asked(("4g", "lte", "adsl", "vdsl")) & asked(("vers", "fibre", "modernisation", "migration", "الألياف"))
+    words = F.create_map(*(x for k, v in (synonyms or {"": []}).items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    meant = lambda label: F.coalesce(F.arrays_overlap("tokens", F.element_at(words, label)), F.lit(False))
+    of = lambda labels: F.size(F.filter(text.listed(F.col(labels)), meant))
     terms = [
+        F.when(meant(kind), 3.0).otherwise(0.0),
+        F.when(meant(family), 3.0).otherwise(0.0),
+        2.0 * of("segments"),
+        1.5 * of("technologies"),
         1.5 * F.size(F.array_intersect("tokens", "doc_tokens")),
         1.0 * F.coalesce("matches", F.lit(0)),
         term("payment", payment, -10.0, strong("payment")),
@@ -220,9 +241,9 @@ def routed(pairs: DataFrame) -> DataFrame:
         F.when(F.array_contains("tokens", family), 5.0).otherwise(0.0),
         3.0 * F.size(F.array_intersect(text.listed(F.col("segments")), "tokens")),
         2.0 * F.size(F.array_intersect(text.listed(F.col("technologies")), "tokens")),
-        F.when(asked(("timbre", "fiscal", "taxe", "طابع", "جبائي")), F.when(kind == "tax_policy", 15.0).otherwise(0.0) + F.when(fam("tax_stamp"), 15.0).otherwise(0.0)).otherwise(0.0),
-        F.when(asked(("modernisation", "عصرنة")) & fam("modernisation"), 10.0).otherwise(0.0),
+        F.when(asked(TAX), F.when(kind == "tax_policy", 15.0).otherwise(0.0) + F.when(fam("tax_stamp"), 15.0).otherwise(0.0)).otherwise(0.0),
+        F.when(asked(MOVES) & fam("modernisation"), 10.0).otherwise(0.0),
         F.when(moves & fam("modernisation"), 12.0).otherwise(0.0),
-        F.when(asked(("interruption", "coupure", "panne", "انقطاع")) & kind.isin("technical", "service_quality"), 8.0).otherwise(0.0),
+        F.when(asked(FAULTS) & kind.isin("technical", "service_quality"), 8.0).otherwise(0.0),
     ]
     return p.select("query_id", "doc_id", reduce(lambda a, b: a + b, terms).cast("double").alias("score"))

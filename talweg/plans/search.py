@@ -198,12 +198,12 @@ def intent_hybrid(spark, sf_dir):
 _HEURISTIC = """SELECT r.query_id, r.doc_id, r.rank, round(len(list_filter(qw, lambda x: contains(lower(text), x))) / greatest(len(qw), 1) + CASE WHEN contains(lower(text), query) THEN 0.2 ELSE 0 END + CASE WHEN length(text) > 50 AND length(text) < 300 THEN 0.1 ELSE 0 END, 6) AS rerank FROM r JOIN qq USING (query_id) JOIN documents USING (doc_id)"""
 
 
-@query(f"""WITH {_bm25(_P, _P, _SMOOTHED, 1.5, 0.75)}, r AS ({_top(_ROUNDED, 10)}), qq AS (SELECT item_id AS query_id, lower(text) AS query, {PRODUCT_WORDS.format('text')} AS qw FROM benchmark), h AS ({_HEURISTIC})
+@query(rf"""WITH {_bm25(_P, _P, _SMOOTHED, 1.5, 0.75)}, r AS ({_top(_ROUNDED, 10)}), qq AS (SELECT item_id AS query_id, lower(text) AS query, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS qw FROM benchmark), h AS ({_HEURISTIC})
 SELECT query_id, doc_id, rank, rerank, row_number() OVER (PARTITION BY query_id ORDER BY rank <= 4 DESC, CASE WHEN rank <= 4 THEN rerank END DESC NULLS LAST, rank, doc_id) AS new_rank FROM h""")
 def heuristic_rerank(spark, sf_dir):
     """The first four of ten results by the heuristic score, the others as they were."""
     ranked = ranking.top_k(smoothed(spark, sf_dir), 10).select("query_id", "doc_id", "rank")
-    queries = _queries(spark, sf_dir).select("query_id", F.lower("query").alias("query"), text.product_words(F.col("query")).alias("query_words"))
+    queries = _queries(spark, sf_dir).select("query_id", F.lower("query").alias("query"), F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("query_words"))
     pairs = ranked.join(queries, "query_id").join(table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text")), "doc_id")
     scored = pairs.withColumn("rerank", F.round(fusion.heuristic_rerank(pairs), 6)).select("query_id", "doc_id", "rank", "rerank")
     return ranking.rerank_prefix(scored, F.col("rerank"), 4)
@@ -246,12 +246,12 @@ def cascade_one_doc(spark, sf_dir):
     return fusion.cascade(whole, scored.filter("score >= 40"), scored)
 
 
-PASSAGES = [(1, 1100, 100.0, False), (2, 800, 20.0, False), (3, 0, 1.0, True), (4, None, None, False), (5, 1150, 95.0, False)]
-ASKS = [(1, [1100], [100.0]), (2, [800, 1100], []), (3, [0], [1.05]), (4, [], [])]
+PASSAGES = [(6, 900, 50.0, False), (1, 1100, 100.0, False), (2, 800, 20.0, False), (3, 0, 1.0, True), (4, None, None, False), (5, 1150, 95.0, False)]
+ASKS = [(1, [1100], [100.0]), (2, [800, 1100], []), (3, [0], [1.05]), (4, [], []), (5, [1000], [55.0, 50.0])]
 
 
-@query(f"""WITH p AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in PASSAGES)}) AS t(doc_id, price, speed, free)), q AS (SELECT * FROM (VALUES (1, [1100], [100.0]), (2, [800, 1100], []), (3, [0], [1.05]), (4, [], [])) AS t(query_id, prices, speeds)),
-x AS (SELECT *, list_filter(prices, lambda v: abs(v - price) <= 100)[1] AS np, list_filter(speeds, lambda v: v = speed OR abs(v - speed) < 0.1 * speed)[1] AS ns FROM p, q)
+@query(f"""WITH p AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in PASSAGES)}) AS t(doc_id, price, speed, free)), q AS (SELECT * FROM (VALUES (1, [1100], [100.0]), (2, [800, 1100], []), (3, [0], [1.05]), (4, [], []), (5, [1000], [55.0, 50.0])) AS t(query_id, prices, speeds)),
+x AS (SELECT *, list_filter(prices, lambda v: abs(v - price) <= 100)[1] AS np, list_filter(speeds, lambda v: v = speed OR abs(v - speed) <= 0.1 * speed)[1] AS ns FROM p, q)
 SELECT CAST(query_id AS BIGINT) AS query_id, CAST(doc_id AS BIGINT) AS doc_id, CAST(CASE WHEN np = price THEN 2 WHEN np IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN ns = speed THEN 2 WHEN ns IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN free AND list_contains(prices, 0) THEN 1.5 ELSE 1 END AS DOUBLE) AS factor FROM x""")
 def numeric_boost(spark, sf_dir):
     """R11 on literal passages and queries."""
@@ -260,11 +260,12 @@ def numeric_boost(spark, sf_dir):
     return q.join(p, F.lit(True)).select("query_id", "doc_id", numeric.numeric_boost(F.col("prices"), F.col("speeds"), F.col("price"), F.col("speed"), F.col("free")).alias("factor"))
 
 
-_CONFIDENCE = "CASE WHEN best >= 0.7 THEN 0.9 WHEN best >= 0.5 THEN 0.7 WHEN best >= 0.3 THEN 0.5 ELSE 0.3 END"
+def _steps(x: str, *steps: float) -> str:
+    return f"CASE WHEN {x} > {steps[0]} THEN 0.9 WHEN {x} > {steps[1]} THEN 0.7 WHEN {x} > {steps[2]} THEN 0.5 ELSE 0.3 END"
 
 
 @query(f"""WITH {_DENSE}, r AS ({_top('ds', 2)}), g AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS best, max(CASE WHEN rank = 2 THEN score END) AS second FROM r GROUP BY 1)
-SELECT query_id, CAST(round(least(1.0, {_CONFIDENCE} + CASE WHEN best - coalesce(second, 0) >= 0.1 THEN 0.1 ELSE 0 END), 6) AS DOUBLE) AS confidence FROM g""")
+SELECT query_id, CAST(round(CASE WHEN second IS NULL THEN {_steps('best', 0.7, 0.5, 0.3)} ELSE ({_steps('best', 0.7, 0.5, 0.3)} + {_steps('best - second', 0.2, 0.1, 0.05)}) / 2 END, 6) AS DOUBLE) AS confidence FROM g""")
 def dense_confidence(spark, sf_dir):
     """M7 of the two best vectors."""
     q, v = _vectors(spark, sf_dir)

@@ -64,13 +64,13 @@ def search_query_words(spark, sf_dir):
 
 
 _LABELS = [(1, "  Guide «Fibre»  Pro_v2 "), (2, "Ã©chÃ©ancier – RÃ©siliation"), (3, "L’offre ‘Idoom’ `X`"), (4, "GAMERS--2025"), (5, "<<Convention>> Etab_A"), (6, "مدرسة إحالة"), (7, "")]
-_REPAIR = "text"
-for _bad, _good in text.MOJIBAKE:
+_REPAIR = "lower(text)"
+for _bad, _good in text.REPAIRS:
     _REPAIR = f"replace({_REPAIR}, {literal(_bad)}, {literal(_good)})"
 _SPACES = r"'[\s\x{00A0}\x{202F}]+', ' ', 'g'"
 
 
-@query(f"""SELECT CAST(id AS BIGINT) AS id, trim(regexp_replace(lower({_ARABIC_FORM.format('text')}), {_SPACES})) AS label, trim(regexp_replace(lower(translate(regexp_replace({_REPAIR}, '[«»]|<<|>>', '', 'g'), '-_', '  ')), {_SPACES})) AS repaired,
+@query(f"""SELECT CAST(id AS BIGINT) AS id, trim(regexp_replace(lower({_ARABIC_FORM.format('text')}), {_SPACES})) AS label, trim({_REPAIR}) AS repaired,
 translate(text, '’‘`', '''''''') AS quotes, lower(trim(text)) AS title, trim(regexp_replace(lower(text), {_SPACES})) AS folded FROM {values(_LABELS, 'id, text')}""")
 def label_forms(spark, sf_dir):
     t = F.col("text")
@@ -86,7 +86,7 @@ def gram_counts(spark, sf_dir):
     return each.groupBy("gram").agg(F.count("*").alias("n"), F.count_distinct("item_id").alias("items"))
 
 
-PRICES = [(1, "1 100 DA"), (2, "800 DA/Mois"), (3, "Gratuit (0 DA)"), (4, "3 500 Da"), (5, "2 100 Da/Mois"), (6, "1100DA"), (7, None), (8, "sans prix"), (9, "dans 500 DA")]
+PRICES = [(1, "4 250 DA"), (2, "990 DA par mois"), (3, "offert, gratuit"), (4, "de 75 à 80 da"), (5, "12 000"), (6, "650DA/an"), (7, None), (8, "sur devis"), (9, "dans 640 DA"), (10, "")]
 _PRICE = r"CASE WHEN contains(lower({0}), 'gratuit') THEN 0 ELSE try_cast(regexp_replace(regexp_extract(regexp_replace(lower({0}), '(?s)(mois|month|mensuel|année|an).*', ''), '([0-9][0-9\s]*)', 1), '\s', '', 'g') AS INTEGER) END"
 
 
@@ -97,7 +97,7 @@ def parse_price(spark, sf_dir):
     return spark.createDataFrame(PRICES, "id long, text string").unionByName(items).select("id", numeric.price(F.col("text")).alias("price"))
 
 
-SPEEDS = [(1, "1.5 Gbps"), (2, "100 Mbps"), (3, "20 Mbps"), (4, "1,2 Gbps"), (5, "1 Gbps"), (6, "300 Mbps"), (7, "512 kbps"), (8, "8"), (9, "50"), (10, "rapide"), (11, None), (12, "1.2.3 Mbps")]
+SPEEDS = [(1, "2,4 GBIT/s"), (2, "75 Mbit/s"), (3, "0.5 gb/s"), (4, "40mb/s"), (5, "256 Kbps"), (6, "64 kb/s"), (7, "9"), (8, "10"), (9, "vite"), (10, None), (11, "4.5.6 Mbps"), (12, "2 Gbps ou 50 Mbps")]
 _SPEED = "try_cast(replace(regexp_extract(lower(text), '([0-9.,]+)', 1), ',', '.') AS DOUBLE)"
 
 
@@ -107,7 +107,7 @@ def parse_speed(spark, sf_dir):
     return spark.createDataFrame(SPEEDS, "id long, text string").select("id", numeric.speed(F.col("text")).alias("mbps"))
 
 
-CLASSES = [(1, "Cadres Supérieurs"), (2, "Personnel et Retraités"), (3, "Personnel Actif"), (4, "Retraités"), (5, "Tous bénéficiaires"), (6, "Ayants droit"), (7, None), (8, "Fibre VDSL"), (9, "Téléphone FIXE"), (10, "salariés"), (11, "client")]
+CLASSES = [(1, "un cadre supérieur"), (2, "retraités, personnel"), (3, "en activité"), (4, "un retraité"), (5, "pour tous"), (6, "les ayants leur droit"), (7, None), (8, "ftth et vdsl"), (9, "Telephonie"), (10, "chaque employé"), (11, "visiteur"), (12, "retraité actif"), (13, "ADSL")]
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(l, 'cadres supérieurs|cadres superieurs|cadre supérieur') THEN 'cadres_superieurs' WHEN contains(l, 'retraité') AND NOT regexp_matches(l, 'personnel|actif') THEN 'retraites'
@@ -119,8 +119,8 @@ def beneficiary_class(spark, sf_dir):
     return spark.createDataFrame(CLASSES, "id long, text string").select("id", numeric.beneficiary(t).alias("class"), numeric.offer_type(t).alias("offer"))
 
 
-@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10) AS v FROM lineitem), n AS (SELECT l_orderkey, l_linenumber, v, min_by(k, (abs(v - k), k)) AS k FROM p, (SELECT unnest({list(numeric.COMMON_PRICES)}) AS k) GROUP BY 1, 2, 3)
-SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CASE WHEN abs(v - k) <= 0.1 * k THEN CAST(k AS DOUBLE) ELSE CAST(v AS DOUBLE) END AS near FROM n""")
+@query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10) AS v FROM lineitem), n AS (SELECT *, list_sort(list_transform({list(numeric.COMMON_PRICES)}, lambda k: {{'gap': abs(v - k), 'k': k}}))[1] AS best FROM p)
+SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(CASE WHEN best.gap <= 0.1 * v THEN best.k ELSE v END AS DOUBLE) AS near FROM n""")
 def nearest_price(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").withColumn("v", F.floor(F.col("l_extendedprice") / 10))
     return items.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), numeric.nearest(F.col("v"), numeric.COMMON_PRICES).alias("near"))
@@ -168,7 +168,7 @@ _WHO = [(k, v, i) for i, (k, v) in enumerate((k, v) for k, words in dims.BENEFIC
 
 
 @query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {values(WHO, 'query_id, query')}), d AS (SELECT * FROM {values(_WHO, 'key, value, ordinal')}), h AS (SELECT DISTINCT query_id, query, key FROM q JOIN d ON contains(lower(query), value)),
-m AS (SELECT query_id, value, ordinal, row_number() OVER (PARTITION BY query_id, key ORDER BY ordinal) AS n FROM h JOIN d USING (key) WHERE NOT contains(lower(query), value)), l AS (SELECT query_id, list(value ORDER BY ordinal) AS more FROM m WHERE n <= 3 GROUP BY 1),
+m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal) AS n FROM d), l AS (SELECT query_id, list(value ORDER BY ordinal) AS more FROM h JOIN m USING (key) WHERE n <= 3 AND NOT contains(lower(query), value) GROUP BY 1),
 b AS (SELECT query_id, min_by(key, ordinal) AS beneficiary FROM q JOIN d ON contains(lower(query), value) GROUP BY 1)
 SELECT query_id, beneficiary, array_to_string(list_concat([query], coalesce(more, [])), ' ') AS query FROM q LEFT JOIN l USING (query_id) LEFT JOIN b USING (query_id)""")
 def beneficiary_queries(spark, sf_dir):
