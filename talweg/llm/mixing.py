@@ -5,76 +5,74 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from talweg.llm._shared import stored
+from talweg.llm._shared import free, stored
 
 #: Lanes at most: the largest sources have one each, all others share the last, within which they
-#: have lanes again. Slots of a period: weights are whole
-#: multiples of 1 / PERIOD, so that even 2^26 blocks are not a hundredth of a block off.
-LANES, PERIOD = 256, 1 << 36
+#: have lanes again.
+LANES = 256
+#: Windows end here at last, where a weight is so small that its block has practically no deadline.
+NEVER = 1 << 62
 #: Documents of a block.
 BLOCK = 16
 
 
-def shares(weights: list[float], period: int) -> list[int]:
-    """Weights as whole slots of a period, at least one each, by largest remainder."""
-    total = sum(weights)
-    exact = [max(1.0, w / total * period) for w in weights]
-    out = [int(x) for x in exact]
-    order = sorted(range(len(weights)), key=lambda i: (out[i] - exact[i], i))
-    k = 0
-    while sum(out) < period:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while sum(out) > period:
-        out[max(range(len(out)), key=lambda i: (out[i], -i))] -= 1
-    return out
+def shares(weights: list[float]) -> list[Fraction]:
+    """The weights' exact shares of their sum."""
+    exact = [Fraction(w) for w in weights]
+    total = sum(exact)
+    return [w / total for w in exact]
+
+
+def window(share: Fraction, block: int) -> tuple[int, int]:
+    """Release and deadline of a lane's block: floor(block / share) and ceil((block + 1) / share)."""
+    return block * share.denominator // share.numerator, -(-(block + 1) * share.denominator // share.numerator)
 
 
-def pattern(slots: list[int], period: int, left: list[int] | None = None) -> list[list[int]]:
-    """One period, or as much of it as a lane has blocks left: the slots of each lane, by earliest deadline first.
+def pattern(share: list[Fraction], left: list[int]) -> list[list[int]]:
+    """The slots of each lane by earliest deadline first, until a lane has no blocks left.
 
-    Lane i's block j may run from floor(j * period / slots[i]) and before ceil((j + 1) * period / slots[i]). Shares add up to
-    the period, so every slot is taken and every deadline met: no lane is ever a whole block off its target.
+    Lane i's block j may run from its release and before its deadline. Shares add up to one,
+    so every slot is taken and every deadline met: no lane is ever a whole block off its target.
     """
-    out: list[list[int]] = [[] for _ in slots]
-    waiting = [(0, i) for i in range(len(slots))]
+    out: list[list[int]] = [[] for _ in share]
+    waiting = [(0, i) for i in range(len(share))]
     ready: list[tuple[int, int]] = []
-    for slot in range(period):
+    slot = 0
+    while share:
         while waiting and waiting[0][0] <= slot:
             _, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(out[i]) + 1) * period // slots[i]), i))
+            heapq.heappush(ready, (window(share[i], len(out[i]))[1], i))
         _, i = heapq.heappop(ready)
         out[i].append(slot)
-        if left and len(out[i]) == left[i]:
+        slot += 1
+        if len(out[i]) == left[i]:
             break
-        if len(out[i]) < slots[i]:
-            heapq.heappush(waiting, (len(out[i]) * period // slots[i], i))
+        heapq.heappush(waiting, (window(share[i], len(out[i]))[0], i))
     return out
 
 
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[dict]:
-    """Rows (lane, first, last, start, share, period, slots): in a phase, lane's blocks first to last - 1 run in slots
-    start + (r div share) * period + slots[r mod share], r = block - first. No phase is longer than a period.
+def phases(blocks: list[int], weights: list[float]) -> list[dict]:
+    """Rows (lane, first, last, start, share, slots): in a phase, lane's blocks first to last - 1 run in slots
+    start + slots[block - first].
 
     A phase ends when a lane has no blocks left; the others go on with their weights in proportion.
     """
     done, start, out = [0] * len(blocks), 0, []
     while active := [i for i, n in enumerate(blocks) if done[i] < n]:
-        length = max(period, PERIOD)
-        share = shares([weights[i] for i in active], length)
-        slots = pattern(share, length, [blocks[i] - done[i] for i in active])
-        end = sum(map(len, slots))
+        share = shares([weights[i] for i in active])
+        slots = pattern(share, [blocks[i] - done[i] for i in active])
         for i, p, s in zip(active, share, slots, strict=True):
             if s:
-                out.append({"lane": i, "first": done[i], "last": done[i] + len(s), "start": start, "share": p, "period": length, "slots": s})
+                out.append({"lane": i, "first": done[i], "last": done[i] + len(s), "start": start, "share": p, "slots": s})
             done[i] += len(s)
-        start += end
+        start += sum(map(len, slots))
     return out
 
 
@@ -113,7 +111,7 @@ def placed(plan: list[dict]) -> list[dict]:
     for p in plan:
         for k in range(0, len(p["slots"]), CHUNK):
             some = p["slots"][k : k + CHUNK]
-            windows = [(p["start"] + r * p["period"] // p["share"], p["start"] - (-(r + 1) * p["period"] // p["share"])) for r in range(k, k + len(some))]
+            windows = [[min(NEVER, p["start"] + x) for x in window(p["share"], r)] for r in range(k, k + len(some))]
             out.append({"lane": p["lane"], "first": p["first"] + k, "slots": [p["start"] + s for s in some], "releases": [a for a, _ in windows], "deadlines": [b for _, b in windows]})
     return out
 
@@ -126,10 +124,10 @@ def _table(spark, rows: list[dict], kind: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = 0.7, block: int = BLOCK, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> tuple[DataFrame, int]:
-    """All columns of docs, and `mix_`: lane, block, at, release, deadline, slot, position; and the number of slots.
+    """All columns of docs, and `mix_` (with more underscores if docs has such a column): lane, block, at, release, deadline, slot, position; and the number of slots.
 
     Every row appears once, in blocks of one source; slots order the blocks, position = slot * block + place in the block. Within
-    a source, documents come in the order of a seeded hash. weights: a target for each source (0 or missing: the smallest
+    a source, documents come in the order of a seeded hash of id and all columns; rows that are equal in all can stand for each other. weights: a target for each source (0 or missing: the smallest
     given); without any, row counts to the power `temperature`. The largest sources have a lane each, null being a source;
     beyond LANES - 1 the rest share one, weighted by their sum, and are mixed to their weights within it. In each phase, the blocks that a lane has had by any slot differ from its target by
     less than one. Rows are counted and numbered in buckets of a source's hash, never in one task per source. Counts of
@@ -153,10 +151,12 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
     lanes = [{"member": i, "lane": min(i, last), "name": r["source"], "own": True, "buckets": math.ceil(r["n"] / rows)} for i, r in enumerate(sources)]
     lanes_ = _table(spark, lanes, "member int, lane int, name string, own boolean, buckets int")
     lane = F.broadcast(lanes_) if len(sources) <= LANES else lanes_
-    named = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
+    # the whole row orders what has the same id, so that a task that runs again deals rows alike
+    key = F.xxhash64(F.col(id_col), _content(docs), F.lit(seed)).alias("key")
+    named = docs.select(F.struct("*").alias("row"), key, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"))
     dealt = named.join(lane, F.col("source").eqNullSafe(F.col("name")))
     dealt = dealt.select("row", "key", "id", "source", "member", "lane", F.pmod("key", "buckets").alias("bucket"))
-    groups = docs.select(F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"), F.col(source_col).cast("string").alias("source")).join(lane, F.col("source").eqNullSafe(F.col("name")))
+    groups = docs.select(key, F.col(source_col).cast("string").alias("source")).join(lane, F.col("source").eqNullSafe(F.col("name")))
     groups = groups.groupBy("member", F.pmod("key", "buckets").alias("bucket")).agg(F.count("*").alias("n"))
     before = groups.select("member", "bucket", (F.sum("n").over(W.partitionBy("member").orderBy("bucket")) - F.col("n")).alias("before"))
     number = F.row_number().over(W.partitionBy("member", "bucket").orderBy("key", "id", "source")) - 1
@@ -183,14 +183,20 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, tempera
         "slot",
         (F.col("slot") * block + at).alias("position"),
     )
-    return placed_.select("row.*", mixed.alias("mix_")), slots
+    return placed_.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), mixed.alias(free("mix_", docs))), slots
+
+
+def _content(docs: DataFrame) -> Column:
+    """A hash of all columns; maps, which have no order, as JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields))
 
 
 def in_order(mixed: DataFrame, slots: int, block: int = BLOCK) -> DataFrame:
-    """The rows of mix() in the order of their positions: parts of equal ranges of slots, one after the other, each sorted."""
+    """The rows of mix(), whose last column is the operator's, in the order of their positions: parts of equal ranges of slots, one after the other, each sorted."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    place: Column = F.floor(F.col("mix_.slot") * parts / max(1, slots)).cast("int")
-    return mixed.repartitionById(parts, place).sortWithinPartitions("mix_.position").drop("mix_")
+    own = mixed.columns[-1]
+    place: Column = F.floor(F.col(f"{own}.slot") * parts / max(1, slots)).cast("int")
+    return mixed.repartitionById(parts, place).sortWithinPartitions(f"{own}.position").drop(own)
 
 
 def written_place() -> Column:
