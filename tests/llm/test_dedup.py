@@ -167,7 +167,7 @@ def test_lines_equal_brute_force(spark, texts):
     """Links by edit similarity alone, over all pairs of lines."""
     df = spark.createDataFrame(texts, "doc_id long, text string")
     norms = {(i, p): normal(x) for i, t in texts for p, x in enumerate(t.split("\n")) if normal(x)}
-    assert {(r.doc_id, r.pos): r.norm for r in line_dedup.lines(df).collect()} == norms
+    assert {(r.doc_id, r.pos): r.norm for r in line_dedup.lines(df).withColumn("norm", line_dedup.normalised(F.col("text"))).collect()} == norms
     distinct = sorted(set(norms.values()))
     links = []
     for a, b in combinations(distinct, 2):
