@@ -20,12 +20,17 @@ SHINGLE, PERCENT = 5, 75
 #: deviation of 4.9, so one link in ten thousand is missed as a pair of its own.
 TOKENS, COMMON = 128, 78
 #: Independent trees. A node's documents go on by one token, and by another in a third of the nodes: 4/3 = 1/0.75 on average. A pair
-#: at 0.75 meets in a tree's first level with probability 0.81, after four levels with 0.45: in one of ten trees with 0.997.
+#: at 0.75 meets in a tree after two steps with probability 0.66, after four with 0.45: in one of ten trees with 0.99998 and 0.997.
 TREES = 10
+#: Steps that all documents take before nodes are looked at: documents that share a passage, and little else, part there. Levels at
+#: which a node's documents are compared with one of them first.
+STEPS, LED = 2, 2
 #: Documents of a node that are compared exhaustively; levels after which a larger node is compared in blocks.
 SMALL, LEVELS = 512, 8
 #: Shingles of a node's documents up to which their texts are brought together in one task.
 HEAVY = 4_000_000
+#: Documents whose ids are sent to all executors to fetch their texts, rather than all texts be shuffled.
+FEW = 1 << 20
 #: Columns of one product of incidence matrices.
 COLUMNS = 4096
 
@@ -103,12 +108,15 @@ def _children(known: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
                 reps, sketches = np.asarray(part.column(1), np.int64), _sketch_rows(part.column(2))
                 if part.column(0).null_count:
                     nodes = np.tile(_ROOTS, len(reps))
                     reps, sketches = np.repeat(reps, TREES), np.repeat(sketches, TREES, axis=0)
+                    for _ in range(STEPS - 1):
+                        at, nodes = branch(nodes, sketches)
+                        reps, sketches = reps[at], sketches[at]
                 else:
                     nodes = np.asarray(part.column(0), np.int64).view(np.uint64)
                 at, children = branch(nodes, sketches)
@@ -290,6 +298,8 @@ def _bodies(docs: DataFrame, ids: DataFrame, reps: DataFrame) -> DataFrame:
     """(rep, one, body) of the sets in ids (rep), a row for each text of the document that stands for the set; only the row
     whose shingles have the digest `one` is the set's, which readers check."""
     wanted = stored(reps.select("rep", "home", "one").join(ids, "rep", "left_semi"), "wanted")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)  # FEW rows of three longs; more are joined by a shuffle
     return stored(docs.join(wanted, F.col("doc_id") == F.col("home")).select("rep", "one", "body"), "texts")
 
 
@@ -340,8 +350,8 @@ def _grouped(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     """(a, b): links that connect all sets (rep, home, one, n_shingles, sketch) that are alike and meet in a node; docs (doc_id, body).
 
-    At each level, every document of a node is compared with one of them first, in proportion to documents. Nodes that this
-    connects are done. Of the others, small ones are compared exhaustively, and large ones, too, where few documents are outside
+    At the first LED levels, every document of a node is compared with one of them first, in proportion to documents. Nodes that
+    this connects are done. Of the others, small ones are compared exhaustively, and large ones, too, where few documents are outside
     the largest group; the rest go on down the trees. Nodes of the same documents count once.
     """
     found = groups = whole = None
@@ -353,22 +363,24 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
         once = sizes.groupBy("n", "lead", "x").agg(F.min("node").alias("node")).select("node", "n", "lead")
         known = stored(level.join(apart(once), "node"), "nodes")
         discard(level)
-        tried = known.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-        if groups is not None:
-            one, two = (groups.select(F.col("rep").alias(x), F.col("group").alias(f"group_{x}")) for x in "ab")
-            tried = tried.join(one, "a", "left").join(two, "b", "left").filter("not coalesce(group_a = group_b, false)").select("a", "b")
-        tried = stored(_similar(tried, reps), "pairs")
-        if not tried.isEmpty():
-            new = _confirmed(tried, _bodies(docs, tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), reps))
-            found = new if found is None else found.unionByName(new)
-            groups = graph.components(found).select(F.col("node").alias("rep"), F.col("component").alias("group"))
+        if depth <= LED:
+            tried = known.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+            if groups is not None:
+                one, two = (groups.select(F.col("rep").alias(x), F.col("group").alias(f"group_{x}")) for x in "ab")
+                tried = tried.join(one, "a", "left").join(two, "b", "left").filter("not coalesce(group_a = group_b, false)").select("a", "b")
+            tried = stored(_similar(tried, reps), "pairs")
+            if not tried.isEmpty():
+                texts = _bodies(docs, tried.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), reps)
+                new = _confirmed(tried, texts)
+                discard(texts)
+                found = new if found is None else found.unionByName(new)
+                groups = graph.components(found).select(F.col("node").alias("rep"), F.col("component").alias("group"))
         small.append(known.filter(F.col("n") <= SMALL).select("node", "rep"))
         large = known.filter(F.col("n") > SMALL).select("node", "rep", "n")
         if large.isEmpty():
             break
         cut, large = _strays(_grouped(large, groups))
         small.append(cut)
-        large = stored(large, "large-nodes")
         if large.isEmpty():
             break
         if depth == LEVELS:
