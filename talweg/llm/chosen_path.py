@@ -310,11 +310,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                keys = [[(x, i) for x, i in zip(part.column(c).to_pylist(), part.column(c + 1).to_pylist(), strict=True)] for c in (0, 3)]
-                bodies = dict(zip(keys[0] + keys[1], part.column(2).to_pylist() + part.column(5).to_pylist(), strict=True))
-                made = dict(zip(bodies, shingles(list(bodies.values())), strict=True))
-                fine = {key: s for key, s in made.items() if digest(s) == key[1]}
-                link = [x in fine and y in fine and alike(fine[x], fine[y]) for x, y in zip(*keys, strict=True)]
+                bodies = list(dict.fromkeys(part.column(2).to_pylist() + part.column(5).to_pylist()))
+                made = dict(zip(bodies, ((s, digest(s)) for s in shingles(bodies)), strict=True))
+                link = []
+                for one, x, other, y in zip(*(part.column(c).to_pylist() for c in (1, 2, 4, 5)), strict=True):
+                    (s, own), (t, its) = made[x], made[y]
+                    link.append(own == one and its == other and alike(s, t))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(3)], ["a", "b"]).filter(pa.array(link))
 
     one, two = (texts.select(F.col("rep").alias(x), F.col("one").alias(f"one_{x}"), F.col("body").alias(f"body_{x}")) for x in "ab")
