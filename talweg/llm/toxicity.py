@@ -15,13 +15,13 @@ from talweg.llm._shared import arrow_map
 
 #: Buckets of hashed terms and latent factors of each.
 BUCKETS, FACTORS = 1 << 18, 4
-#: Added to a count's variance, so that rare terms need more than chance to lean.
-SHRINK = 20.0
+#: Rows in which a term is found at least to have a weight. Weights and factors of all such terms are learned first, in EPOCHS of
+#: batches, with thresholds that keep those at zero which do not pay; what is left then is fitted without thresholds.
+FEWEST, EPOCHS, HALF = 5, 40, 128
+#: Thresholds on weights and on the length of a term's factors.
+SPARSE, GROUP = 3e-3, 5e-3
 #: Bytes of the word beginnings that are terms, too.
 STEMS = (4, 5)
-#: Hashed terms that the machine keeps: those whose label shares lean by LEAN deviations, the FEWEST that lean most at least,
-#: TERMS at most.
-LEAN, FEWEST, TERMS = 2.0, 16, 2048
 #: Labelled documents that training takes at most, for each label.
 SAMPLE = 5000
 #: A-Z to a-z, and ASCII that is neither letter nor digit to a space.
@@ -72,47 +72,88 @@ def terms(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (keys & (BUCKETS - 1)).astype(np.int32), np.searchsorted(keys >> 18, np.arange(len(texts) + 1))
 
 
+class _Adam:
+    """Adam's moments of one array; step gives the scale of each entry's step and the step."""
+
+    def __init__(self, shape):
+        self.m, self.v, self.t = np.zeros(shape), np.zeros(shape), 0
+
+    def step(self, grad: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        self.t += 1
+        self.m += 0.1 * (grad - self.m)
+        self.v += 0.01 * (grad**2 - self.v)
+        scale = rate / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
+        return scale, scale * self.m / (1 - 0.9**self.t)
+
+
+def _gradient(p: np.ndarray, bias: np.ndarray, col: np.ndarray, row: np.ndarray, first: np.ndarray, label: np.ndarray, weight) -> tuple[np.ndarray, float]:
+    """Of the weighted logistic loss of rows (compressed sparse) with respect to p (weight, factors) and bias."""
+    x = p[col]
+    total = _row_sums(x, first)
+    z = bias + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - _row_sums((x[:, 1:] ** 2).sum(1), first))
+    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight
+    part = np.empty_like(x)
+    part[:, 0] = g[row]
+    part[:, 1:] = g[row, None] * (total[row, 1:] - x[:, 1:])
+    return np.stack([np.bincount(col, part[:, j], len(p)) for j in range(p.shape[1])], axis=1), g.sum()
+
+
+def _picked(col: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = first[rows + 1] - first[rows]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    return col[np.repeat(first[rows] - begin[:-1], sizes) + np.arange(begin[-1])], np.repeat(np.arange(len(rows)), sizes), begin
+
+
+def _sparse(col: np.ndarray, first: np.ndarray, label: np.ndarray, d: int, rng, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Weights, factors and bias by proximal Adam on batches with as many rows of either label."""
+    p = np.concatenate([np.zeros((d, 1)), rng.normal(0, 0.05, (d, FACTORS))], axis=1)
+    bias, adam, own = np.zeros(1), _Adam(p.shape), _Adam(1)
+    by = [np.flatnonzero(label == x) for x in (1, 0)]
+    steps = EPOCHS * max(1, min(len(label) // (2 * HALF), 25))
+    for t in range(1, steps + 1):
+        rows = np.concatenate([rng.choice(x, HALF, replace=len(x) < HALF) for x in by])
+        grad, g = _gradient(p, bias, *_picked(col, first, rows), label[rows], 1 / len(rows))
+        now = rate * min(1.0, 2 * (1 - t / steps))
+        scale, change = adam.step(grad, now)
+        p -= change
+        p[:, 0] = np.sign(p[:, 0]) * np.maximum(np.abs(p[:, 0]) - scale[:, 0] * SPARSE, 0)
+        size = np.sqrt((p[:, 1:] ** 2).sum(1))
+        p[:, 1:] *= (np.maximum(size - np.sqrt((scale[:, 1:] ** 2).mean(1)) * GROUP, 0) / np.maximum(size, 1e-12))[:, None]
+        bias -= own.step(np.array([g]), now)[1]
+    return p, bias
+
+
 def fit(index: np.ndarray, first: np.ndarray, label: np.ndarray, share: float, steps: int = 60, rate: float = 0.08, l2: float = 1e-3, seed: int = 7) -> Machine:
-    """Full-batch Adam on the logistic loss; share: of label 1 among all labelled rows, to which the bias is set back.
+    """A machine that minimises the logistic loss with both labels weighing as much; share: of label 1 among all labelled rows, to
+    which the bias is set back.
 
-    Terms in fewer than five rows or beyond those that lean most take no part. Without rows of both labels the score is the share everywhere.
+    Every term of FEWEST rows takes part, however little it leans by itself, so that terms which matter only together are found.
+    Without rows of both labels the score is the share everywhere.
     """
     n, prior = len(label), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
     empty = Machine(prior, np.zeros(BUCKETS, np.float32), np.zeros((BUCKETS, FACTORS), np.float32))
     if not 0 < label.sum() < n:
         return empty
-    hits = np.bincount(index, minlength=BUCKETS)
-    toxic = np.bincount(index[np.repeat(label == 1, np.diff(first))], minlength=BUCKETS)
-    part = label.sum() / n
-    often = np.flatnonzero(hits >= 5)
-    lean = np.abs(toxic - part * hits)[often] / np.sqrt(hits[often] * part * (1 - part) + SHRINK)
-    order = np.lexsort((often, -lean))
-    often = np.sort(often[order][: min(TERMS, max(FEWEST, int((lean >= LEAN).sum())))])
-    place = np.full(BUCKETS, -1, np.int32)
-    place[often] = np.arange(len(often))
-    col = place[index]
-    keep = col >= 0
-    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))[keep]
-    col = col[keep]
-    first = np.searchsorted(row, np.arange(n + 1))
+
+    def kept(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        place = np.full(BUCKETS, -1, np.int32)
+        place[some] = np.arange(len(some))
+        keep = place[index] >= 0
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))[keep]
+        return place[index][keep], row, np.searchsorted(row, np.arange(n + 1))
+
+    often = np.flatnonzero(np.bincount(index, minlength=BUCKETS) >= FEWEST)
+    col, _, begin = kept(often)
+    p, bias = _sparse(col, begin, label, len(often), np.random.default_rng(seed))
+    some = np.abs(p).sum(1) > 0
+    often, p = often[some], p[some]
+    col, row, begin = kept(often)
     balance = np.where(label == 1, 0.5 / label.sum(), 0.5 / (n - label.sum()))
-    rng, d = np.random.default_rng(seed), len(often)
-    p = np.concatenate([np.zeros((d, 1)), rng.normal(0, 0.03, (d, FACTORS))], axis=1)
-    bias = np.zeros(1)
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (p, bias)]
-    for t in range(1, steps + 1):
-        x = p[col]
-        total = _row_sums(x, first)
-        z = bias + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - _row_sums((x[:, 1:] ** 2).sum(1), first))
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * balance
-        part = np.empty_like(x)
-        part[:, 0] = g[row]
-        part[:, 1:] = g[row, None] * (total[row, 1:] - x[:, 1:])
-        grad = np.stack([np.bincount(col, part[:, j], d) for j in range(1 + FACTORS)], axis=1) + l2 * p / 10
-        for x, gx, (m, v) in ((p, grad, state[0]), (bias, np.array([g.sum()]), state[1])):
-            m += 0.1 * (gx - m)
-            v += 0.01 * (gx**2 - v)
-            x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+    adam, own = _Adam(p.shape), _Adam(1)
+    for _ in range(steps):
+        grad, g = _gradient(p, bias, col, row, begin, label, balance)
+        p -= adam.step(grad + l2 * p / 10, rate)[1]
+        bias -= own.step(np.array([g]), rate)[1]
     weights, factors = empty.weights.copy(), empty.factors.copy()
     weights[often], factors[often] = p[:, 0], p[:, 1:]
     return Machine(float(bias[0]) + prior, weights, factors)
@@ -130,18 +171,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for value in (0, 1):
         some = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("known_id"), "known_id").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
-    texts = narrow(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id")).select("toxic", "body")
+    texts = narrow(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("known_id")).select(F.shiftleft("doc_id", 1).bitwiseOR(F.col("toxic")).alias("row"), "body")
 
     def run(batches):
         for toxic, bodies in rows(batches):
             index, first = terms(bodies)
-            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.ListArray.from_arrays(first.astype(np.int32), index)], ["toxic", "terms"])
+            yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int64()), pa.ListArray.from_arrays(first.astype(np.int32), index)], ["row", "terms"])
 
-    got = arrow_map(texts, run, "toxic int, terms array<int>").toArrow()
+    got = arrow_map(texts, run, "row long, terms array<int>").toArrow()
+    got = got.take(pc.sort_indices(got, [("row", "ascending")]))  # as Spark returns it in any order
     lists = got.column("terms").combine_chunks()
     index = np.asarray(lists.flatten(), np.int32)
     first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))]) if len(lists) else np.zeros(1, np.int64)
-    label = np.asarray(got.column("toxic").to_numpy(), np.float64)
+    label = (np.asarray(got.column("row").to_numpy(), np.int64) & 1).astype(np.float64)
     del got, lists
     return fit(index, first, label, counts.get(1, 0) / max(1, sum(counts.values())))
 

@@ -185,6 +185,28 @@ def test_machine_learns_a_pair(spark):
     assert right / 300 > 0.97
 
 
+def test_machine_learns_that_exactly_one_of_two_terms_counts(spark):
+    """Neither term leans by itself; only their product tells the labels apart."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(3000):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"n{rng.randrange(200)}" for _ in range(30)] + ["alpha"] * one + ["omega"] * two
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), int(one != two)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    machine = toxicity.train(df.select("doc_id", "text"), df.filter("doc_id < 2000").select("doc_id", "toxic"))
+    got = {r.doc_id: r.score for r in toxicity.score(df.filter("doc_id >= 2000"), machine).collect()}
+    yes, no = ([got[d] for d, _, y in rows if d >= 2000 and y == x] for x in (1, 0))
+    assert sum(a > b for a in yes for b in no) / (len(yes) * len(no)) > 0.95  # the area under the curve
+
+
+def test_scores_do_not_depend_on_the_order_of_rows(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    one, two = (toxicity.train(x, labels) for x in (docs.repartition(5), docs.orderBy("text")))
+    assert one.bias == two.bias and (one.weights == two.weights).all()
+
+
 def test_training_ignores_held_out_labels(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
