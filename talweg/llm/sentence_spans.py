@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from talweg.llm._rows import Words, mix, narrow, rows
 from talweg.llm._rows import _powers as powers
-from talweg.llm._shared import apart, arrow_map
+from talweg.llm._shared import apart, arrow_map, stored
 
 #: Sentences and words that a span has at least; it is the shortest run from its first sentence with both.
-RUN, LEAST = 3, 12
-#: Sentences of more words than LONG are cut after words whose hash is a multiple of CUT, wherever they stand, and at last
-#: after MOST words (one word again and again).
-LONG, CUT, MOST = 20, 6, 40
+RUN, LEAST = 3, 25
+#: Sentences end after words whose hash is a multiple of CUT, too, wherever these stand, and at last after MOST words (one word again
+#: and again). Of a copied passage, only what stands before its first cut and after its last one depends on the surroundings.
+CUT, MOST = 6, 40
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STOP = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
 
 def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """First word and end word of each sentence of some texts. A sentence ends at a word that ends in . ! or ?, before a line
-    break, and at its text's end; long ones are cut at places that depend on the words there alone, so that copies of a
+    break, and at its text's end, and at places that depend on the word there alone, so that copies of a
     passage are cut alike in any surroundings."""
     n = len(words.hash)
     if not n:
@@ -30,10 +30,7 @@ def sentences(words: Words) -> tuple[np.ndarray, np.ndarray]:
     breaks = np.concatenate(([0], np.cumsum(words.data == 10)))
     last = np.ones(n, bool)
     last[:-1] = _STOP[words.data[words.ends[:-1] - 1]] | (breaks[words.starts[1:]] > breaks[words.ends[:-1]]) | (words.text[1:] != words.text[:-1])
-    end = np.flatnonzero(last) + 1
-    size = np.diff(np.concatenate(([0], end)))
-    long = np.repeat(size > LONG, size)
-    end = np.flatnonzero(last | (long & (words.hash % np.uint64(CUT) == 0))) + 1
+    end = np.flatnonzero(last | (words.hash % np.uint64(CUT) == 0)) + 1
     if (size := np.diff(np.concatenate(([0], end)))).max() > MOST:
         parts = -(-size // MOST)
         rest = np.repeat(np.cumsum(parts), parts) - np.arange(parts.sum()) - 1  # cuts that follow in the same sentence
@@ -85,7 +82,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             keys = np.array(ids, np.int64)[pairs[0].astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(pairs[1].astype(np.int64)), pa.array(keys)], ["hash", "doc_id"])
 
-    found = arrow_map(narrow(docs, id_col, text_col).filter("doc_id is not null"), run, "hash long, doc_id long")
+    found = stored(arrow_map(narrow(docs, id_col, text_col).filter("doc_id is not null"), run, "hash long, doc_id long"), "spans")
     first = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").select("hash", "first_id")
     return found.join(apart(first), "hash").filter("doc_id > first_id").groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
 
