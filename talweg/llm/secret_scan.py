@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from talweg.llm._rows import decoded, narrow, rows
 from talweg.llm._shared import arrow_map
@@ -32,16 +31,38 @@ january february march april june july august september october november decembe
 # Rows of keys on common keyboards.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "azertyuiop", "qsdfghjklm")
 
-_RANK = {w: i + 1 for i, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
+#: Words of a corpus that join the fixed ones, by documents that have them; those of fewer documents are left out, as are words that
+#: are shorter or longer.
+LEXICON, FEWEST, SHORTEST, LONGEST = 20_000, 5, 3, 24
 _NEXT = {a + b for row in KEY_ROWS for x in (row, row[::-1]) for a, b in zip(x, x[1:], strict=False)}
 _LEET = str.maketrans("013457@$!", "oieastasi")
 
 
-def guess_bits(value: str) -> float:
+def ranks(more: list[str] = ()) -> dict[str, int]:
+    """Rank of each word: the fixed ones first, then more in their order."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys((*COMMON_WORDS, *more)))}
+
+
+_RANK = ranks()
+
+
+def lexicon(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """The LEXICON words that most documents have, most first, ties in alphabetical order; at most that many come to the driver.
+
+    Words are runs of a-z in lower-case texts. Credential contexts are left out, so that a secret which many copies
+    hold is no word.
+    """
+    low = F.lower(F.col(text_col).cast("string"))
+    clean = F.when(low.contains(":") | low.contains("="), F.regexp_replace(low, _CONTEXT.pattern, " ")).otherwise(low)
+    words = docs.select(F.explode(F.array_distinct(F.split(clean, "[^a-z]+"))).alias("word")).filter(F.length("word").between(SHORTEST, LONGEST))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= FEWEST)
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(LEXICON).collect()]
+
+
+def guess_bits(value: str, rank: dict[str, int] = _RANK) -> float:
     """log2 of the guesses that the cheapest segmentation of a value needs.
 
-    Segments are common words (their rank, 1 bit for capitals, 2 for look-alike digits), dates (about 40,000 days, 1 bit for a
+    Segments are words of a ranked lexicon (their rank, 1 bit for capitals, 2 for look-alike digits), dates (about 40,000 days, 1 bit for a
     separator), repeats of one character or of a block, keyboard walks (start, length and turns), and single brute-force
     characters at the size of their class. Starting a segment costs one bit. Linear in the value's length: each place
     tries words no longer than the longest, dates of at most 10 characters, and one run each of repeat and walk. Empty: 0.
@@ -59,11 +80,11 @@ def guess_bits(value: str) -> float:
         c = value[i]
         alone = math.log2(10 if c.isdigit() else 26 if c.islower() or c.isupper() else 33) + (0 if c.isascii() else 5)
         best[i + 1] = min(best[i + 1], best[i] + alone)
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
-            if rank := _RANK.get(low[i:j]):
-                to(j, math.log2(rank + 1) + (low[i:j] != value[i:j]))
-            elif j - i > 2 and (rank := _RANK.get(plain[i:j])):
-                to(j, math.log2(rank + 1) + 2 + (low[i:j] != value[i:j]))
+        for j in range(i + 2, min(n, i + LONGEST) + 1):
+            if place := rank.get(low[i:j]):
+                to(j, math.log2(place + 1) + (low[i:j] != value[i:j]))
+            elif j - i > 2 and (place := rank.get(plain[i:j])):
+                to(j, math.log2(place + 1) + 2 + (low[i:j] != value[i:j]))
         if c.isdigit() and (m := _DATE.match(value, i)):
             to(m.end(), 15.3 + bool(m[1] or m[2]) if m.end() - i > 4 else 7)
         if i == 0 or low[i - 1] != low[i]:
@@ -90,43 +111,48 @@ def guess_bits(value: str) -> float:
     return best[n]
 
 
-def find(text: str, min_bits: float) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, float]]]:
-    """Base spans (kind, start, end) and added spans (start, end, bits) of one text, in code points, by start."""
+def find(text: str, min_bits: float, rank: dict[str, int] = _RANK) -> tuple[list[tuple[str, int, int, float | None]], list[tuple[int, int, float]]]:
+    """Base spans (kind, start, end, bits of an assigned value) and added spans (start, end, bits) of one text, in code points, by
+    start."""
     spans = []
     signs = ":" in text or "=" in text
     if signs:
-        spans += [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+        spans += [("assign", m.start(), m.end(), guess_bits(m[2], rank)) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
-        spans += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
-    spans += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
+        spans += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text)]
+    spans += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
     added = []
     if signs:
-        known = sorted((a, b) for kind, a, b in spans if kind == "assign")
+        known = sorted((a, b) for kind, a, b, _ in spans if kind == "assign")
         k = 0
         for m in _CONTEXT.finditer(text):
             while k < len(known) and known[k][1] <= m.start():
                 k += 1
-            if (k == len(known) or known[k][0] >= m.end()) and (bits := guess_bits(m[1])) >= min_bits:
+            covered = k < len(known) and known[k][0] < m.end() and known[k][1] >= m.end()
+            if not covered and (bits := guess_bits(m[1], rank)) >= min_bits:
                 added.append((m.start(), m.end(), bits))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))), added
 
 
-def scan(docs: DataFrame, min_bits: float = 36.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, min_bits: float = 36.0, words: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, spans array<struct<kind, start, end, bits>> of every whole text, by start and then kind.
 
     `assign`, `access` and `hex` are the fixed patterns, leftmost and without overlaps per kind, whole matches; bits
-    is null there. `guess` spans are credential contexts outside `assign` spans whose value takes at least 2^min_bits
-    guesses; they run from the context's name to the value's end. Null and empty texts have no spans; each input row
-    gives a row. Nothing is shuffled.
+    is null but for an `assign` value. `guess` spans are credential contexts whose whole value takes at least 2^min_bits
+    guesses and which no `assign` span holds to their end; they run from the context's name to the value's end. words: a ranked
+    lexicon beside the fixed one; without it, that of docs. Null and empty texts have no spans; each input row
+    gives a row. The scan itself shuffles nothing.
     """
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(ranks(lexicon(docs, text_col) if words is None else words))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("bits", pa.float64())]))
 
     def run(batches):
         for ids, texts in rows(batches):
             out = []
             for t in texts:
-                base, added = find(decoded(t), min_bits)
-                spans = [{"kind": k, "start": a, "end": b, "bits": None} for k, a, b in base]
+                base, added = find(decoded(t), min_bits, known.value)
+                spans = [{"kind": k, "start": a, "end": b, "bits": x} for k, a, b, x in base]
                 spans += [{"kind": "guess", "start": a, "end": b, "bits": x} for a, b, x in added]
                 out.append(sorted(spans, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, kind)], ["doc_id", "spans"])
