@@ -23,8 +23,8 @@ TOKENS, COMMON = 128, 78
 #: at 0.75 meets in a tree after two steps with probability 0.66, after four with 0.45: in one of ten trees with 0.99998 and 0.997.
 TREES = 10
 #: Steps that all documents take before nodes are looked at: documents that share a passage, and little else, part there. Levels at
-#: which a node's documents are compared with one of them first.
-STEPS, LED = 2, 2
+#: which a node's documents are compared with one of them first, in large nodes with several.
+STEPS, LEADERS, LED = 2, 4, 1
 #: Documents of a node that are compared exhaustively; levels after which a larger node is compared in blocks.
 SMALL, LEVELS = 512, 8
 #: Shingles of a node's documents up to which their texts are brought together in one task.
@@ -345,27 +345,28 @@ def _grouped(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
         return rows.withColumn("group", F.col("rep"))
     rows = stored(rows.join(groups, "rep", "left").withColumn("group", F.coalesce("group", "rep")), "grouped")
     several = rows.groupBy("node").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("node")
-    return rows.join(apart(several), "node", "left_semi")
+    return stored(rows.join(apart(several), "node", "left_semi"), "grouped")
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     """(a, b): links that connect all sets (rep, home, one, n_shingles, sketch) that are alike and meet in a node; docs (doc_id, body).
 
-    At the first LED levels, every document of a node is compared with one of them first, in proportion to documents. Nodes that
-    this connects are done. Of the others, small ones are compared exhaustively, and large ones, too, where few documents are outside
+    At the first LED levels, every document of a node is compared with one of them first, in large nodes with LEADERS, in
+    proportion to documents. Nodes that this connects are done. Of the others, small ones are compared exhaustively, and large ones, too, where few documents are outside
     the largest group; the rest go on down the trees. Nodes of the same documents count once.
     """
     found = groups = whole = None
     small = []
     level = stored(_children(reps.withColumn("node", F.lit(None).cast("long"))), "paths")
     for depth in range(1, LEVELS + 1):
-        salt = F.lit(int(mix(np.array([depth], np.uint64))[0].view(np.int64)))
-        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.min(F.col("rep").bitwiseXOR(salt)).bitwiseXOR(salt).alias("lead"), F.bit_xor(F.xxhash64("rep")).alias("x")).filter("n > 1")
-        once = sizes.groupBy("n", "lead", "x").agg(F.min("node").alias("node")).select("node", "n", "lead")
+        salts = [F.lit(x) for x in mix(np.arange(LEADERS * depth, LEADERS * (depth + 1), dtype=np.uint64)).view(np.int64).tolist()]
+        leads = [F.min(F.col("rep").bitwiseXOR(x)).bitwiseXOR(x) for x in salts]
+        sizes = level.groupBy("node").agg(F.count("*").alias("n"), F.array_distinct(F.array(*leads)).alias("leads"), F.bit_xor(F.xxhash64("rep")).alias("x")).filter("n > 1")
+        once = sizes.groupBy("n", "leads", "x").agg(F.min("node").alias("node")).select("node", "n", F.slice("leads", 1, F.when(F.col("n") > SMALL, LEADERS).otherwise(1)).alias("leads"))
         known = stored(level.join(apart(once), "node"), "nodes")
         discard(level)
         if depth <= LED:
-            tried = known.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+            tried = known.select(F.explode("leads").alias("a"), F.col("rep").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             if groups is not None:
                 one, two = (groups.select(F.col("rep").alias(x), F.col("group").alias(f"group_{x}")) for x in "ab")
                 tried = tried.join(one, "a", "left").join(two, "b", "left").filter("not coalesce(group_a = group_b, false)").select("a", "b")
