@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.sources import files
+
 
 @dataclass(frozen=True)
 class Variant:
@@ -46,33 +48,63 @@ def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
     return queries.select("query_id", F.explode(tokens).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def scores(docs: DataFrame, doc_tokens: Column, queries: DataFrame, query_tokens: Column, variant: Variant = SMOOTHED, allowed: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """postings (term, doc_id, len, tf), terms (term, df) and total (one row: n, avgdl) of a corpus, with its ids (doc_id)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    total: DataFrame
+    ids: DataFrame
+
+    @staticmethod
+    def of(docs: DataFrame, tokens: Column) -> Index:
+        """An index that is made anew in each query."""
+        found = postings(docs, tokens)
+        return Index(found, found.groupBy("term").agg(F.count("*").alias("df")), statistics(docs, tokens), docs.select("doc_id"))
+
+    @staticmethod
+    def stored(docs: DataFrame, tokens: Column, folder: str) -> Index:
+        """An index that is written to a folder once, texts being read once; a folder that holds one is read. Postings are sorted by
+        term within their files, so that a query's terms are found by the files' statistics."""
+        spark = docs.sparkSession
+        path = lambda name: f"{folder.rstrip('/')}/{name}"
+        if not files.exists(spark, path("done")):
+            each = docs.select("doc_id", tokens.alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("len"), "tokens")
+            rows = each.select("doc_id", "len", F.explode_outer("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+            rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path("postings"))
+            own = spark.read.parquet(path("postings"))
+            own.filter("term is not null").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(path("terms"))
+            own.select("doc_id", "len").distinct().write.mode("overwrite").parquet(path("ids"))
+            ids = spark.read.parquet(path("ids"))
+            ids.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).write.mode("overwrite").parquet(path("total"))
+            spark.range(1).write.mode("overwrite").parquet(path("done"))  # last: an index that broke off is made again
+        read = lambda name: spark.read.parquet(path(name))
+        return Index(read("postings").filter("term is not null"), read("terms"), read("total"), read("ids").select("doc_id"))
+
+
+def scores(index: Index, queries: DataFrame, query_tokens: Column, variant: Variant = SMOOTHED, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of documents with a query term (or of all, for `every`).
 
-    Lengths come with the scan; postings are cut to the queries' terms before they are counted, so what is shuffled follows
-    the queries, not the corpus' vocabulary. Statistics cover all documents, whatever `allowed` (query_id, doc_id) leaves.
+    Postings are cut to the queries' terms first, so what is joined and shuffled follows the queries, not the corpus.
+    Statistics cover all documents, whatever `allowed` (query_id, doc_id) leaves.
     """
     wanted = query_terms(queries, query_tokens)
-    each = docs.select("doc_id", doc_tokens.alias("tokens")).withColumn("len", F.size("tokens").cast("long"))
-    total = each.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    found = each.select("doc_id", "len", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf, total = index.postings, index.total
     if variant.idf == "okapi":  # the mean is over the whole vocabulary
         raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        mean = term_statistics(docs, doc_tokens).crossJoin(total).agg(F.avg(raw).alias("mean_idf"))
+        total = total.crossJoin(index.terms.crossJoin(index.total).agg(F.avg(raw).alias("mean_idf")))
         idf = F.when(raw < 0, 0.25 * F.col("mean_idf")).otherwise(raw)
-        total = total.crossJoin(mean)
     else:
         odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
         idf = F.ln(odds + 1) if variant.idf == "smoothed" else F.greatest(F.ln(odds), F.lit(1e-6))
-    weighed = df.crossJoin(total).select("term", idf.alias("idf"), "avgdl")
+    weighed = wanted.join(index.terms, "term").crossJoin(F.broadcast(total)).select("query_id", "term", "times", idf.alias("idf"), "avgdl")  # one row
     part = F.col("idf") * F.col("tf") * (variant.k1 + 1) / (F.col("tf") + variant.k1 * (1 - variant.b + variant.b * F.col("len") / F.col("avgdl")))
-    out = tf.join(weighed, "term").select("term", "doc_id", part.alias("part")).join(wanted, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
+    out = tf.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
     if allowed is not None:
         out = out.join(allowed, ["query_id", "doc_id"], "left_semi")
     if variant.every:  # a score for every document of every query is the feature here
-        pairs = allowed if allowed is not None else queries.select("query_id").crossJoin(docs.select("doc_id"))
+        pairs = allowed if allowed is not None else queries.select("query_id").crossJoin(index.ids)
         out = pairs.join(out, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from talweg.functions import numeric, text
-from talweg.operators import bm25, fusion, ranking
+from talweg.operators import bm25, catalogue, fusion, ranking
 from talweg.plans._sql import INDEX_WORDS, PASSAGE_WORDS, PRODUCT_WORDS, literal, query, table
+from talweg.sources import files
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,9 +39,16 @@ _P = PASSAGE_WORDS.format("text")
 _ROUNDED = "(SELECT query_id, doc_id, round(score, 6) AS score FROM s)"
 
 
+def index(spark: SparkSession, sf_dir: str, words) -> bm25.Index:
+    """The documents' index under one tokeniser, made once for each application and corpus."""
+    name = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
+    folder = f"{files.work_folder(spark)}/{spark.sparkContext.applicationId}/bm25-{words.__name__}-{name}"
+    return bm25.Index.stored(table(spark, sf_dir, "documents"), words(F.col("text")), folder)
+
+
 def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = text.passage_words
-    out = bm25.scores(table(spark, sf_dir, "documents"), words(F.col("text")), _queries(spark, sf_dir), words(F.col("query")))
+    out = bm25.scores(index(spark, sf_dir, words), _queries(spark, sf_dir), words(F.col("query")))
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -50,7 +60,7 @@ def bm25_smoothed_topk(spark, sf_dir):
 @query(f"WITH {_bm25(INDEX_WORDS.format('text'), INDEX_WORDS.format('text'), _FLOORED, 1.2, 0.75)} {_top(_ROUNDED)}")
 def bm25_fts5_topk(spark, sf_dir):
     words = text.index_words
-    out = bm25.scores(table(spark, sf_dir, "documents"), words(F.col("text")), _queries(spark, sf_dir), words(F.col("query")), bm25.FTS5)
+    out = bm25.scores(index(spark, sf_dir, words), _queries(spark, sf_dir), words(F.col("query")), bm25.FTS5)
     return ranking.top_k(out.withColumn("score", F.round("score", 6)), 5)
 
 
@@ -60,7 +70,7 @@ _PRODUCT = PRODUCT_WORDS.format("text")
 @query(f"WITH {_bm25(_PRODUCT, _PRODUCT, _OKAPI, 1.5, 0.75, True)} {_top('(SELECT query_id, doc_id, round(score, 6) AS score FROM s WHERE score > 0)')}")
 def bm25_okapi_topk(spark, sf_dir):
     words = text.product_words
-    out = bm25.scores(table(spark, sf_dir, "documents"), words(F.col("text")), _queries(spark, sf_dir), words(F.col("query")), bm25.OKAPI)
+    out = bm25.scores(index(spark, sf_dir, words), _queries(spark, sf_dir), words(F.col("query")), bm25.OKAPI)
     return ranking.top_k(out.filter("score > 0").withColumn("score", F.round("score", 6)), 5)
 
 
@@ -70,7 +80,7 @@ def bm25_candidates_topk(spark, sf_dir):
     """R3 over a rule layer's candidates (F11): all of them are scored, the statistics are those of all documents."""
     queries, docs, words = _queries(spark, sf_dir), table(spark, sf_dir, "documents"), text.product_words
     groups = queries.select("query_id", (F.col("query_id") % 7).alias("g")).join(docs.select("doc_id", (F.col("doc_id") % 7).alias("g")), "g").drop("g")
-    out = bm25.scores(docs, words(F.col("text")), queries, words(F.col("query")), bm25.OFFERS, groups)
+    out = bm25.scores(index(spark, sf_dir, words), queries, words(F.col("query")), bm25.OFFERS, groups)
     return ranking.top_k(out.withColumn("score", F.round("score", 6)), 5)
 
 
@@ -79,7 +89,7 @@ SELECT query_id, doc_id, round(score * CASE WHEN list_bool_or(list_transform(wor
 FROM s JOIN w USING (query_id) JOIN documents USING (doc_id)) {_top('b')}""")
 def bm25_field_boost(spark, sf_dir):
     words, docs, queries = text.passage_words, table(spark, sf_dir, "documents"), _queries(spark, sf_dir)
-    out = bm25.scores(docs, words(F.col("text")), queries, words(F.col("query")))
+    out = bm25.scores(index(spark, sf_dir, words), queries, words(F.col("query")))
     out = bm25.field_boost(out, queries, docs, words(F.col("query")), {"lang": 1.5, "source": 1.2})
     return ranking.top_k(out.withColumn("score", F.round("score", 6)), 5)
 
@@ -239,9 +249,10 @@ def passage_to_doc_rerank(spark, sf_dir):
 l3 AS (SELECT query_id, doc_id, round(score, 6) AS score FROM s), u AS (SELECT 1 AS layer, * FROM l1 UNION ALL SELECT 2, * FROM l2 UNION ALL SELECT 3, * FROM l3)
 SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(layer AS BIGINT) AS layer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY layer, score DESC, doc_id) AS n FROM u) WHERE n = 1""")
 def cascade_one_doc(spark, sf_dir):
-    """Whole texts contained, then high scores, then any score. The first layer compares a stated query set."""
-    queries, docs = _queries(spark, sf_dir), table(spark, sf_dir, "documents")
-    whole = docs.join(queries, F.contains(docs["text"], F.col("query"))).select("query_id", "doc_id", F.lit(1.0).alias("score"))
+    """Whole texts contained, then high scores, then any score."""
+    queries = _queries(spark, sf_dir).select(F.col("query_id").alias("part_id"), F.col("query").alias("part"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("whole_id"), F.col("text").alias("whole"))
+    whole = catalogue.containing(docs, queries).select(F.col("part_id").alias("query_id"), F.col("whole_id").alias("doc_id"), F.lit(1.0).alias("score"))
     scored = smoothed(spark, sf_dir)
     return fusion.cascade(whole, scored.filter("score >= 40"), scored)
 

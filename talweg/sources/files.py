@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import dataclass, fields
 from datetime import UTC, datetime
@@ -130,3 +131,17 @@ def write_catalogue(entries: DataFrame, path: str) -> None:
 def with_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """K7: rows with the s3_key found for them, null without one."""
     return rows.join(keys.select(key, "s3_key"), key, "left")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: spark.checkpoint.dir; one of this machine only for a local master."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (known or f"file://{tempfile.gettempdir()}/talweg-work").rstrip("/")

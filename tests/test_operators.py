@@ -18,16 +18,16 @@ def test_dynamic_top_n(spark):
 def test_documents_without_a_query_term(spark):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, ["c"])], "doc_id long, t array<string>")
     asked = spark.createDataFrame([(1, ["a", "a"])], "query_id long, t array<string>")
-    some = bm25.scores(docs, F.col("t"), asked, F.col("t")).collect()
+    some = bm25.scores(bm25.Index.of(docs, F.col("t")), asked, F.col("t")).collect()
     assert [r.doc_id for r in some] == [1]
-    every = bm25.scores(docs, F.col("t"), asked, F.col("t"), bm25.OFFERS).collect()
+    every = bm25.scores(bm25.Index.of(docs, F.col("t")), asked, F.col("t"), bm25.OFFERS).collect()
     assert sorted(r.doc_id for r in every) == [1, 2, 3]
 
 
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, t array<string>")
     asked = spark.createDataFrame([(1, ["a"])], "query_id long, t array<string>")
-    assert bm25.scores(docs, F.col("t"), asked, F.col("t")).count() == 0
+    assert bm25.scores(bm25.Index.of(docs, F.col("t")), asked, F.col("t")).count() == 0
     none = spark.createDataFrame([], "query_id long, doc_id long, score double")
     assert fusion.cascade(none, none).count() == 0
     hits = evaluation.first_hits(spark.createDataFrame([], "query_id long, doc_id long, rank long"), spark.createDataFrame([(1, 2)], "query_id long, expected long"))
@@ -82,6 +82,24 @@ def test_stream_of_queries(spark, tmp_path):
     spark.createDataFrame([(1, "a b"), (2, "c")], "query_id long, query string").write.parquet(str(tmp_path / "in/1"))
     docs = spark.createDataFrame([(10, ["a"]), (11, ["c", "d"])], "doc_id long, t array<string>")
     stream = spark.readStream.schema("query_id long, query string").parquet(str(tmp_path / "in/*"))
-    search = lambda q: ranking.top_k(bm25.scores(docs, F.col("t"), q, F.split("query", " ")), 3)
+    search = lambda q: ranking.top_k(bm25.scores(bm25.Index.of(docs, F.col("t")), q, F.split("query", " ")), 3)
     streaming.answer(stream, search, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert sorted((r.query_id, r.doc_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 10), (2, 11)]
+
+
+def test_a_stored_index_scores_as_one_made_anew(spark, tmp_path):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b"]), (3, []), (4, ["c", "a"])], "doc_id long, t array<string>")
+    asked = spark.createDataFrame([(1, ["a", "b", "b"]), (2, ["z"]), (3, [])], "query_id long, t array<string>")
+    folder = f"file://{tmp_path}/index"
+    for variant in (bm25.SMOOTHED, bm25.FTS5, bm25.OKAPI, bm25.OFFERS):
+        for _ in range(2):  # written, then read
+            got, want = (sorted(map(tuple, bm25.scores(i, asked, F.col("t"), variant).collect())) for i in (bm25.Index.stored(docs, F.col("t"), folder), bm25.Index.of(docs, F.col("t"))))
+            assert [(q, d) for q, d, _ in got] == [(q, d) for q, d, _ in want]
+            assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(got, want, strict=True))
+
+
+def test_containing_equals_all_pairs(spark):
+    wholes = ["the quick brown fox jumps", "quick brown", "a  b c", "", "one two three four", "xquick brown foxx"]
+    parts = ["quick brown fox", "brown", "", "uick brown fo", "  b", "two three", "ne two three fou", "b c", "none of these words"]
+    got = catalogue.containing(spark.createDataFrame(list(enumerate(wholes)), "whole_id long, whole string"), spark.createDataFrame(list(enumerate(parts)), "part_id long, part string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, w in enumerate(wholes) for j, p in enumerate(parts) if p in w)
