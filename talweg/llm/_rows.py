@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,9 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]
             yield ids[first:], bodies.slice(first).to_pylist()
 
 
+#: Bytes from which a word is hashed by itself.
+LONG_WORD = 64
+
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**64 - 1, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -93,6 +97,9 @@ class Words:
         np.cumsum(_BYTE[self.data] * power[:n], out=sums[1:])
         self._sums, self._inverse = sums, inverse
         self.hash = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        # long words can be made to collide under a polynomial modulo 2^64, whatever its base
+        for i in np.flatnonzero(self.ends - self.starts > LONG_WORD):
+            self.hash[i] = int.from_bytes(hashlib.blake2b(self.data[self.starts[i] : self.ends[i]].tobytes(), digest_size=8).digest(), "little")
         #: words of text i: first[i] to first[i + 1]
         self.first = np.searchsorted(self.starts, self.offsets)
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))

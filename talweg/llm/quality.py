@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from talweg.llm._rows import Words, mix, rows, text_bytes
+from talweg.llm._rows import Words, rows, text_bytes
 from talweg.llm._shared import arrow_map, stored
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echo_words", "n_upper", "n_punct")
@@ -39,18 +41,19 @@ def _counts(texts: list[bytes]) -> list[np.ndarray]:
     np.add.at(inside, words.starts, 1)
     np.add.at(inside, words.ends, -1)
     chars = within((np.cumsum(inside)[:-1] > 0) & _LEAD[words.data])
-    # lines that hold a word: their text and hash
+    # lines that hold a word: where they begin and end
     breaks = np.flatnonzero(words.data == 10)
     begin, end = np.concatenate((at[:-1], breaks + 1)), np.concatenate((at[1:], breaks))
     begin, end = np.sort(begin), np.sort(end)  # lines follow each other, so both orders agree
     full = np.searchsorted(words.starts, end) > np.searchsorted(words.starts, begin)
     begin, end = begin[full], end[full]
-    line = mix((words._sums[end] - words._sums[begin]) * words._inverse[begin] + (end - begin).astype(np.uint64))
     owner = np.searchsorted(at, begin, side="right") - 1
     n_lines = np.bincount(owner, minlength=n)
-    pairs = np.lexsort((line, owner))
-    again = (line[pairs][1:] == line[pairs][:-1]) & (owner[pairs][1:] == owner[pairs][:-1])
-    n_dup = np.bincount(owner[pairs][1:][again], minlength=n)
+    body = words.data.tobytes()
+    seen = Counter((o, body[a:b]) for o, a, b in zip(owner.tolist(), begin.tolist(), end.tolist(), strict=True))
+    n_dup = np.zeros(n, np.int64)
+    for (o, _), times in seen.items():
+        n_dup[o] += times - 1
     # words in windows of eight that come twice
     hashed, first = words.windows(8)
     pairs = np.lexsort((hashed, words.text[first]))

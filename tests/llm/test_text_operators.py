@@ -38,6 +38,15 @@ def test_words_are_the_pattern_s(texts):
     assert len(set(names.values())) == len(names)
 
 
+def test_words_that_collide_under_polynomials_differ():
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    words = Words([f"{a} {b} x".encode()])
+    assert len(set(words.hash.tolist())) == 3
+    assert rules._counts([f"{a}\n{b}\n{a}".encode()])[3].tolist() == [1]
+
+
 # ---- secrets
 
 
@@ -211,6 +220,37 @@ def test_thresholds_follow_their_source(spark):
     assert not kept[5000] and kept[5001] and kept[5002] and kept[0] and kept[1000]
 
 
+def test_verdicts_equal_brute_force(spark):
+    """Fences and verdicts by definition: quantiles of the ratios of each language and source, in buckets of one percent."""
+    rng = random.Random(17)
+    rows = []
+    for i in range(700):
+        lang, source = rng.choice([("en", "a"), ("en", "b"), ("fr", "a")]) if i > 20 else ("xx", "rare")
+        words = [rng.choice(["alpha", "Beta", "gamma.", "x|y", "#", "word", "word"]) + str(rng.randrange(200)) for _ in range(rng.randint(15, 60))]
+        rows.append((i, " ".join(words) + ("\nsame line\nsame line" * rng.randint(0, 4)) + ("".join(f" ||||||||||||{k}" for k in range(60)) if rng.random() < 0.03 else ""), lang, source))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in rules.judge(df).collect()}
+
+    def ratio(r, count, per):
+        return r[count] / max(r[per], 1)
+
+    def fence(some, slack):
+        values = sorted(0.0 if x == 0 else 1.02 ** (np.floor(np.log(x) / np.log(1.02)) + 0.5) for x in some)
+        at = lambda q: values[int(np.ceil(q * len(values))) - 1]
+        return at(0.75) + rules.SPREADS * (at(0.75) - at(0.5)) + slack
+
+    good = [r for r in got.values() if not r.base_failed]
+    for r in got.values():
+        kept = not r.base_failed
+        for _, count, per, slack in rules.RATIOS:
+            own = [x for x in good if (x.lang, x.source) == (r.lang, r.source)]
+            own = own if len(own) >= rules.LEAST else [x for x in good if x.lang == r.lang]
+            own = own if len(own) >= rules.LEAST else good
+            kept &= ratio(r, count, per) <= fence([ratio(x, count, per) for x in own], slack) + 1e-12
+        assert r.kept == kept
+    assert 0 < sum(not r.kept and not r.base_failed for r in got.values()) < 100
+
+
 def test_sketches_merge_in_any_parts(spark):
     rows = spark.createDataFrame([(i, "w " * (20 + i % 7) + "| " * (i % 5), "en", "s") for i in range(200)], "doc_id long, text string, lang string, source string")
     counted = rules.features(rows).cache()
