@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -20,6 +21,24 @@ def shared_dir(spark: SparkSession) -> str:
     return known or f"file://{tempfile.gettempdir()}/talweg-shared"
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one. It is deleted when the driver's Python ends; one that a killed driver leaves
+    has the application's id as its name."""
+    path = f"{shared_dir(spark).rstrip('/')}/talweg-{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        _OWN.add(path)
+        atexit.register(_delete, spark, path)
+    return path
+
+
+_OWN: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Once a table is written, nothing reads the shuffles that made it; small batches keep Python workers small.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
@@ -39,7 +58,7 @@ def _written(spark: SparkSession):
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends there, a lost executor costs no earlier work."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/talweg-{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/talweg-{name}-{uuid.uuid4().hex}"
     with _written(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -49,8 +68,7 @@ def discard(df: DataFrame) -> None:
     """Deletes a table of stored() that nothing reads any more; what was made of it has been stored."""
     spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
 
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -59,7 +77,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"talweg_{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with _written(spark):
-        df.write.bucketBy(n, key).option("path", f"{shared_dir(spark).rstrip('/')}/{table}").saveAsTable(table)
+        df.write.bucketBy(n, key).option("path", f"{own_dir(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm._rows import decoded, narrow, rows
-from talweg.llm._shared import arrow_map
+from talweg.llm._shared import arrow_map, stored
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -56,7 +56,14 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> list[str]:
     clean = F.when(low.contains(":") | low.contains("="), F.regexp_replace(low, _CONTEXT.pattern, " ")).otherwise(low)
     words = docs.select(F.explode(F.array_distinct(F.split(clean, "[^a-z]+"))).alias("word")).filter(F.length("word").between(SHORTEST, LONGEST))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= FEWEST)
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(LEXICON).collect()]
+    counted = stored(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "lexicon")
+    # how often a word has to come, in steps of a sixteenth power of two, so that no task sends more than it has of the most frequent
+    least, total = 0, 0
+    for r in counted.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        least, total = r["step"], total + r["words"]
+        if total >= LEXICON:
+            break
+    return [r["word"] for r in counted.filter(F.col("step") >= least).orderBy(F.desc("n"), "word").limit(LEXICON).collect()]
 
 
 def guess_bits(value: str, rank: dict[str, int] = _RANK) -> float:
