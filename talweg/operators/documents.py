@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.functions import numeric, text
+from talweg.functions import dims, numeric, text
 from talweg.operators import rules
 
 
@@ -205,3 +205,24 @@ def synthetic_queries(docs: DataFrame) -> DataFrame:
         )),
     )
     return docs.select(F.col("doc_id").alias("expected_doc_id"), home.alias("expected_establishment"), F.inline(asked)).select("query", "expected_doc_id", "expected_establishment", "category")
+
+
+def index_text(passages: DataFrame) -> Column:
+    """A passage's text for an index: its text, establishment, all words of its class, and spellings of its price and speed;
+    what is missing or empty is left out. A column over those of passages()."""
+    words = F.create_map(*(x for k, v in dims.BENEFICIARY_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    price, speed = F.col("price_value").cast("string"), F.col("speed_mbps")
+    spelled = lambda value, unit: F.concat(value.cast("string"), F.lit(unit))
+    parts = F.concat(
+        F.array("text", "entity_code", "establishment"),
+        text.listed(F.try_element_at(words, F.coalesce("beneficiary", F.lit("")))),
+        F.array(F.concat(price, F.lit(" DA")), F.concat(price, F.lit("DA")), F.when(speed >= 1000, spelled(speed / 1000, " Gbps")), spelled(speed, " Mbps")),
+    )
+    return F.array_join(F.filter(parts, lambda x: _some(x) != ""), " ")
+
+
+def product_rows(products: DataFrame) -> DataFrame:
+    """(id, text, keywords, product_name, category, provider) in lower case of products (position, text, keywords, product_info:
+    struct of name, category, provider); what is missing is empty."""
+    low = lambda c: F.lower(_some(F.col(f"product_info.{c}")))
+    return products.select(F.col("position").alias("id"), "text", F.transform(text.listed(F.col("keywords")), F.lower).alias("keywords"), low("name").alias("product_name"), low("category").alias("category"), low("provider").alias("provider"))

@@ -24,6 +24,11 @@ def dynamic_top_n(ranked: DataFrame, k: int = 3, gap: float = 0.05, score: str =
     return ranked.withColumn("close_", F.min(close.cast("int")).over(seq)).filter((F.col("close_") == 1) & (F.col("rank") <= min(k, 3))).drop("close_")
 
 
+def distinct_first(ranked: DataFrame, *keys: str) -> DataFrame:
+    """Of rows of the same keys the first one by rank."""
+    return ranked.withColumn("n_", F.row_number().over(W.partitionBy(*keys).orderBy("rank"))).filter("n_ = 1").drop("n_")
+
+
 def pool(scored: DataFrame, k: int, factor: int = 2, least: int = 5, **names) -> DataFrame:
     """Candidates for the next stage, max(factor * k, least)."""
     return top_k(scored, max(factor * k, least), **names)
