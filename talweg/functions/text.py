@@ -116,12 +116,13 @@ def straight_quotes(text: Column) -> Column:  # T17
 
 def grams(tokens: Column, most: int = 3) -> Column:  # T19
     """Runs of one to `most` neighbouring tokens, joined by a space, shorter ones first."""
-
-    def runs(n: int) -> Column:
-        joined = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= n, joined).otherwise(F.array().cast("array<string>"))
-
-    return F.concat(*map(runs, range(1, most + 1)))
+    size = F.size(tokens)
+    out = runs = tokens
+    for k in range(2, most + 1):  # outside of lambdas, which would read the tokens again for every place
+        left = F.greatest(size - (k - 1), F.lit(0))
+        runs = F.zip_with(F.slice(runs, 1, left), F.slice(tokens, k, left), lambda a, b: F.concat_ws(" ", a, b))
+        out = F.concat(out, runs)
+    return out
 
 
 def filename_language(name: Column) -> Column:  # T2
