@@ -18,6 +18,8 @@ BUCKETS, FACTORS = 1 << 18, 4
 #: Rows in which a term is found at least to have a weight. Weights and factors of all such terms are learned first, in EPOCHS of
 #: batches, with thresholds that keep those at zero which do not pay; what is left then is fitted without thresholds.
 FEWEST, EPOCHS, HALF = 5, 40, 128
+#: Terms of rows that a step of the gradient looks at together.
+PART = 1 << 15
 #: Thresholds on weights and on the length of a term's factors.
 SPARSE, GROUP = 3e-3, 5e-3
 #: Bytes of the word beginnings that are terms, too.
@@ -86,22 +88,29 @@ class _Adam:
         return scale, scale * self.m / (1 - 0.9**self.t)
 
 
-def _gradient(p: np.ndarray, bias: np.ndarray, col: np.ndarray, row: np.ndarray, first: np.ndarray, label: np.ndarray, weight) -> tuple[np.ndarray, float]:
-    """Of the weighted logistic loss of rows (compressed sparse) with respect to p (weight, factors) and bias."""
-    x = p[col]
-    total = _row_sums(x, first)
-    z = bias + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - _row_sums((x[:, 1:] ** 2).sum(1), first))
-    g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight
-    part = np.empty_like(x)
-    part[:, 0] = g[row]
-    part[:, 1:] = g[row, None] * (total[row, 1:] - x[:, 1:])
-    return np.stack([np.bincount(col, part[:, j], len(p)) for j in range(p.shape[1])], axis=1), g.sum()
+def _gradient(p: np.ndarray, bias: np.ndarray, col: np.ndarray, first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of the weighted logistic loss of rows (compressed sparse) with respect to p (weight, factors) and bias, over some rows at a
+    time, as this runs in the driver."""
+    grad, sum_ = np.zeros_like(p), 0.0
+    edges = np.unique(np.append(np.searchsorted(first, np.arange(0, first[-1] + 1, PART)), [0, len(label)]))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        some, begin = col[first[a] : first[b]], first[a : b + 1] - first[a]
+        x = p[some]
+        total = _row_sums(x, begin)
+        z = bias + total[:, 0] + 0.5 * ((total[:, 1:] ** 2).sum(1) - _row_sums((x[:, 1:] ** 2).sum(1), begin))
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[a:b]) * weight[a:b]
+        row = np.repeat(np.arange(b - a), np.diff(begin))
+        x[:, 1:] = g[row, None] * (total[row, 1:] - x[:, 1:])
+        x[:, 0] = g[row]
+        for j in range(p.shape[1]):
+            grad[:, j] += np.bincount(some, x[:, j], len(p))
+        sum_ += g.sum()
+    return grad, sum_
 
 
-def _picked(col: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = first[rows + 1] - first[rows]
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    return col[np.repeat(first[rows] - begin[:-1], sizes) + np.arange(begin[-1])], np.repeat(np.arange(len(rows)), sizes), begin
+def _picked(col: np.ndarray, first: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [col[first[r] : first[r + 1]] for r in rows]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 def _sparse(col: np.ndarray, first: np.ndarray, label: np.ndarray, d: int, rng, rate: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +121,7 @@ def _sparse(col: np.ndarray, first: np.ndarray, label: np.ndarray, d: int, rng,
     steps = EPOCHS * max(1, min(len(label) // (2 * HALF), 25))
     for t in range(1, steps + 1):
         rows = np.concatenate([rng.choice(x, HALF, replace=len(x) < HALF) for x in by])
-        grad, g = _gradient(p, bias, *_picked(col, first, rows), label[rows], 1 / len(rows))
+        grad, g = _gradient(p, bias, *_picked(col, first, rows), label[rows], np.full(len(rows), 1 / len(rows)))
         now = rate * min(1.0, 2 * (1 - t / steps))
         scale, change = adam.step(grad, now)
         p -= change
@@ -135,23 +144,31 @@ def fit(index: np.ndarray, first: np.ndarray, label: np.ndarray, share: float, s
     if not 0 < label.sum() < n:
         return empty
 
-    def kept(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def kept(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of the terms that stay, row after row, and where rows begin; in parts, as this runs in the driver."""
         place = np.full(BUCKETS, -1, np.int32)
         place[some] = np.arange(len(some))
-        keep = place[index] >= 0
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(first))[keep]
-        return place[index][keep], row, np.searchsorted(row, np.arange(n + 1))
-
-    often = np.flatnonzero(np.bincount(index, minlength=BUCKETS) >= FEWEST)
-    col, _, begin = kept(often)
+        parts, sizes = [], np.zeros(n, np.int64)
+        for k in range(0, n, 256):
+            part = place[index[first[k] : first[min(n, k + 256)]]]
+            stay = part >= 0
+            upto = np.concatenate([[0], np.cumsum(stay)])
+            edge = first[k : k + 257] - first[k]
+            sizes[k : k + 256] = np.diff(upto[edge])
+            parts.append(part[stay])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
+
+    hits = sum(np.bincount(index[k : k + (1 << 18)], minlength=BUCKETS) for k in range(0, len(index), 1 << 18))
+    often = np.flatnonzero(hits >= FEWEST)
+    col, begin = kept(often)
     p, bias = _sparse(col, begin, label, len(often), np.random.default_rng(seed))
     some = np.abs(p).sum(1) > 0
     often, p = often[some], p[some]
-    col, row, begin = kept(often)
+    col, begin = kept(often)
     balance = np.where(label == 1, 0.5 / label.sum(), 0.5 / (n - label.sum()))
     adam, own = _Adam(p.shape), _Adam(1)
     for _ in range(steps):
-        grad, g = _gradient(p, bias, col, row, begin, label, balance)
+        grad, g = _gradient(p, bias, col, begin, label, balance)
         p -= adam.step(grad + l2 * p / 10, rate)[1]
         bias -= own.step(np.array([g]), rate)[1]
     weights, factors = empty.weights.copy(), empty.factors.copy()
@@ -179,11 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int64()), pa.ListArray.from_arrays(first.astype(np.int32), index)], ["row", "terms"])
 
     got = arrow_map(texts, run, "row long, terms array<int>").toArrow()
-    got = got.take(pc.sort_indices(got, [("row", "ascending")]))  # as Spark returns it in any order
-    lists = got.column("terms").combine_chunks()
-    index = np.asarray(lists.flatten(), np.int32)
-    first = np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths(), np.int64))]) if len(lists) else np.zeros(1, np.int64)
-    label = (np.asarray(got.column("row").to_numpy(), np.int64) & 1).astype(np.float64)
+    # in the order of ids, as Spark returns them in any order
+    row = np.asarray(got.column("row").to_numpy(), np.int64)
+    order = np.argsort(row)
+    lists = [x for c in got.column("terms").chunks for x in c]
+    index = np.concatenate([np.zeros(0, np.int32), *(lists[i].values.to_numpy() for i in order)])
+    first = np.concatenate([[0], np.cumsum([len(lists[i]) for i in order], dtype=np.int64)]).astype(np.int64)
+    label = (row[order] & 1).astype(np.float64)
     del got, lists
     return fit(index, first, label, counts.get(1, 0) / max(1, sum(counts.values())))
 
