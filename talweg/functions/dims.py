@@ -13,7 +13,7 @@ INTENT_PATTERNS = {
     "GENERAL": [r"\bconvention\b", r"\baccord\b", r"\bpartenariat\b", r"\bétablissement\b", r"\betablissement\b", r"\boffres?\b", r"\bservices?\b", r"\binformation\b", r"\brenseignement\b", r"\bcomment\b", r"\bpourquoi\b"],
 }
 # Codes of establishments.
-ENTITY_CODES = "P V F A N O I AD AC AY E H J K L M Q R S T U W X".split()
+ENTITY_CODES = ["P", "V", "F", "A", "N", "O", "I", "AD", "AC", "AY", "E", "H", "J", "K", "L", "M", "Q", "R", "S", "T", "U", "W", "X"]
 # Words of a query for each class of beneficiaries.
 BENEFICIARY_WORDS = {
     "cadres_superieurs": ["cadres supérieurs", "cadres superieurs", "cadre supérieur", "dirigeants", "directeurs", "responsables"],
@@ -95,9 +95,3 @@ def dictionary(spark: SparkSession, entries: dict[str, list[str]]) -> DataFrame:
     """(key, value, ordinal) of a dictionary of lists, in its order. Larger ones (synonyms) come as tables with these columns."""
     rows = [(k, v) for k, values in entries.items() for v in values]
     return spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate(rows)], "key string, value string, ordinal int")
-
-
-def intents(spark: SparkSession) -> DataFrame:
-    """(intent, priority, pattern): patterns that see word borders in any script."""
-    top = len(INTENT_PATTERNS)
-    return spark.createDataFrame([(name, top - i, "(?U)" + p) for i, (name, patterns) in enumerate(INTENT_PATTERNS.items()) for p in patterns], "intent string, priority int, pattern string")

@@ -18,8 +18,12 @@ _ACCENTED = [c for c in map(chr, range(0xC0, 0x180)) if len(unicodedata.normaliz
 _PLAIN = [unicodedata.normalize("NFD", c)[0] for c in _ACCENTED]
 
 # French words that carry no meaning in a search.
-STOP_WORDS = """le la les un une des de du et en à au aux pour sur dans par avec ce cette ces son sa ses comment que qui quoi
-quel quelle quels quelles est sont a ont faire fait être avoir si ou ne pas plus moins très bien d l qu n s c j m t""".split()
+STOP_WORDS = [
+    "le", "la", "les", "un", "une", "des", "de", "du", "et", "en", "à", "au", "aux", "pour", "sur", "dans", "par", "avec",
+    "ce", "cette", "ces", "son", "sa", "ses", "comment", "que", "qui", "quoi", "quel", "quelle", "quels", "quelles", "est",
+    "sont", "a", "ont", "faire", "fait", "être", "avoir", "si", "ou", "ne", "pas", "plus", "moins", "très", "bien", "d", "l",
+    "qu", "n", "s", "c", "j", "m", "t",
+]
 
 
 def either(column: Column, parts, test=F.contains) -> Column:

@@ -13,13 +13,18 @@ from talweg.functions import dims, numeric, text
 
 def classify(queries: DataFrame) -> DataFrame:
     """Intent and confidence of each query (query_id, query): matches per intent + 0.1 * priority where there are any, the
-    highest, of ties the most important; GENERAL with 0.5 without matches. The dictionary is fixed and has about 100 rows."""
-    patterns = F.broadcast(dims.intents(queries.sparkSession))
-    hits = queries.join(patterns, F.regexp_count(F.lower("query"), F.col("pattern")) > 0).withColumn("hits", F.regexp_count(F.lower("query"), F.col("pattern")))
-    sums = hits.groupBy("query_id", "intent", "priority").agg(F.sum("hits").alias("hits")).withColumn("score", F.col("hits") + 0.1 * F.col("priority"))
-    best = sums.groupBy("query_id").agg(F.max(F.struct("score", "priority", "intent")).alias("best"), F.sum("score").alias("total"))
-    out = queries.select("query_id").join(best, "query_id", "left")
-    return out.select("query_id", F.coalesce(F.col("best.intent"), F.lit("GENERAL")).alias("intent"), F.coalesce(F.col("best.score") / F.col("total"), F.lit(0.5)).alias("confidence"))
+    highest, of ties the most important; GENERAL with 0.5 without matches. Patterns are literals, so they are compiled once."""
+    names = list(dims.INTENT_PATTERNS)
+
+    def scored(i: int, name: str) -> Column:
+        hits = reduce(lambda a, b: a + b, (F.regexp_count(F.lower("query"), F.lit("(?U)" + p)) for p in dims.INTENT_PATTERNS[name]))
+        return F.struct(F.when(hits > 0, hits + 0.1 * (len(names) - i)).alias("score"), F.lit(len(names) - i).alias("priority"), F.lit(name).alias("intent"))
+
+    every = queries.select("query_id", F.array(*(scored(i, n) for i, n in enumerate(names))).alias("all"))
+    some = every.select("query_id", F.filter("all", lambda x: x["score"].isNotNull()).alias("some"))
+    total = F.aggregate("some", F.lit(0.0), lambda s, x: s + x["score"])
+    best = F.array_max("some")
+    return some.select("query_id", F.coalesce(best["intent"], F.lit("GENERAL")).alias("intent"), F.coalesce(best["score"] / F.nullif(total, F.lit(0.0)), F.lit(0.5)).alias("confidence"))
 
 
 #: How a query names an establishment (accents taken off, any case); {0} is its code. Two have further forms.
