@@ -118,7 +118,7 @@ def _sparse(col: np.ndarray, first: np.ndarray, label: np.ndarray, d: int, rng,
     p = np.concatenate([np.zeros((d, 1)), rng.normal(0, 0.05, (d, FACTORS))], axis=1)
     bias, adam, own = np.zeros(1), _Adam(p.shape), _Adam(1)
     by = [np.flatnonzero(label == x) for x in (1, 0)]
-    steps = EPOCHS * max(1, min(len(label) // (2 * HALF), 25))
+    steps = EPOCHS * max(10, min(len(label) // (2 * HALF), 25))
     for t in range(1, steps + 1):
         rows = np.concatenate([rng.choice(x, HALF, replace=len(x) < HALF) for x in by])
         grad, g = _gradient(p, bias, *_picked(col, first, rows), label[rows], np.full(len(rows), 1 / len(rows)))

@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 import public_tokenizers as P
 from brute import near
@@ -58,6 +60,41 @@ def test_toxic_documents_go_and_clean_ones_stay(spark, small):
     assert sum(toxic) / len(toxic) < 0.2 and sum(clean) / len(clean) > 0.98
 
 
+def test_whole_run_by_definition(spark, tmp_path):
+    """What a plain reading of the stages leaves of clean, toxic, copied and nearly copied documents, and lines of many documents."""
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9))) for _ in range(3000)]
+    line = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(25, 40)))
+    common = "this line stands in many documents and says nothing at all about any of them"
+    rows, want, seen = [], {}, False
+    for i in range(160):
+        lines = [line() for _ in range(3)]
+        if i % 4 == 1:
+            lines[1] += " zorghul " + rng.choice(vocabulary)
+        elif i % 8 == 0:
+            lines.insert(1, common)
+        rows.append((i, "\n".join(lines)))
+        if i % 4 != 1:
+            want[i] = "\n".join(x for x in lines if x != common or not seen)
+            seen |= common in lines
+    for k, i in enumerate(rng.sample(sorted(want), 30)):
+        text = rows[i][1]
+        if k % 2:  # a word of each line is another one
+            text = "\n".join(" ".join([*w[:7], "zzzz", *w[8:]]) for w in (x.split(" ") for x in text.split("\n")))
+        rows.append((1000 + k, text))
+    docs = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in rows]
+    rng.shuffle(docs)
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 4 == 1)) for i in range(160)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in pipeline.run(spark, str(tmp_path)).collect()}
+    enc = bpe.encoder(bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    assert {i: enc.decode(list(r.ids)) for i, r in got.items()} == want
+    assert all(r.ids_sha256 == hashlib.sha256(" ".join(map(str, enc.encode_ordinary(want[i]))).encode()).hexdigest() for i, r in got.items())
+    assert len({r.position for r in got.values()}) == len(want)
+    first = Counter(i % 3 for i in sorted(got, key=lambda i: got[i].position)[:48])
+    assert max(first.values()) - min(first.values()) <= 16  # sources of equal weight, in blocks of 16
+
+
 def test_whole_run(spark, small):
     out = pipeline.run(spark, small).collect()
     assert out and {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} <= set(out[0].asDict())
