@@ -3,6 +3,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -14,9 +16,11 @@ def test_entry_runs(spark, small):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_imports_without_the_subpackage(tmp_path):
-    for name in ("__spark_entry__.py", "talweg"):
-        os.symlink(ROOT / name, tmp_path / name) if name.endswith(".py") else None
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_imports_without_the_subpackage(tmp_path, pipeline):
+    """Without both, and without the subpackage alone."""
+    for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline and (ROOT / "corpus_pipeline.py").exists() else [])):
+        os.symlink(ROOT / name, tmp_path / name)
     package = tmp_path / "talweg"
     package.mkdir()
     for x in (ROOT / "talweg").iterdir():
