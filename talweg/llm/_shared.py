@@ -61,6 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{own_dir(df.sparkSession)}/talweg-{name}-{uuid.uuid4().hex}"
     with _written(df.sparkSession):
         df.write.parquet(path)
+    trim()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -118,21 +119,31 @@ def ship(spark: SparkSession) -> None:
     context._talweg_shipped = True
 
 
+def trim() -> None:
+    """Gives memory that Python and Arrow have freed back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if give:
+        give(0)
+
+
 def _lean(run: Callable) -> Callable:
     """run, in a worker that gives freed memory back to the system: idle workers stay alive and would hold it."""
 
     def lean(batches):
-        import ctypes
-
         import pyarrow as pa
 
         pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from run(batches)
         finally:
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
-            if trim:
-                trim(0)
+            trim()
 
     return lean
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.llm._rows import Words, narrow, rows
-from talweg.llm._shared import arrow_map
+from talweg.llm._shared import arrow_map, trim
 
 #: Buckets of hashed terms and latent factors of each.
 BUCKETS, FACTORS = 1 << 18, 4
@@ -204,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     first = np.concatenate([[0], np.cumsum([len(lists[i]) for i in order], dtype=np.int64)]).astype(np.int64)
     label = (row[order] & 1).astype(np.float64)
     del got, lists
-    return fit(index, first, label, counts.get(1, 0) / max(1, sum(counts.values())))
+    machine = fit(index, first, label, counts.get(1, 0) / max(1, sum(counts.values())))
+    del index, first
+    trim()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
