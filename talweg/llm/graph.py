@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm._shared import apart, stored
+from talweg.llm._shared import apart, discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a's smaller neighbours, and a, go to the least of them
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(apart(low), "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("v")).select(F.col("m").alias("a"), F.col("v").alias("b"))
-        now = stored(ordered(small), "edges")
+        before, now = now, stored(ordered(small), "edges")
+        discard(before)
         last, seen = seen, mark(now)
         if seen == last:
             break
