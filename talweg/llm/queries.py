@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.llm import bit_sliced, bpe, chosen_path, line_dedup, mixing, quality, secret_scan, sentence_spans, toxicity, urls
+from talweg.llm import ball_kmeans, bit_sliced, bpe, chosen_path, line_dedup, mixing, quality, secret_scan, sentence_spans, toxicity, turn_repair, urls, vp_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,10 +83,40 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", removed.alias("removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_byte_bpe, op4_exact_top_k, op5_near_duplicates, op6_quality_rules, op7_url_filter, op8_source_mix, op9_toxicity, op10_span_dedup)}
+def op11_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors by cosine of every vector whose id is divisible by 50, as the trees find them."""
+    return vp_trees.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after five rounds of 40 centroids."""
+    return ball_kmeans.digest(*ball_kmeans.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after its damage."""
+    rows = _table(spark, sf_dir, "conversations")
+    return turn_repair.audited(rows, turn_repair.damaged(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_byte_bpe, op4_exact_top_k, op5_near_duplicates, op6_quality_rules, op7_url_filter, op8_source_mix, op9_toxicity, op10_span_dedup, op11_vp_search, op12_ball_kmeans, op13_turn_repair)}
+
+
+
+def _clusters() -> str:
+    """Six assignments and five moves of 40 centroids, all vectors being compared with all centroids."""
+    nearest = "a{0} AS MATERIALIZED (SELECT r, min(struct_pack(d := list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cluster := cluster)) AS m FROM v, c{0} c GROUP BY r)"
+    moved = "c{1} AS MATERIALIZED (SELECT c.cluster, coalesce(x.q, c.q) AS q FROM c{0} c LEFT JOIN (SELECT cluster, list(CAST((s - (s % n + n) % n) // n AS BIGINT) ORDER BY i) AS q FROM (SELECT m.cluster AS cluster, i, sum(q[i]) AS s, count(*) AS n FROM a{0} JOIN v USING (r), range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1) x USING (cluster))"
+    steps = ", ".join(f"{nearest.format(i)}, {moved.format(i, i + 1)}" for i in range(5))
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, vec_id, q) - 1 AS cluster, q FROM (SELECT *, sha256('2:' || vec_id) AS h FROM v) ORDER BY h, vec_id, q LIMIT 40), {steps}, {nearest.format(5)},
+f AS (SELECT vec_id, m.cluster AS cluster, m.d AS d FROM a5 JOIN v USING (r))
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.q, ',')) AS centroid_sha256 FROM f JOIN c5 USING (cluster)"""
+
 
 #: SQL of the queries that it can express; the others are held against brute force in tests.
 ORACLES: dict[str, str] = {
+    "op12_ball_kmeans": _clusters(),
     "op4_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
