@@ -114,9 +114,44 @@ f AS (SELECT vec_id, m.cluster AS cluster, m.d AS d FROM a5 JOIN v USING (r))
 SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c5.q, ',')) AS centroid_sha256 FROM f JOIN c5 USING (cluster)"""
 
 
+def _repairs() -> str:
+    """The repair as a forward DP: a list's four structs are the cheapest way to each grammar state (cost, then least audit, then the lines
+    it leaves), and a row is a list of one struct: fault (1 truncated, 2 to be deleted), role, text."""
+
+    def more(x: str, cost: str, edit: str, line: str) -> str:
+        return f"CASE WHEN {x} IS NOT NULL THEN struct_pack(cost := {x}.cost + {cost}, audit := {x}.audit || '{edit}', lines := {x}.lines || {line}) END"
+
+    def keep(x: str, initial: str) -> str:
+        return f"CASE WHEN r[1].cost < 2 AND left(r[1].audit, 1) = '{initial}' THEN {more(x, late, 'K', '[r[1].audit || chr(58) || r[1].lines[1]]')} END"
+
+    def rerole(x: str, role: str) -> str:
+        return f"CASE WHEN r[1].cost < 2 THEN {more(x, f'1 + {late}', 'R', f'[{chr(39)}{role}:{chr(39)} || r[1].lines[1]]')} END"
+
+    def insert(x: str, role: str) -> str:
+        return more(x, "5", "I", f"['{role}:']")
+
+    late = "5 * r[1].cost"
+    delete = lambda i: more(f"x[{i}]", "2", "D", "[]")
+    inserted = f"list_transform([{{0}}], lambda b: list_transform([[b[1], b[2], list_min([b[3], {', '.join(insert(f'b[{i}]', 'user') for i in (1, 2, 4))}]), b[4]]], lambda c: [c[1], c[2], c[3], list_min([c[4], {insert('c[3]', 'assistant')}])])[1])[1]"
+    users = ", ".join(f"{keep(f'x[{i}]', 'u')}, {rerole(f'x[{i}]', 'user')}" for i in (1, 2, 4))
+    step = f"list_transform([{inserted.format('a')}], lambda x: [{delete(1)}, list_min([{delete(2)}, {keep('x[1]', 's')}]), list_min([{delete(3)}, {users}]), list_min([{delete(4)}, {keep('x[3]', 'a')}, {rerole('x[3]', 'assistant')}])])[1]"
+    return rf"""WITH k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(k) + 1), lambda i: CAST(ord(k[i]) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE h <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n FROM d),
+f AS (SELECT *, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS cut, left(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1) || left(role, 1) AS pair FROM n),
+c AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT again AND NOT blank) AS truncated, count(*) FILTER (n > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal,
+list([struct_pack(cost := CASE WHEN blank OR again THEN 2 WHEN cut THEN 1 ELSE 0 END, audit := role, lines := [text])] ORDER BY n) AS rows FROM f GROUP BY conv_id),
+p AS (SELECT *, list_reduce(list_concat([[struct_pack(cost := 0, audit := '', lines := CAST([] AS VARCHAR[])), NULL, NULL, NULL]], rows), lambda a, r: {step}) AS a FROM c),
+e AS (SELECT *, list_transform([{inserted.format('a')}], lambda x: list_min([x[1], x[4]]))[1] AS best FROM p)
+SELECT i.conv_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN e ON i.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
 #: SQL of the queries that it can express; the others are held against brute force in tests.
 ORACLES: dict[str, str] = {
     "op12_ball_kmeans": _clusters(),
+    "op13_turn_repair": _repairs(),
     "op4_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
