@@ -50,12 +50,14 @@ def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, doc_id, len, tf), terms (term, df) and total (one row: n, avgdl) of a corpus, with its ids (doc_id)."""
+    """postings (term, doc_id, len, tf), terms (term, df) and total (one row: n, avgdl) of a corpus, with its ids (doc_id).
+    Without terms, df is counted of the postings; lengths (doc_id, len): where postings have none."""
 
     postings: DataFrame
-    terms: DataFrame
+    terms: DataFrame | None
     total: DataFrame
     ids: DataFrame
+    lengths: DataFrame | None = None
 
     @staticmethod
     def of(docs: DataFrame, tokens: Column) -> Index:
@@ -90,15 +92,19 @@ def scores(index: Index, queries: DataFrame, query_tokens: Column, variant: Vari
     Statistics cover all documents, whatever `allowed` (query_id, doc_id) leaves.
     """
     wanted = query_terms(queries, query_tokens)
-    tf, total = index.postings, index.total
+    tf, terms, total = index.postings, index.terms, index.total
+    if index.lengths is not None:
+        tf = tf.join(wanted.select("term").distinct(), "term", "left_semi").join(index.lengths, "doc_id")
+    if terms is None:
+        terms = (index.postings if variant.idf == "okapi" else tf).groupBy("term").agg(F.count("*").alias("df"))
     if variant.idf == "okapi":  # the mean is over the whole vocabulary
         raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        total = total.crossJoin(index.terms.crossJoin(index.total).agg(F.avg(raw).alias("mean_idf")))
+        total = total.crossJoin(terms.crossJoin(index.total).agg(F.avg(raw).alias("mean_idf")))
         idf = F.when(raw < 0, 0.25 * F.col("mean_idf")).otherwise(raw)
     else:
         odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
         idf = F.ln(odds + 1) if variant.idf == "smoothed" else F.greatest(F.ln(odds), F.lit(1e-6))
-    weighed = wanted.join(index.terms, "term").crossJoin(F.broadcast(total)).select("query_id", "term", "times", idf.alias("idf"), "avgdl")  # one row
+    weighed = wanted.join(terms, "term").crossJoin(F.broadcast(total)).select("query_id", "term", "times", idf.alias("idf"), "avgdl")  # one row
     part = F.col("idf") * F.col("tf") * (variant.k1 + 1) / (F.col("tf") + variant.k1 * (1 - variant.b + variant.b * F.col("len") / F.col("avgdl")))
     out = tf.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
     if allowed is not None:

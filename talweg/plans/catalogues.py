@@ -345,34 +345,6 @@ def signature_boost(spark, sf_dir):
     return rows.select("id", F.round(rules.signature_boost(F.col("p"), F.col("e"), F.col("b"), F.col("m")), 6).alias("factor"))
 
 
-_ROUTED = [(4, "timbre fiscal", ["timbre", "fiscal"]), (5, "basculement adsl vers fibre", ["basculement", "adsl", "vers", "fibre"]), (6, "connexion lent", ["connexion", "lent", "debit"]), (1, "paiement par carte cib", ["paiement", "carte", "cib"]), (2, "offre 4g lte sans engagement", ["offre", "4g", "lte", "sans", "engagement"]), (3, "locataire gamer", ["locataire", "gamer"])]
-_OFFERS = [
-    (1, ["paiement", "avantage"], "payment_benefits", "payment", ["residential"], ["fibre"], None),
-    (2, ["4g", "lte"], "offer", "idoom_4g", ["residential"], ["4g_lte"], "no_commitment"),
-    (3, ["gamer"], "offer", "idoom_gamer", ["locataire"], ["fibre"], "monthly"),
-    (4, ["loi"], "tax_policy", "tax_stamp", [], [], None),
-    (5, ["offre"], "technical", "modernisation_fibre", [], ["fibre"], None),
-]
-_LABEL_WORDS = {"technical": ["debit"], "tax_stamp": ["fiscal"], "fibre": ["vers"]}
-# By hand: shared tokens count 1.5 each, then the topics' terms.
-_SCORES = [(1, 1, 1.5 + 25.0), (1, 2, -10.0), (1, 3, -10.0), (2, 1, -15.0), (2, 2, 3.0 + 32.0), (2, 3, -15.0), (3, 1, -12.0 - 15.0), (3, 2, -12.0 - 15.0), (3, 3, 1.5 + 15.0 + 22.0 + 8.0 + 3.0)]
-_SCORES += [(1, 4, -10.0), (1, 5, -10.0), (2, 4, -15.0), (2, 5, 1.5 - 15.0), (3, 4, -27.0), (3, 5, -27.0)]
-# fiscal texts 15 for type and family each, 3 for the family's synonym; moves 10 and 12, a technology 2 and its synonym 1.5; faults 8, the type's synonym 3
-_SCORES += [(4, d, 33.0 if d == 4 else 0.0) for d in range(1, 6)]
-_SCORES += [(5, 1, 3.5), (5, 2, 0.0), (5, 3, 3.5), (5, 4, 0.0), (5, 5, 10.0 + 12.0 + 3.5)]
-_SCORES += [(6, d, 11.0 if d == 5 else 0.0) for d in range(1, 6)]
-
-
-@query(f"SELECT CAST(query_id AS BIGINT) AS query_id, CAST(doc_id AS BIGINT) AS doc_id, CAST(score AS DOUBLE) AS score FROM {values(_SCORES, 'query_id, doc_id, score')}")
-def rule_router(spark, sf_dir):
-    """R7 on literal queries and offers with scores added up by hand."""
-    q = spark.createDataFrame(_ROUTED, "query_id long, form string, tokens array<string>")
-    d = spark.createDataFrame(_OFFERS, "doc_id long, doc_tokens array<string>, doc_type string, family string, segments array<string>, technologies array<string>, commitment string")
-    synonyms = spark.createDataFrame([("modem", "routeur", 0)], "key string, value string, ordinal int")
-    matches = rules.cross_language(q, d.select("doc_id", F.col("doc_tokens").alias("tokens")), synonyms)
-    return rules.routed(q.join(d, F.lit(True)).join(matches, ["query_id", "doc_id"], "left"), _LABEL_WORDS)
-
-
 # ---- evaluation: a hit is a vector with the query's label
 
 _HITS = f"{_DENSE}, r AS ({_top('ds', 10)}), h AS (SELECT q.vec_id AS query_id, q.label, min(r.rank) FILTER (d.label = q.label) AS hit_rank FROM embeddings q JOIN r ON r.query_id = q.vec_id JOIN embeddings d ON d.vec_id = r.doc_id GROUP BY 1, 2)"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -40,9 +38,8 @@ _ROUNDED = "(SELECT query_id, doc_id, round(score, 6) AS score FROM s)"
 
 
 def index(spark: SparkSession, sf_dir: str, words) -> bm25.Index:
-    """The documents' index under one tokeniser, made once for each application and corpus."""
-    name = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
-    folder = f"{files.work_folder(spark)}/{spark.sparkContext.applicationId}/bm25-{words.__name__}-{name}"
+    """The documents' index under one tokeniser, made once for each application and state of the table's files."""
+    folder = files.own_folder(spark, f"bm25-{words.__name__}-{files.fingerprint(spark, f'{sf_dir}/documents.parquet')}")
     return bm25.Index.stored(table(spark, sf_dir, "documents"), words(F.col("text")), folder)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import tempfile
 import uuid
 from dataclasses import dataclass, fields
@@ -57,12 +59,6 @@ def files(spark: SparkSession, path: str, glob: str = "*.{pdf,docx,DOCX,odt}") -
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether any store that Spark reads has the path."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """The catalogue index; an empty one if the file is missing."""
     return json_objects(spark, path, CATALOGUE).drop("_file_path") if exists(spark, path) else spark.createDataFrame([], CATALOGUE)
@@ -133,6 +129,27 @@ def with_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key, "s3_key"), key, "left")
 
 
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, lengths and times of the files under some paths: another one after any of them is written anew."""
+    marks = []
+    for path in paths:
+        of = F.xxhash64("path", "length", "modified")
+        marks.append(str(tuple(files(spark, path, "*").agg(F.count("*"), F.bit_xor(of), F.sum(F.pmod(of, F.lit(1 << 31)))).first())))
+    return hashlib.md5("|".join([*paths, *marks]).encode()).hexdigest()
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in their order; none where there is no folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -145,3 +162,15 @@ def work_folder(spark: SparkSession) -> str:
     if not known and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (known or f"file://{tempfile.gettempdir()}/talweg-work").rstrip("/")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this application in the shared one. All of them are deleted when the driver's Python ends."""
+    top = f"{work_folder(spark)}/{spark.sparkContext.applicationId}"
+    if top not in _OWN:
+        _OWN.add(top)
+        atexit.register(delete, spark, top)
+    return f"{top}/{name}"
+
+
+_OWN: set[str] = set()
