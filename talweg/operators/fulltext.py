@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import text
 from talweg.operators import bm25, ranking
-from talweg.sources import files
+from talweg.sources.versioned import Versioned
 
 #: What is searched in documents of the guides, in the order of an index row.
 FIELDS = ("doc_id", "doc_type", "text", "guide_title", "section_title", "tags")
@@ -18,44 +17,19 @@ FIELDS = ("doc_id", "doc_type", "text", "guide_title", "section_title", "tags")
 MERGE = 8
 
 
-class Store:
-    """An index in a folder, in versions.
-
-    A segment holds what one write brought: `postings` (term, doc_id, tfs: a frequency for each field), sorted by term, `terms` (term, df),
-    and `docs` (doc_id, length over all fields, hash of their texts, kept columns; `gone` marks a deletion). A document lives in the last segment that
-    has it; what earlier ones hold of it is dead. A version's manifest, one row, names the segments and has the number and the total length of living
-    documents. It is written last, under the next number: readers see a version whole or not at all, and of two writers one fails.
-    """
+class Store(Versioned):
+    """A full-text index. Its segments hold `postings` (term, key, tfs: a frequency for each field), sorted by term, `terms` (term, df), and `docs` (key, length over
+    all fields, hash of their texts, kept columns); its versions, number (n) and total length of the living documents."""
 
     def __init__(self, spark: SparkSession, folder: str, fields: tuple[str, ...] = FIELDS, keep: tuple[str, ...] = ("doc_type", "tags"), tokens=text.index_words, key: str = "doc_id"):
-        self.spark, self.folder, self.fields, self.keep, self.tokens, self.key = spark, folder.rstrip("/"), tuple(fields), tuple(keep), tokens, key
-
-    # ---- versions
-
-    def versions(self) -> list[str]:
-        return [v for v in files.listed(self.spark, f"{self.folder}/versions") if files.exists(self.spark, f"{self.folder}/versions/{v}/_SUCCESS")]
-
-    def manifest(self) -> dict:
-        """Of the last version: number, segments, n, length, source."""
-        known = self.versions()
-        if not known:
-            return {"number": 0, "segments": [], "n": 0, "length": 0, "source": None}
-        return self.spark.read.parquet(f"{self.folder}/versions/{known[-1]}").first().asDict()
-
-    def _commit(self, now: dict, segments: list[str], n: int, length: int, source: str | None) -> None:
-        row = [(now["number"] + 1, segments, n, length, source)]
-        kind = "number long, segments array<string>, n long, length long, source string"
-        self.spark.createDataFrame(row, kind).coalesce(1).write.mode("errorifexists").parquet(f"{self.folder}/versions/{now['number'] + 1:09d}")
-
-    def _segment(self, name: str, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/segments/{name}/{table}")
+        super().__init__(spark, folder, key)
+        self.fields, self.keep, self.tokens = tuple(fields), tuple(keep), tokens
 
     # ---- writing
 
     def _written(self, rows: DataFrame, gone: DataFrame | None) -> str:
         """A segment of documents (key, fields, kept columns), one row for each, and of keys that go."""
-        name = uuid.uuid4().hex
-        at = lambda table: f"{self.folder}/segments/{name}/{table}"
+        name, folder = self.new_segment()
         value = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("")) if f not in self.keep or dict(rows.dtypes)[f] == "string" else F.to_json(F.struct(F.col(f).alias("x")))
         lists = F.array(*(self.tokens(value(f)) for f in self.fields))
         kept = [F.col(c) for c in dict.fromkeys((self.key, *self.keep))]
@@ -63,48 +37,39 @@ class Store:
         docs = each.select(*kept, F.aggregate("lists_", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("len"), "hash", F.lit(False).alias("gone"))
         if gone is not None:
             docs = docs.unionByName(gone.select(self.key).distinct().withColumn("gone", F.lit(True)), allowMissingColumns=True)
-        docs.write.parquet(at("docs"))
+        docs.write.parquet(f"{folder}/docs")
         words = each.select(self.key, F.posexplode("lists_").alias("field", "words")).select(self.key, "field", F.explode("words").alias("term"))
         counts = words.groupBy("term", self.key).agg(F.array(*(F.count_if(F.col("field") == i).cast("int") for i in range(len(self.fields)))).alias("tfs"))
         self._postings(name, counts)
         return name
 
     def _postings(self, name: str, counts: DataFrame) -> None:
-        at = lambda table: f"{self.folder}/segments/{name}/{table}"
-        counts.repartitionByRange("term", self.key).sortWithinPartitions("term", self.key).write.parquet(at("postings"))
-        self._segment(name, "postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(at("terms"))
+        folder = f"{self.folder}/segments/{name}"
+        counts.repartitionByRange("term", self.key).sortWithinPartitions("term", self.key).write.parquet(f"{folder}/postings")
+        self.segment(name, "postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
 
     def write(self, rows: DataFrame, gone: DataFrame | None = None, source: str | None = None) -> None:
         """K4, K6: one more segment. Documents of known keys take the place of those; of rows of one key any one counts. gone: keys
         (key) of documents to be left out."""
         now = self.manifest()
         name = self._written(rows.dropDuplicates([self.key]), gone)
-        new = self._segment(name, "docs")
+        new = self.segment(name, "docs")
         added = new.filter("not gone").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("length")).first()
         n, length = added["n"], added["length"]
         if now["segments"]:
             old = self.live(now["segments"]).join(new.select(self.key), self.key, "left_semi").agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("length")).first()
-            n, length = n + now["n"] - old["n"], length + now["length"] - old["length"]
-        self._commit(now, [*now["segments"], name], n, length, source)
+            n, length = n + now["facts"]["n"] - old["n"], length + now["facts"]["length"] - old["length"]
+        self.commit(now, [*now["segments"], name], {"n": n, "length": length}, source)
 
     def merge(self) -> None:
         """All living documents in one segment. Versions before stay readable until prune()."""
         now = self.manifest()
         if len(now["segments"]) < 2:
             return
-        name = uuid.uuid4().hex
-        self.live(now["segments"]).write.parquet(f"{self.folder}/segments/{name}/docs")
-        self._postings(name, self._living("postings", now["segments"]))
-        self._commit(now, [name], now["n"], now["length"], now["source"])
-
-    def prune(self) -> None:
-        """Deletes all versions but the last, and segments that it does not name."""
-        now = self.manifest()
-        for v in self.versions()[:-1]:
-            files.delete(self.spark, f"{self.folder}/versions/{v}")
-        for s in files.listed(self.spark, f"{self.folder}/segments"):
-            if s not in now["segments"]:
-                files.delete(self.spark, f"{self.folder}/segments/{s}")
+        name, folder = self.new_segment()
+        self.live(now["segments"]).write.parquet(f"{folder}/docs")
+        self._postings(name, self.living("postings", now["segments"]))
+        self.commit(now, [name], now["facts"], now["source"])
 
     def sync(self, rows: DataFrame, source: str) -> Store:
         """Brings the index to the state of `rows`. Nothing happens while the source's mark (files.fingerprint) is that of the last
@@ -126,33 +91,19 @@ class Store:
 
     # ---- reading
 
-    def _living(self, table: str, segments: list[str], where=lambda df: df) -> DataFrame:
-        """Rows of a table of all segments, without what later segments have replaced; `where` cuts each before."""
-        parts = []
-        for i, s in enumerate(segments):
-            part = where(self._segment(s, table))
-            if i + 1 < len(segments):
-                later = reduce(DataFrame.unionByName, (self._segment(x, "docs").select(self.key) for x in segments[i + 1 :]))
-                part = part.join(later, self.key, "left_anti")
-            parts.append(part)
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-
-    def live(self, segments: list[str] | None = None) -> DataFrame:
-        """(key, kept columns, len, hash) of the living documents."""
-        return self._living("docs", self.manifest()["segments"] if segments is None else segments, lambda df: df.filter("not gone"))
-
     def index(self, only: tuple[str, ...] = ()) -> bm25.Index:
         """The state of the last version for bm25.scores(); `only`: fields in which words must stand. Lengths and totals cover all fields."""
         now = self.manifest()
         if not now["segments"]:
             raise ValueError(f"no index in {self.folder}")
+        facts = now["facts"]
         chosen = [self.fields.index(f) for f in (only or self.fields)]
         tf = reduce(lambda a, b: a + b, (F.col("tfs")[i] for i in chosen)).cast("long")
         docs = self.live(now["segments"])
         lengths = docs.select(self.key, "len")
-        rows = self._living("postings", now["segments"]).select("term", self.key, tf.alias("tf")).filter("tf > 0")
-        terms = self._segment(now["segments"][0], "terms") if len(now["segments"]) == 1 and not only else None
-        total = self.spark.createDataFrame([(now["n"], now["length"] / now["n"] if now["n"] else None)], "n long, avgdl double")
+        rows = self.living("postings", now["segments"]).select("term", self.key, tf.alias("tf")).filter("tf > 0")
+        terms = self.segment(now["segments"][0], "terms") if len(now["segments"]) == 1 and not only else None
+        total = self.spark.createDataFrame([(facts["n"], facts["length"] / facts["n"] if facts["n"] else None)], "n long, avgdl double")
         return bm25.Index(rows.withColumnRenamed(self.key, "doc_id"), terms, total, docs.select(F.col(self.key).alias("doc_id")), lengths.withColumnRenamed(self.key, "doc_id"))
 
 

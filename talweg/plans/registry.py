@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from talweg.plans import catalogues, fulltext, pipelines, routing, search, texts  # noqa: F401
+from talweg.plans import catalogues, fulltext, pipelines, routing, search, texts, vectors  # noqa: F401
 from talweg.plans._sql import ORACLES, QUERIES  # noqa: F401
