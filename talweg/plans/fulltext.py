@@ -45,7 +45,7 @@ def corpus(docs: str = "documents") -> str:
     return f"""d0 AS (SELECT *, {literal(KINDS)}[1 + doc_id % 3] AS doc_type, '["' || lang || '","' || source || '"]' AS tags FROM {docs}), d1 AS (SELECT *, concat_ws(' ', source, doc_type) AS guide_title FROM d0), d AS (SELECT doc_id, doc_type, tags, {INDEX_WORDS.format(fields)} AS toks FROM d1),
 tot AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM d) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_words('text')}) AS term FROM benchmark) GROUP BY 1, 2),
-s AS (SELECT query_id, doc_id, round(sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), tot GROUP BY 1, 2)"""
+s AS (SELECT query_id, doc_id, sum(times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS raw, round(raw, 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), tot GROUP BY 1, 2)"""
 
 
 def _best(source: str, k: int) -> str:

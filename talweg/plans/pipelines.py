@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from talweg.functions import dims
 from talweg.operators import documents, fusion, pipelines, ranking, signatures
-from talweg.plans._sql import literal, query, table, values
-from talweg.plans.catalogues import _FACTS, _MODELS, _ORDER_FACTS, _conventions, _pick
-from talweg.plans.search import _vectors
+from talweg.plans._sql import PRODUCT_WORDS, WORDS, literal, query, table, values
+from talweg.plans.catalogues import _FACTS, _MODEL_KEYS, _MODELS, _ORDER_FACTS, _TAGS, _conventions, _pick
+from talweg.plans.fulltext import _best, asked, corpus, sections, store
+from talweg.plans.routing import ROUTER, _form, index, offers, questions, synonyms
+from talweg.plans.search import _minmax, _vectors
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _GRAMS = f"""w AS (SELECT doc_id, source AS entity, {_TOKENS} AS w FROM documents), g AS (SELECT doc_id, entity, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS token FROM w),
@@ -104,7 +106,7 @@ def joined_metadata(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
 
 
-# ---- entry points: no SQL; tests hold them against fixtures
+# ---- entry points
 
 
 @query()
@@ -118,33 +120,60 @@ def convention_search(spark, sf_dir):
     return pipelines.conventions(documents.passages(docs), asked)
 
 
-@query()
+_RULED = f"""{ROUTER}, syn2 AS (SELECT key, list(value ORDER BY ordinal) AS m FROM syn WHERE ordinal < 2 GROUP BY 1),
+xs AS (SELECT query_id, list_transform({WORDS.format('q')}, lambda w: list_concat([w], coalesce(map_extract_value(syn2, lower(trim(w))), []))) AS steps FROM qf, maps),
+xt AS (SELECT query_id, unnest(list_reduce(list_concat([[]], steps), lambda o, x: list_concat(o, [x[1]], list_filter(list_distinct(x[2:]), lambda y: y <> x[1] AND NOT list_contains(o, y))))) AS term FROM xs), qt AS (SELECT query_id, term, count(*) AS times FROM xt GROUP BY 1, 2),
+dt AS (SELECT doc_id, {WORDS.format(_form('text'))} AS toks FROM d0), tot AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM dt) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), mi AS (SELECT avg(ln(n - df + 0.5) - ln(df + 0.5)) AS mean_idf FROM df, tot),
+bs AS (SELECT query_id, doc_id, sum(times * CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) < 0 THEN 0.25 * mean_idf ELSE ln(n - df + 0.5) - ln(df + 0.5) END * tf * 2.5 / (tf + 1.5 * (0.5 + 0.5 * len / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), tot, mi GROUP BY 1, 2),
+j AS (SELECT r.query_id, r.doc_id, r.score AS rule, coalesce(bs.score, 0) AS sparse FROM r LEFT JOIN bs USING (query_id, doc_id)),
+f1 AS (SELECT query_id, doc_id, round((sparse - min(sparse) OVER w) / greatest(max(sparse) OVER w - min(sparse) OVER w, 1e-6) + 1.25 * (rule - min(rule) OVER w) / greatest(max(rule) OVER w - min(rule) OVER w, 1e-6), 6) AS score FROM j WINDOW w AS (PARTITION BY query_id)),
+al AS (SELECT a.query_id, doc_id, coalesce(bs.score, 0) AS sparse FROM (SELECT DISTINCT query_id FROM qt WHERE query_id NOT IN (SELECT query_id FROM r)) a CROSS JOIN d0 LEFT JOIN bs USING (query_id, doc_id)),
+f2 AS (SELECT query_id, doc_id, round(0.7 * (sparse - min(sparse) OVER w) / greatest(max(sparse) OVER w - min(sparse) OVER w, 1e-6), 6) AS score FROM al WINDOW w AS (PARTITION BY query_id)),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2)), o AS (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY rank) AS before FROM p WHERE rank <= 10),
+k AS (SELECT *, min(CASE WHEN rank = 1 OR (before > 0 AND (before - score) / before < 0.05) THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS ok FROM o)"""
+
+
+@query(f"WITH {_RULED} SELECT query_id, doc_id, score, rank FROM k WHERE ok = 1 AND rank <= 3")
 def offer_search(spark, sf_dir):
-    """Nations are offers, regions ask."""
-    n = F.col("n_nationkey")
-    kinds, families = ["payment_benefits", "offer", "tax_policy", "technical"], ["payment", "idoom_gamer", "tax_stamp", "modernisation", "school"]
-    docs = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.concat(F.lit("offre "), F.lower("n_name"), F.lit(" "), _pick(families, n % 5)).alias("text"), _pick(kinds, n % 4).alias("doc_type"), _pick(families, n % 5).alias("family"), F.array(_pick(["residential", "locataire", "business"], n % 3)).alias("segments"), F.array(_pick(["fibre", "4g_lte"], n % 2)).alias("technologies"), F.when(n % 2 == 1, "no_commitment").alias("commitment"))
-    asks = ["paiement par carte cib", "offre 4g lte sans engagement", "locataire gamer", "timbre fiscal", "école primaire"]
-    asked = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("query_id"), _pick(asks, F.col("r_regionkey") % 5).alias("query"))
-    synonyms = spark.createDataFrame([("carte", "payment", 0), ("école", "school", 0)], "key string, value string, ordinal int")
-    return pipelines.offers(docs, asked, synonyms, {"payment": ["carte"]})
+    """Suppliers ask for parts as offers."""
+    return pipelines.offers(offers(spark, sf_dir), questions(spark, sf_dir), synonyms(spark), index(spark, sf_dir))
 
 
-@query()
+_WANTED = f"""tg AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), wq AS (SELECT DISTINCT item_id AS query_id, value FROM benchmark, tg WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])')), wl AS (SELECT query_id, list(value) AS wanted FROM wq GROUP BY 1),
+ok AS (SELECT item_id AS query_id, doc_id FROM benchmark CROSS JOIN d LEFT JOIN wl ON wl.query_id = item_id WHERE doc_type = 'section' AND (wanted IS NULL OR len(list_filter(wanted, lambda x: contains(lower(tags), lower(x)))) > 0))"""
+_SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> ''))"
+
+
+@query(rf"""WITH {corpus()}, {_WANTED}, sp AS ({_best('(SELECT query_id, doc_id, raw AS score FROM s JOIN ok USING (query_id, doc_id))', 30)}),
+dv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), ds AS (SELECT a.vec_id // 10 AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM dv a, dv b WHERE a.vec_id % 20 = 0 AND b.vec_id <> a.vec_id), de AS ({_best('(SELECT ds.* FROM ds JOIN ok USING (query_id, doc_id))', 30)}),
+j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.score, 0) AS sparse, coalesce(b.score, 0) AS dense FROM {_minmax('sp', 'half')} a FULL JOIN {_minmax('de', 'half')} b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
+t AS (SELECT item_id AS query_id, {_SPLIT.format('text')} AS qw FROM benchmark), u AS (SELECT doc_id, {_SPLIT.format('guide_title')} AS tw FROM d1),
+f AS (SELECT j.query_id, j.doc_id, 0.8 * dense + 0.2 * sparse + CASE WHEN len(list_intersect(qw, tw)) >= 2 THEN 0.2 WHEN len(list_intersect(qw, tw)) = 1 AND len(qw) <= 3 THEN 0.1 ELSE 0 END AS score FROM j JOIN t USING (query_id) JOIN u USING (doc_id) WHERE query_id IN (SELECT query_id FROM de) UNION ALL SELECT query_id, doc_id, score FROM sp WHERE query_id NOT IN (SELECT query_id FROM de))
+{_best('(SELECT query_id, doc_id, round(score, 6) AS score FROM f)', 10)}""")
 def guide_search(spark, sf_dir):
-    """Benchmark texts ask, documents are guides whose first line is the title."""
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
+    """Benchmark texts ask, documents are sections of guides; every second query has vector results, too."""
     q, v = _vectors(spark, sf_dir)
-    dense = fusion.dense_top_k(q, v, 30, where=F.col("query_id") != F.col("doc_id"), digits=6).withColumn("query_id", F.expr("query_id div 10"))
-    return pipelines.guides(docs, queries, dense)
+    dense = fusion.dense_top_k(q.filter("query_id % 20 = 0"), v, 1 << 30, where=F.col("query_id") != F.col("doc_id"), digits=6).withColumn("query_id", F.expr("query_id div 10"))
+    docs = sections(table(spark, sf_dir, "documents")).withColumnRenamed("guide_title", "title")
+    return pipelines.guides(docs, asked(spark, sf_dir), store(spark, sf_dir), dense)
 
 
-@query()
+_PRODUCT_TEXT = "p_name || ' ' || p_brand || ' ' || p_type"
+_NAME_TEXT = f"p_name || ' ' || {literal(_MODELS)}[1 + p_partkey % {len(_MODELS)}]"
+_SOUGHT = f"CASE WHEN s_suppkey % 3 = 0 THEN 'prix ' || {literal(_MODELS)}[1 + s_suppkey % {len(_MODELS)}] WHEN s_suppkey % 3 = 1 THEN 'polished steel case' ELSE s_name END"
+
+
+@query(f"""WITH k AS (SELECT * FROM {values(_MODEL_KEYS, 'key, value')}), qx AS (SELECT s_suppkey AS query_id, {_SOUGHT} AS query FROM supplier), a AS (SELECT DISTINCT query_id, key FROM qx, k WHERE contains(lower(trim(query)), value)), n AS (SELECT DISTINCT p_partkey AS doc_id, key FROM part, k WHERE contains(lower({_NAME_TEXT}), value)),
+l1 AS (SELECT query_id, doc_id, 1.0 AS score FROM a JOIN n USING (key)), qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({PRODUCT_WORDS.format('query')}) AS term FROM qx) GROUP BY 1, 2), dt AS (SELECT p_partkey AS doc_id, {PRODUCT_WORDS.format(_PRODUCT_TEXT)} AS toks FROM part),
+tot AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt), tf AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM dt) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), mi AS (SELECT avg(ln(n - df + 0.5) - ln(df + 0.5)) AS mean_idf FROM df, tot),
+l2 AS (SELECT query_id, doc_id, round(sum(times * CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) < 0 THEN 0.25 * mean_idf ELSE ln(n - df + 0.5) - ln(df + 0.5) END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), tot, mi GROUP BY 1, 2),
+u AS (SELECT 1 AS layer, query_id, doc_id, CAST(score AS DOUBLE) AS score FROM l1 UNION ALL SELECT 2, query_id, doc_id, score FROM l2 WHERE score >= 0.55 UNION ALL SELECT 3, s_suppkey, 1 + s_suppkey % 50, CASE WHEN s_suppkey % 2 = 0 THEN 0.4 ELSE 0.05 END FROM supplier)
+SELECT query_id, doc_id, score, CAST(layer AS BIGINT) AS layer FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY layer, score DESC, doc_id) AS n FROM u WHERE layer < 3 OR score >= 0.1) WHERE n = 1""")
 def product_search(spark, sf_dir):
-    """Suppliers ask for models, parts have them in their names."""
+    """Suppliers ask for models, for what stands in parts' texts, or for nothing that is there; some have a vector result."""
     model = lambda c: _pick(_MODELS, F.col(c) % len(_MODELS))
+    key = F.col("s_suppkey")
     docs = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" "), model("p_partkey")).alias("name_text"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
-    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("prix "), model("s_suppkey"))).otherwise(F.col("s_name")).alias("query"))
-    none = asked.select("query_id", F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
-    return pipelines.products(docs, asked, none)
+    sought = table(spark, sf_dir, "supplier").select(key.alias("query_id"), F.when(key % 3 == 0, F.concat(F.lit("prix "), model("s_suppkey"))).when(key % 3 == 1, "polished steel case").otherwise(F.col("s_name")).alias("query"))
+    dense = sought.select("query_id", (1 + F.col("query_id") % 50).alias("doc_id"), F.when(F.col("query_id") % 2 == 0, 0.4).otherwise(0.05).alias("score"))
+    return pipelines.products(docs, sought, dense).withColumn("score", F.round("score", 6))
