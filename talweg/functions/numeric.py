@@ -104,6 +104,26 @@ def clamped(boost: Column) -> Column:  # M6
     return 1 + F.least(boost, F.lit(1.0))
 
 
+def half_even(x: Column, digits: int) -> Column:  # M5
+    """A double rounded as its exact binary value demands, halves to even: 2.675, which is a little less, gives 2.67. 0 to 15 digits.
+
+    y = x * 10^digits is the nearest double; what it lacks is found exactly from the halves of x, and decides where y lies in the middle.
+    """
+    scale = F.lit(float(10**digits))
+    y = x * scale
+    c = x * 134217729.0  # 2^27 + 1 parts a double into two of 26 bits
+    high = c - (c - x)
+    low = x - high
+    big = float(10**digits) * 134217729.0
+    top = big - (big - float(10**digits))
+    rest = float(10**digits) - top
+    lost = ((high * top - y) + high * rest + low * top) + low * rest
+    down = F.floor(y).cast("double")
+    part = y - down
+    up = (part > 0.5) | ((part == 0.5) & ((lost > 0) | ((lost == 0) & (down % 2 != 0))))
+    return F.when(F.abs(y) < float(1 << 51), (down + up.cast("double")) / scale).otherwise(x)
+
+
 def confidence(best: Column, second: Column) -> Column:  # M7
     """Confidence in a first place: by its score alone, or the mean of that and of what its lead over the second place gives."""
 

@@ -64,6 +64,11 @@ def words(text: Column) -> Column:  # T6
     return F.filter(F.regexp_extract_all(text, F.lit(f"({WORD}+)")), lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$"))
 
 
+def offer_words(text: Column) -> Column:  # T5, T6
+    """Words of either script in a text's search form."""
+    return words(search_form(text))
+
+
 def query_parts(text: Column) -> Column:  # T7
     return F.struct(search_form(text).alias("form"), words(search_form(text)).alias("words"), language(text).alias("language"))
 
@@ -98,8 +103,28 @@ def search_words(text: Column) -> Column:  # T12, F13
     return F.when(F.size(meaning) > 0, meaning).otherwise(F.filter(split, lambda w: F.length(w) >= 2))
 
 
+#: Characters with a compatibility form of their own, by the Unicode data that Python brings along; Hangul syllables keep theirs.
+_COMPATIBLE = {c: n for c in map(chr, [*range(0xA0, 0xD800), *range(0xE000, 0x110000)]) if (n := unicodedata.normalize("NFKC", c)) != c}
+#: Runs that normalisation may change: such a character, or any with combining marks or conjoining letters behind it.
+_LOOSE = r"[\p{M}\u1100-\u11FF]"
+
+
+def compatible(text: Column) -> Column:
+    """NFKC: letters in their composed compatibility forms. Characters with a form of one character are translated in the JVM; texts with others, or with
+    combining marks, whose order matters, go through a small Arrow function, and they alone."""
+    single = {c: n for c, n in _COMPATIBLE.items() if len(n) == 1}
+    loose = F.rlike(text, F.lit(_LOOSE + "|[" + "".join(f"\\x{{{ord(c):X}}}" for c, n in _COMPATIBLE.items() if len(n) > 1) + "]"))
+    return F.when(loose, _normalised(F.when(loose, text))).otherwise(F.translate(text, "".join(single), "".join(single.values())))
+
+
+def _normalised(text: Column) -> Column:
+    from pyspark.sql.functions import PandasUDFType, pandas_udf
+
+    return pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x)), "string", PandasUDFType.SCALAR)(text)
+
+
 def folded(text: Column) -> Column:  # T14
-    return squeeze(F.lower(text))
+    return squeeze(compatible(F.lower(F.coalesce(text, F.lit("")))))
 
 
 def title_form(text: Column) -> Column:  # T15

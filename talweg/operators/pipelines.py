@@ -67,14 +67,9 @@ def conventions(passages: DataFrame, queries: DataFrame, dense: DataFrame | None
     return ranking.top_k(ranking.document_scores(scored, False).select("query_id", "doc_id", "passage_id", F.round("doc_score", 6).alias("doc_score")), top, score="doc_score")
 
 
-def offer_words(column: Column) -> Column:
-    """Words of either script."""
-    return text.words(text.search_form(column))
-
-
 def offer_tokens(queries: DataFrame, synonyms: DataFrame, most: int = 2) -> DataFrame:
     """(query_id, tokens): each word of a query followed by those of its first `most` synonyms that are not among the tokens so far."""
-    each = queries.select("query_id", F.posexplode(offer_words(F.col("query"))).alias("pos", "token"))
+    each = queries.select("query_id", F.posexplode(text.offer_words(F.col("query"))).alias("pos", "token"))
     known = synonyms.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("ordinal"))).filter(F.col("n") <= most)
     lists = known.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("more"))
     steps = each.join(lists, F.lower(F.trim("token")) == F.col("key"), "left").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token", text.listed(F.col("more")).alias("more")))).alias("steps"))
@@ -90,7 +85,7 @@ def offers(docs: DataFrame, queries: DataFrame, synonyms: DataFrame, index: rout
     """
     spark = docs.sparkSession
     index = index or routing.Index.stored(docs, synonyms, files.own_folder(spark, f"routing-{uuid.uuid4().hex}"))
-    words = words or bm25.Index.stored(docs.select("doc_id", "text"), offer_words(F.col("text")), files.own_folder(spark, f"bm25-offers-{uuid.uuid4().hex}"))
+    words = words or bm25.Index.stored(docs.select("doc_id", "text"), text.offer_words(F.col("text")), files.own_folder(spark, f"bm25-offers-{uuid.uuid4().hex}"))
     tokens = _kept(offer_tokens(queries, synonyms), "tokens")
     routed = _kept(routing.routed(index, queries.join(tokens.select("query_id"), "query_id", "left_semi"), synonyms), "routed")
     pool = max(2 * top, 5)

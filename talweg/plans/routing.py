@@ -56,13 +56,11 @@ def _at(list_: list, place: str) -> str:
 
 
 def _form(x: str) -> str:
-    """Search forms of texts of one language and common signs."""
-    return f"CASE WHEN regexp_matches({x}, '[\\x{{0600}}-\\x{{06FF}}]') AND NOT regexp_matches({x}, '[a-zA-Z]') THEN trim(translate({x}, 'أإآٱىة', 'اااايه')) ELSE trim(regexp_replace(regexp_replace(lower(translate({x}, 'أإآٱىة', 'اااايه')), '[^\\p{{L}}\\p{{N}}_\\s''-]', ' ', 'g'), '\\s+', ' ', 'g')) END"
-
-
-def _meanings(x: str, most: int) -> str:
-    """A list of a word's forms in lower case."""
-    return f"list_concat([lower(trim({x}))], coalesce((SELECT list(value ORDER BY ordinal) FROM syn WHERE key = lower(trim({x})) AND ordinal < {most - 1}), []))"
+    """Search forms of texts with common signs."""
+    arabic, latin = f"len(regexp_extract_all({x}, '[\\x{{0600}}-\\x{{06FF}}]'))", f"len(regexp_extract_all({x}, '[a-zA-ZÀ-ÿ]'))"
+    one = f"trim(translate({x}, 'أإآٱىة', 'اااايه'))"
+    french = lambda y: f"trim(regexp_replace(regexp_replace(lower({y}), '[^\\p{{L}}\\p{{N}}_\\s''-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"CASE WHEN {arabic} > 0.7 * ({arabic} + {latin}) THEN {one} WHEN {arabic} + {latin} = 0 OR {arabic} < 0.3 * ({arabic} + {latin}) THEN {french(x)} ELSE {french(one)} END"
 
 
 def _topic(name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from talweg.functions import numeric, text
 from talweg.operators import bm25, catalogue, fusion, ranking
-from talweg.plans._sql import INDEX_WORDS, PASSAGE_WORDS, PRODUCT_WORDS, literal, query, table
+from talweg.plans._sql import INDEX_WORDS, PASSAGE_WORDS, PRODUCT_WORDS, WORDS, literal, query, table
 from talweg.sources import files
 
 
@@ -71,11 +71,14 @@ def bm25_okapi_topk(spark, sf_dir):
     return ranking.top_k(out.filter("score > 0").withColumn("score", F.round("score", 6)), 5)
 
 
-@query(f"""WITH {_bm25(_PRODUCT, _PRODUCT, _OKAPI, 1.5, 0.5, True)}, c AS (SELECT item_id AS query_id, doc_id FROM benchmark, documents WHERE doc_id % 7 = item_id % 7),
+_OFFER = WORDS.format(r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\s''-]', ' ', 'g'), '\s+', ' ', 'g'))")
+
+
+@query(f"""WITH {_bm25(_OFFER, _OFFER, _OKAPI, 1.5, 0.5, True)}, c AS (SELECT item_id AS query_id, doc_id FROM benchmark, documents WHERE doc_id % 7 = item_id % 7),
 a AS (SELECT query_id, doc_id, round(coalesce(score, 0), 6) AS score FROM c LEFT JOIN s USING (query_id, doc_id)) {_top('a')}""")
 def bm25_candidates_topk(spark, sf_dir):
     """R3 over a rule layer's candidates (F11): all of them are scored, the statistics are those of all documents."""
-    queries, docs, words = _queries(spark, sf_dir), table(spark, sf_dir, "documents"), text.product_words
+    queries, docs, words = _queries(spark, sf_dir), table(spark, sf_dir, "documents"), text.offer_words
     groups = queries.select("query_id", (F.col("query_id") % 7).alias("g")).join(docs.select("doc_id", (F.col("doc_id") % 7).alias("g")), "g").drop("g")
     out = bm25.scores(index(spark, sf_dir, words), queries, words(F.col("query")), bm25.OFFERS, groups)
     return ranking.top_k(out.withColumn("score", F.round("score", 6)), 5)
@@ -140,15 +143,17 @@ def _minmax(source: str, equal: str) -> str:
     return f"(SELECT query_id, doc_id, {value} AS score FROM {source})"
 
 
+_SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> ''))"
 _FUSED = f"""WITH {_SIDES}, j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.score, 0) AS sparse, coalesce(b.score, 0) AS dense FROM {_minmax('sp', 'half')} a FULL JOIN {_minmax('de', 'half')} b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
-t AS (SELECT item_id AS query_id, {_P} AS qw FROM benchmark), u AS (SELECT doc_id, {PASSAGE_WORDS.format('substr(text, 1, 80)')} AS tw FROM documents),
+t AS (SELECT item_id AS query_id, {_SPLIT.format('text')} AS qw FROM benchmark), u AS (SELECT doc_id, {_SPLIT.format("split_part(text, chr(10), 1)")} AS tw FROM documents),
 f AS (SELECT j.query_id, j.doc_id, 0.8 * dense + 0.2 * sparse + coalesce(CASE WHEN len(list_intersect(qw, tw)) >= 2 THEN 0.2 WHEN len(list_intersect(qw, tw)) = 1 AND len(list_distinct(qw)) <= 3 THEN 0.1 ELSE 0 END, 0) AS score FROM j JOIN t USING (query_id) LEFT JOIN u USING (doc_id))"""
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     sparse, dense = _sides(spark, sf_dir)
-    query_words = _queries(spark, sf_dir).select("query_id", text.passage_words(F.col("query")).alias("query_words"))
-    title_words = table(spark, sf_dir, "documents").select("doc_id", text.passage_words(F.substring("text", 1, 80)).alias("title_words"))
+    plain = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
+    query_words = _queries(spark, sf_dir).select("query_id", plain("query").alias("query_words"))
+    title_words = table(spark, sf_dir, "documents").select("doc_id", plain(F.substring_index("text", "\n", 1)).alias("title_words"))  # first lines are titles
     out = fusion.title_boost(fusion.weighted(sparse, dense, 0.8, 0.2), query_words, title_words)
     return out.select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
