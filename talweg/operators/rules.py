@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from talweg.functions import dims, numeric, text
+from talweg.operators import substrings
 
 
 def classify(queries: DataFrame) -> DataFrame:
@@ -62,10 +63,23 @@ def word_in(query: Column, key: Column) -> Column:
     return F.rlike(query, F.concat(F.lit(f"(^|{side})"), F.lit(r"\Q"), key, F.lit(r"\E"), F.lit(f"($|{side})")))
 
 
+def naming(texts: DataFrame, dictionary: DataFrame, words: bool) -> DataFrame:
+    """(text_id, key, value, ordinal) of entries of a dictionary (pattern, key, value, ordinal) whose pattern stands in a text (text_id, text), as whole words or anywhere.
+    Texts and patterns meet over their grams, so a dictionary may be of any size."""
+    known = dictionary.select("pattern").distinct()
+    verify = word_in(F.col("whole"), F.col("part")) if words else None
+    hits = substrings.containing(texts.select(F.col("text_id").alias("whole_id"), F.col("text").alias("whole")), known.select(F.col("pattern").alias("part_id"), F.col("pattern").alias("part")), verify)
+    return hits.select(F.col("whole_id").alias("text_id"), F.col("part_id").alias("pattern")).join(dictionary, "pattern").select("text_id", "key", "value", "ordinal")
+
+
 def tags(queries: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
-    """F8: (query_id, tags) that the words of a query ask for, each once, in the order of the dictionary."""
-    known = F.broadcast(dictionary if dictionary is not None else dims.dictionary(queries.sparkSession, dims.TAG_WORDS))  # fixed
-    hits = queries.join(known, word_in(F.lower("query"), F.col("key")))
+    """F8: (query_id, tags) that the words of a query ask for, each once, in the order of the dictionary (key, value, ordinal): the built-in one, which is small and fixed, or a table."""
+    if dictionary is None:
+        known = F.broadcast(dims.dictionary(queries.sparkSession, dims.TAG_WORDS))  # fixed
+        hits = queries.join(known, word_in(F.lower("query"), F.col("key")))
+    else:
+        found = naming(queries.select(F.col("query_id").alias("text_id"), F.lower("query").alias("text")), dictionary.withColumn("pattern", F.col("key")), True)
+        hits = found.withColumnRenamed("text_id", "query_id")
     first = hits.groupBy("query_id", "value").agg(F.min("ordinal").alias("ordinal"))
     lists = first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda x: x["value"]).alias("tags"))
     return queries.select("query_id").join(lists, "query_id", "left").withColumn("tags", text.listed(F.col("tags")))
@@ -80,12 +94,17 @@ def tagged(doc_tags: Column, wanted: Column, part: bool) -> Column:
     return (F.size(wanted) == 0) | hit
 
 
-def by_product(queries: DataFrame, docs: DataFrame, patterns: dict[str, list[str]] | None = None) -> DataFrame:
-    """(query_id, doc_id) where both name the same product. docs: (doc_id, name_text). Patterns are few and fixed; each side
-    is matched on its own, then joined on the product."""
-    known = F.broadcast(dims.dictionary(queries.sparkSession, patterns or dims.PRODUCT_PATTERNS))
-    asked = queries.join(known, F.contains(F.lower(F.trim("query")), F.col("value"))).select("query_id", "key").distinct()
-    there = docs.join(known, F.contains(F.lower("name_text"), F.col("value"))).select("doc_id", "key").distinct()
+def by_product(queries: DataFrame, docs: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id) where both name the same product. docs: (doc_id, name_text). patterns: (key, value, ordinal), the built-in ones, which are few and fixed, or a
+    table. Each side is matched on its own, then joined on the product."""
+    if patterns is None:
+        known = F.broadcast(dims.dictionary(queries.sparkSession, dims.PRODUCT_PATTERNS))  # fixed
+        asked = queries.join(known, F.contains(F.lower(F.trim("query")), F.col("value"))).select("query_id", "key").distinct()
+        there = docs.join(known, F.contains(F.lower("name_text"), F.col("value"))).select("doc_id", "key").distinct()
+    else:
+        known = patterns.withColumn("pattern", F.col("value"))
+        asked = naming(queries.select(F.col("query_id").alias("text_id"), F.lower(F.trim("query")).alias("text")), known, False).select(F.col("text_id").alias("query_id"), "key").distinct()
+        there = naming(docs.select(F.col("doc_id").alias("text_id"), F.lower("name_text").alias("text")), known, False).select(F.col("text_id").alias("doc_id"), "key").distinct()
     return asked.join(there, "key").select("query_id", "doc_id").distinct()
 
 
@@ -188,67 +207,3 @@ def topics(form: Column, tokens: Column) -> Column:
 TAX = ("timbre", "fiscal", "taxe", "طابع", "جبائي", "قانون", "المالية", "ضريبة")
 MOVES = ("modernisation", "migration", "basculement", "عصرنة", "تحديث", "تحويل")
 FAULTS = ("interruption", "coupure", "ralenti", "lent", "انقطاع", "بطء")
-
-
-def routed(pairs: DataFrame, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
-    """The rule score of (query, document) pairs that share a token or a synonym, or whose topic decides.
-
-    Columns: query_id, form and tokens of the query; doc_id, doc_tokens, doc_type, family, segments (array), technologies (array),
-    commitment, all lower case; matches (J13). synonyms: of the documents' labels, few and fixed. The score is a sum of terms, each 0 where its topic is not asked for.
-    """
-    t = topics(F.col("form"), F.col("tokens"))
-    p = pairs.withColumn("t", t)
-    family, kind = F.coalesce("family", F.lit("")), F.coalesce("doc_type", F.lit(""))
-    segment = lambda *parts: F.exists(text.listed(F.col("segments")), lambda s: text.either(s, parts))
-    fam = lambda *parts: text.either(family, parts)
-    topic = lambda name: F.col(f"t.{name}")
-
-    def term(name: str, match: Column, other: float, when: Column | None = None) -> Column:
-        asked = topic(name) > 0
-        against = asked if when is None else when
-        return F.when(asked & match, topic(name)).when(against & ~match, other).otherwise(0.0)
-
-    strong = lambda name: topic(f"{name}_strong")
-    payment = F.when(strong("payment"), fam("payment") | (kind == "payment_benefits")).otherwise(fam("payment"))
-    ont = F.when(strong("ont"), fam("ont", "wifi_6", "xgs-pon")).otherwise(fam("ont"))
-    lte_doc = F.array_contains(text.listed(F.col("technologies")), "4g_lte")
-    lte = F.when((topic("lte") > 0) & lte_doc, topic("lte") * F.when(F.col("commitment") == "no_commitment", 1.0).otherwise(0.7)).when(strong("lte") & ~lte_doc, -15.0).otherwise(0.0)
-    medium = segment("moohtarif", "medium_business")
-    business, tenant, gamer = segment("business", "enterprise"), segment("locataire"), fam("gamer")
-    asked = lambda words: text.either(F.col("form"), words)
-    moves = asked(("4g", "lte", "adsl", "vdsl")) & asked(("vers", "fibre", "modernisation", "migration", "الألياف"))
-    words = F.create_map(*(x for k, v in (synonyms or {"": []}).items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
-    meant = lambda label: F.coalesce(F.arrays_overlap("tokens", F.element_at(words, label)), F.lit(False))
-    of = lambda labels: F.size(F.filter(text.listed(F.col(labels)), meant))
-    terms = [
-        F.when(meant(kind), 3.0).otherwise(0.0),
-        F.when(meant(family), 3.0).otherwise(0.0),
-        2.0 * of("segments"),
-        1.5 * of("technologies"),
-        1.5 * F.size(F.array_intersect("tokens", "doc_tokens")),
-        1.0 * F.coalesce("matches", F.lit(0)),
-        term("payment", payment, -10.0, strong("payment")),
-        term("ont", ont, -12.0, strong("ont")),
-        term("school", segment("school", "primary"), -20.0),
-        lte,
-        term("referral", fam("referral", "parrainage"), -20.0),
-        term("business", business, -10.0),
-        F.when((topic("business") > 0) & tenant & ~medium, -10.0).otherwise(0.0),
-        F.when((topic("business") > 0) & segment("residential") & ~business, -12.0).otherwise(0.0),
-        term("tenant", tenant, -12.0),
-        F.when((topic("tenant") > 0) & business & ~medium, -8.0).otherwise(0.0),
-        F.when((topic("tenant") > 0) & (topic("gamer") == 0) & gamer, -10.0).otherwise(0.0),
-        term("gamer", gamer, -15.0),
-        F.when((topic("gamer") > 0) & gamer & tenant, 8.0).otherwise(0.0),
-        F.when((topic("home") > 0) & segment("residential"), topic("home")).otherwise(0.0),
-        F.when((topic("home") > 0) & segment("residential") & business, -10.0).otherwise(0.0),
-        F.when(F.array_contains("tokens", kind), 5.0).otherwise(0.0),
-        F.when(F.array_contains("tokens", family), 5.0).otherwise(0.0),
-        3.0 * F.size(F.array_intersect(text.listed(F.col("segments")), "tokens")),
-        2.0 * F.size(F.array_intersect(text.listed(F.col("technologies")), "tokens")),
-        F.when(asked(TAX), F.when(kind == "tax_policy", 15.0).otherwise(0.0) + F.when(fam("tax_stamp"), 15.0).otherwise(0.0)).otherwise(0.0),
-        F.when(asked(MOVES) & fam("modernisation"), 10.0).otherwise(0.0),
-        F.when(moves & fam("modernisation"), 12.0).otherwise(0.0),
-        F.when(asked(FAULTS) & kind.isin("technical", "service_quality"), 8.0).otherwise(0.0),
-    ]
-    return p.select("query_id", "doc_id", reduce(lambda a, b: a + b, terms).cast("double").alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import dims, text
 from talweg.operators import catalogue, documents, evaluation, ranking, rules
-from talweg.plans._sql import PASSAGE_WORDS, literal, query, table, values
+from talweg.plans._sql import PASSAGE_WORDS, literal, query, spread, spread_rows, table, values
 from talweg.plans.search import _DENSE, _top, dense_topk
 
 # ---- catalogue: pages are files, hosts are folders
@@ -76,18 +76,72 @@ def prioritized_key_join(spark, sf_dir):
 
 
 _FILES = [("k1", "Offre Gamers.docx"), ("k2", "L'offre.pdf"), ("k3", "GUIDE fibre.pdf"), ("k4", "notice.odt"), ("k5", "notice.pdf"), ("k6", "unique.odt")]
-_NAMES = [(1, "Offre Gamers.docx"), (2, "L’offre.pdf"), (3, "guide Fibre.PDF"), (4, "notice.docx"), (5, "unique.docx"), (6, "nothing")]
+_NAMES = [(1, "Offre Gamers.docx", None), (2, "L’offre.pdf", "gone"), (3, "guide Fibre.PDF", None), (4, "notice.docx", None), (5, "unique.docx", "k5"), (6, "nothing", None), (7, "nothing", "k4")]
 
 
-@query(f"""WITH k AS (SELECT * FROM {values(_FILES, 's3_key, filename')}), n AS (SELECT CAST(name_id AS BIGINT) AS name_id, name, translate(name, '’‘`', '''''''') AS q FROM {values(_NAMES, 'name_id, name')}),
-u AS (SELECT name_id, s3_key, 1 AS p, 'exact' AS how FROM n JOIN k ON name = filename UNION ALL SELECT name_id, s3_key, 2, 'quotes' FROM n JOIN k ON q = filename UNION ALL SELECT name_id, s3_key, 3, 'case' FROM n JOIN k ON lower(q) = lower(filename)
+@query(f"""WITH k AS (SELECT * FROM {values(_FILES, 's3_key, filename')}), n AS (SELECT name_id, name, existing, translate(name, '’‘`', '') AS q FROM {spread(_NAMES, 'name_id, name, existing', 'customer', 'c_custkey')}),
+u AS (SELECT name_id, existing AS s3_key, 0 AS p, 'existing' AS how FROM n WHERE existing IN (SELECT s3_key FROM k) UNION ALL SELECT name_id, s3_key, 1, 'exact' FROM n JOIN k ON name = filename UNION ALL SELECT name_id, s3_key, 2, 'quotes' FROM n JOIN k ON q = filename UNION ALL SELECT name_id, s3_key, 3, 'case' FROM n JOIN k ON lower(q) = lower(filename)
 UNION ALL SELECT name_id, s3_key, 4, 'stem' FROM n JOIN (SELECT lower(regexp_replace(filename, '\\.[^.]+$', '')) AS st, min(s3_key) AS s3_key FROM k GROUP BY 1 HAVING count(*) = 1) ON lower(regexp_replace(q, '\\.[^.]+$', '')) = st)
 SELECT name_id, min_by(s3_key, (p, s3_key)) AS s3_key, min_by(how, (p, s3_key)) AS how FROM u GROUP BY 1""")
 def cascade_key_match(spark, sf_dir):
-    """J6, J9, J15."""
-    return catalogue.by_cascade(spark.createDataFrame(_NAMES, "name_id long, name string"), spark.createDataFrame(_FILES, "s3_key string, filename string"))
-
-
+    """Customers look for files, some with a key that they had."""
+    names = spread_rows(table(spark, sf_dir, "customer"), _NAMES, "name_id long, name string, existing string", "c_custkey")
+    return catalogue.by_cascade(names, spark.createDataFrame(_FILES, "s3_key string, filename string"))
+
+
+_FILE_OF = "CASE p_partkey % 3 WHEN 0 THEN 'docs/' || p_name || '.pdf' WHEN 1 THEN upper(p_name) ELSE p_type END"
+
+
+@query(f"""WITH k AS (SELECT p_partkey AS ordinal, 'k' || p_partkey AS s3_key, {_FILE_OF} AS file FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_partkey AS name_id, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN p_name || '.pdf' WHEN 2 THEN 'x/' || upper(p_name) || '.PDF' WHEN 3 THEN ' ' || p_type || ' ' ELSE left(p_name, 5) END AS name FROM part),
+u AS (SELECT name_id, s3_key, ordinal, 0 AS p, 'exact' AS how FROM n JOIN k ON name = file UNION ALL SELECT name_id, s3_key, ordinal, 1, 'case' FROM n JOIN k ON lower(trim(name)) = lower(trim(file)) UNION ALL SELECT name_id, s3_key, ordinal, 2, 'basename' FROM n JOIN k ON lower(string_split(name, '/')[-1]) = lower(string_split(file, '/')[-1])),
+v AS (SELECT name_id, s3_key, ordinal, 3 AS p, 'part' AS how FROM (SELECT *, lower(trim(name)) AS a FROM n WHERE name_id NOT IN (SELECT name_id FROM u)), (SELECT *, lower(trim(file)) AS b FROM k) WHERE (contains(a, b) OR contains(b, a)) AND (length(a) > 5 OR length(b) > 5))
+SELECT name_id, min_by(s3_key, (p, ordinal, s3_key)) AS s3_key, min_by(how, (p, ordinal, s3_key)) AS how FROM (SELECT * FROM u UNION ALL SELECT * FROM v) GROUP BY 1""")
+def title_key_match(spark, sf_dir):
+    """parts' titles look for files that are named after parts."""
+    n, name = F.col("p_partkey"), F.col("p_name")
+    parts = table(spark, sf_dir, "part")
+    file = F.when(n % 3 == 0, F.concat(F.lit("docs/"), name, F.lit(".pdf"))).when(n % 3 == 1, F.upper(name)).otherwise(F.col("p_type"))
+    keys = parts.filter("p_partkey % 7 <> 0").select(n.alias("ordinal"), F.concat(F.lit("k"), n.cast("string")).alias("s3_key"), file.alias("filename"))
+    title = F.when(n % 5 == 0, name).when(n % 5 == 1, F.concat(name, F.lit(".pdf"))).when(n % 5 == 2, F.concat(F.lit("x/"), F.upper(name), F.lit(".PDF"))).when(n % 5 == 3, F.concat(F.lit(" "), F.col("p_type"), F.lit(" "))).otherwise(F.left(name, F.lit(5)))
+    return catalogue.by_title(parts.select(n.alias("name_id"), title.alias("name")), keys)
+
+
+@query("""WITH d AS (SELECT p_partkey AS doc_id, unnest(list_distinct([lower(p_name), lower(p_type), lower(p_brand)])) AS f FROM part), q AS (SELECT s_suppkey AS query_id, 'ask ' || s_suppkey AS query, (SELECT lower(CASE s_suppkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE ' ' || upper(p_brand) END) FROM part WHERE p_partkey = 1 + s_suppkey) AS title FROM supplier)
+SELECT doc_id, array_to_string(list(query ORDER BY query_id), ',') AS queries FROM d JOIN q ON f = trim(title) GROUP BY 1""")
+def label_queries(spark, sf_dir):
+    """Parts with several labels take the questions of all suppliers whose title is one of these."""
+    part = table(spark, sf_dir, "part")
+    docs = part.select(F.col("p_partkey").alias("doc_id"), F.array("p_name", "p_type", "p_brand").alias("labels"))
+    k = F.col("s_suppkey")
+    title = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.col("p_type")).otherwise(F.concat(F.lit(" "), F.upper("p_brand")))
+    asked = table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == k + 1).select(k.alias("query_id"), title.alias("title"), F.concat(F.lit("ask "), k.cast("string")).alias("query"))
+    return catalogue.augmented(docs, asked).withColumn("queries", F.array_join("queries", ","))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'data/g/f' || c_custkey || '.pdf' WHEN 1 THEN 'data/f' || c_custkey || '.pdf' WHEN 2 THEN 'other/g/f' || c_custkey || '.pdf' ELSE 'f' || c_custkey || '.pdf' END AS path FROM customer), l AS (SELECT CASE c_custkey % 5 WHEN 0 THEN '/r/g/f' WHEN 1 THEN '/r/f' WHEN 2 THEN '/r/data/g/f' WHEN 3 THEN '/r/other/g/f' ELSE '/x/f' END || c_custkey || '.pdf' AS file FROM customer),
+t AS (SELECT path, unnest([CASE WHEN contains(path, '/') THEN CASE WHEN starts_with(path, 'data/') THEN path[6:] ELSE path END END, string_split(path, '/')[-1], path]) AS try, unnest([0, 1, 2]) AS place FROM p), b AS (SELECT path, min_by(file, place) AS file FROM t JOIN l ON file = '/r/' || try GROUP BY 1)
+SELECT path, coalesce(file, '/r/' || string_split(path, '/')[-1]) AS resolved, file IS NOT NULL AS found FROM p LEFT JOIN b USING (path)""")
+def resolved_paths(spark, sf_dir):
+    """customers' paths in a listing."""
+    k = F.col("c_custkey")
+    end = F.concat(k.cast("string"), F.lit(".pdf"))
+    at = lambda *heads: F.concat(_pick(list(heads), k % len(heads)), end)
+    rows = table(spark, sf_dir, "customer")
+    return catalogue.resolved(rows.select(at("data/g/f", "data/f", "other/g/f", "f").alias("path")), rows.select(at("/r/g/f", "/r/f", "/r/data/g/f", "/r/other/g/f", "/x/f").alias("path")), "/r")
+
+
+_KEYWORDS = [("the", 7, 0), ("de", 3, 1), ("a", 1, 2)]
+
+
+@query(f"""WITH l AS (SELECT s_suppkey AS label_id, trim(lower(replace(replace(s_name, '#', ' '), '-', ' '))) || CASE s_suppkey % 3 WHEN 0 THEN ' de' ELSE '' END AS f FROM supplier), t AS (SELECT n_nationkey AS doc_id, lower(n_name) AS tf FROM nation), kw AS (SELECT * FROM {values(_KEYWORDS, 'keyword, doc_id, ordinal')}),
+k AS (SELECT label_id, min_by(doc_id, ordinal) AS doc_id FROM l JOIN kw ON contains(f, keyword) WHERE NOT EXISTS (SELECT 1 FROM t WHERE contains(tf, f) OR contains(f, tf)) GROUP BY 1) SELECT label_id, CAST(doc_id AS BIGINT) AS doc_id, 'keyword' AS how FROM k""")
+def keyword_match(spark, sf_dir):
+    """suppliers' names with no nation in them go by keywords."""
+    label = F.concat(F.replace("s_name", F.lit("#"), F.lit("-")), F.when(F.col("s_suppkey") % 3 == 0, F.lit("_DE")).otherwise(""))
+    labels = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("label_id"), label.alias("label"))
+    titles = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("doc_id"), F.col("n_name").alias("title"))
+    keywords = spark.createDataFrame(_KEYWORDS, "keyword string, doc_id long, ordinal int")
+    return catalogue.by_label(labels, titles, text.repaired, keywords)
 
 
 @query(f"""WITH l AS (SELECT item_id AS label_id, trim(regexp_replace(lower(text), '[\\s\\x{{00A0}}\\x{{202F}}]+', ' ', 'g')) AS f FROM benchmark), t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s\\x{{00A0}}\\x{{202F}}]+', ' ', 'g')) AS tf FROM documents),
@@ -253,12 +307,12 @@ _PLAIN = "translate(lower(query), 'éèêàâçîôû', 'EEEAACIOU')"
 _RE2 = [(name, i, p.translate(str.maketrans("éèêàâçîôû", "EEEAACIOU"))) for name, i, p in _PATTERNS]
 
 
-@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {values(_ASKED, 'query_id, query')}), p AS (SELECT * FROM {values(_RE2, 'intent, priority, pattern')}), h AS (SELECT query_id, intent, priority, sum(len(regexp_extract_all({_PLAIN}, pattern))) AS hits FROM q, p GROUP BY 1, 2, 3 HAVING sum(len(regexp_extract_all({_PLAIN}, pattern))) > 0),
+@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {spread(_ASKED, 'query_id, query', 'customer', 'c_custkey')}), p AS (SELECT * FROM {values(_RE2, 'intent, priority, pattern')}), h AS (SELECT query_id, intent, priority, sum(len(regexp_extract_all({_PLAIN}, pattern))) AS hits FROM q, p GROUP BY 1, 2, 3 HAVING sum(len(regexp_extract_all({_PLAIN}, pattern))) > 0),
 s AS (SELECT query_id, max_by(intent, (hits + 0.1 * priority, priority)) AS intent, CAST(max(hits + 0.1 * priority) AS DOUBLE) / CAST(sum(hits + 0.1 * priority) AS DOUBLE) AS confidence FROM h GROUP BY 1)
 SELECT query_id, coalesce(intent, 'GENERAL') AS intent, round(coalesce(confidence, 0.5), 6) AS confidence FROM q LEFT JOIN s USING (query_id)""")
 def intent_classify(spark, sf_dir):
     """R14."""
-    return rules.classify(spark.createDataFrame(_ASKED, "query_id long, query string")).withColumn("confidence", F.round("confidence", 6))
+    return rules.classify(spread_rows(table(spark, sf_dir, "customer"), _ASKED, "query_id long, query string", "c_custkey")).withColumn("confidence", F.round("confidence", 6))
 
 
 _CODES = sorted(dims.ENTITY_CODES)
@@ -297,11 +351,11 @@ def entity_hard_filter(spark, sf_dir):
 _TAGS = [(k, v, i) for i, (k, v) in enumerate((k, v) for k, tags in dims.TAG_WORDS.items() for v in tags)]
 
 
-@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {values(_ASKED, 'query_id, query')}), d AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), h AS (SELECT query_id, value, min(ordinal) AS o FROM q JOIN d ON regexp_matches(lower(query), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(key) || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY 1, 2)
+@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {spread(_ASKED, 'query_id, query', 'customer', 'c_custkey')}), d AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), h AS (SELECT query_id, value, min(ordinal) AS o FROM q JOIN d ON regexp_matches(lower(query), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(key) || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY 1, 2)
 SELECT query_id, coalesce(string_agg(value, ',' ORDER BY o), '') AS tags FROM q LEFT JOIN h USING (query_id) GROUP BY 1""")
 def tag_extract(spark, sf_dir):
     """F8."""
-    return rules.tags(spark.createDataFrame(_ASKED, "query_id long, query string")).withColumn("tags", F.array_join("tags", ","))
+    return rules.tags(spread_rows(table(spark, sf_dir, "customer"), _ASKED, "query_id long, query string", "c_custkey")).withColumn("tags", F.array_join("tags", ","))
 
 
 @query("SELECT doc_id, lang IN ('fr', 'src1') OR source IN ('fr', 'src1') AS exact, contains(lang, 'fr') OR contains(source, 'fr') OR contains(lang, 'src1') OR contains(source, 'src1') AS part FROM documents")
@@ -315,13 +369,27 @@ _MODELS = [v for vs in dims.PRODUCT_PATTERNS.values() for v in vs]
 _MODEL_KEYS = [(k, v) for k, vs in dims.PRODUCT_PATTERNS.items() for v in vs]
 
 
-@query(f"""WITH k AS (SELECT * FROM {values(_MODEL_KEYS, 'key, value')}), q AS (SELECT c_custkey AS query_id, ' Prix du ' || upper({literal(_MODELS)}[1 + c_custkey % {len(_MODELS)}]) || ' ' AS query FROM customer WHERE c_custkey % 10 = 0), d AS (SELECT p_partkey AS doc_id, p_name || ' ' || {literal(_MODELS)}[1 + p_partkey % {len(_MODELS)}] AS name FROM part WHERE p_partkey % 10 = 0),
-a AS (SELECT DISTINCT query_id, key FROM q, k WHERE contains(lower(trim(query)), value)), t AS (SELECT DISTINCT doc_id, key FROM d, k WHERE contains(lower(name), value)) SELECT DISTINCT query_id, doc_id FROM a JOIN t USING (key)""")
+@query(f"""WITH k AS (SELECT * FROM {values(_MODEL_KEYS, 'key, value')}), q AS (SELECT s_suppkey AS query_id, ' Prix du ' || upper({literal(_MODELS)}[1 + s_suppkey % {len(_MODELS)}]) || ' ' AS query FROM supplier), d AS (SELECT p_partkey AS doc_id, p_name || ' ' || {literal(_MODELS)}[1 + p_partkey % {len(_MODELS)}] AS name FROM part),
+a AS (SELECT DISTINCT query_id, key FROM q, k WHERE contains(lower(trim(query)), value)), t AS (SELECT DISTINCT doc_id, key FROM d, k WHERE contains(lower(name), value)) SELECT key, count(DISTINCT query_id) AS queries, count(DISTINCT doc_id) AS docs FROM a JOIN t USING (key) GROUP BY 1""")
 def product_rule(spark, sf_dir):
-    """every tenth customer asks for a model, every tenth part has one in its name."""
-    q = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit(" Prix du "), F.upper(_pick(_MODELS, F.col("c_custkey") % len(_MODELS))), F.lit(" ")).alias("query"))
-    d = table(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("doc_id"), F.concat("p_name", F.lit(" "), _pick(_MODELS, F.col("p_partkey") % len(_MODELS))).alias("name_text"))
-    return rules.by_product(q, d)
+    """suppliers ask for models, parts have them in their names; how many of each meet on a product."""
+    q = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("text_id"), F.lower(F.trim(F.concat(F.lit(" Prix du "), F.upper(_pick(_MODELS, F.col("s_suppkey") % len(_MODELS))), F.lit(" ")))).alias("text"))
+    d = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.lower(F.concat("p_name", F.lit(" "), _pick(_MODELS, F.col("p_partkey") % len(_MODELS)))).alias("text"))
+    known = dims.dictionary(spark, dims.PRODUCT_PATTERNS).withColumn("pattern", F.col("value"))
+    asked, there = (rules.naming(x, known, False).select("text_id", "key").distinct() for x in (q, d))
+    return asked.groupBy("key").agg(F.count("*").alias("queries")).join(there.groupBy("key").agg(F.count("*").alias("docs")), "key")
+
+
+@query("""WITH k AS (SELECT DISTINCT lower(p_type) AS key FROM part UNION SELECT lower(n_name) FROM nation UNION SELECT unnest(['the', 'de la', 'the and', 'être']) UNION SELECT DISTINCT lower(p_name) FROM part)
+SELECT doc_id, count(*) AS named, min(key) AS first FROM documents JOIN k ON contains(lower(text), key) AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(key) || '($|[^\p{L}\p{N}_])') GROUP BY 1""")
+def phrase_matches(spark, sf_dir):
+    """Phrases of a dictionary that grows with the tables, as whole words of documents."""
+    part = table(spark, sf_dir, "part")
+    few = spark.createDataFrame([("the",), ("de la",), ("the and",), ("être",)], "key string")
+    keys = part.select(F.lower("p_type").alias("key")).unionByName(part.select(F.lower("p_name").alias("key"))).unionByName(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("key"))).unionByName(few).distinct()
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.lower("text").alias("text"))
+    found = rules.naming(docs, keys.select(F.col("key").alias("pattern"), "key", F.col("key").alias("value"), F.lit(0).alias("ordinal")), True)
+    return found.groupBy(F.col("text_id").alias("doc_id")).agg(F.count("*").alias("named"), F.min("key").alias("first"))
 
 
 _W = PASSAGE_WORDS.format("text")
@@ -338,10 +406,10 @@ def entity_signatures(spark, sf_dir):
 _BOOSTS = [(1, 2.0, 4.0, 1.0, False), (2, 2.0, 4.0, 1.0, True), (3, 30.0, 0.0, 0.0, False), (4, 0.0, 0.0, 0.0, False)]
 
 
-@query(f"SELECT CAST(id AS BIGINT) AS id, CAST(round(1 + least(1.0, CASE WHEN m THEN 0.5 ELSE 1 END * (0.1 * p + 0.05 * e + 0.1 * b)), 6) AS DOUBLE) AS factor FROM {values(_BOOSTS, 'id, p, e, b, m')}")
+@query(f"SELECT CAST(id AS BIGINT) AS id, CAST(round(1 + least(1.0, CASE WHEN m THEN 0.5 ELSE 1 END * (0.1 * p + 0.05 * e + 0.1 * b)), 6) AS DOUBLE) AS factor FROM {spread(_BOOSTS, 'id, p, e, b, m', 'part', 'p_partkey')}")
 def signature_boost(spark, sf_dir):
     """R12."""
-    rows = spark.createDataFrame(_BOOSTS, "id long, p double, e double, b double, m boolean")
+    rows = spread_rows(table(spark, sf_dir, "part"), _BOOSTS, "id long, p double, e double, b double, m boolean", "p_partkey")
     return rows.select("id", F.round(rules.signature_boost(F.col("p"), F.col("e"), F.col("b"), F.col("m")), 6).alias("factor"))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from talweg.functions import numeric, text
-from talweg.operators import bm25, catalogue, fusion, ranking
-from talweg.plans._sql import INDEX_WORDS, PASSAGE_WORDS, PRODUCT_WORDS, WORDS, literal, query, table
+from talweg.operators import bm25, fusion, ranking, substrings
+from talweg.plans._sql import INDEX_WORDS, PASSAGE_WORDS, PRODUCT_WORDS, WORDS, literal, query, table, values
 from talweg.sources import files
 
 
@@ -254,7 +254,7 @@ def cascade_one_doc(spark, sf_dir):
     """Whole texts contained, then high scores, then any score."""
     queries = _queries(spark, sf_dir).select(F.col("query_id").alias("part_id"), F.col("query").alias("part"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("whole_id"), F.col("text").alias("whole"))
-    whole = catalogue.containing(docs, queries).select(F.col("part_id").alias("query_id"), F.col("whole_id").alias("doc_id"), F.lit(1.0).alias("score"))
+    whole = substrings.containing(docs, queries).select(F.col("part_id").alias("query_id"), F.col("whole_id").alias("doc_id"), F.lit(1.0).alias("score"))
     scored = smoothed(spark, sf_dir)
     return fusion.cascade(whole, scored.filter("score >= 40"), scored)
 
@@ -263,14 +263,19 @@ PASSAGES = [(6, 900, 50.0, False), (1, 1100, 100.0, False), (2, 800, 20.0, False
 ASKS = [(1, [1100], [100.0]), (2, [800, 1100], []), (3, [0], [1.05]), (4, [], []), (5, [1000], [55.0, 50.0])]
 
 
-@query(f"""WITH p AS (SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in PASSAGES)}) AS t(doc_id, price, speed, free)), q AS (SELECT * FROM (VALUES (1, [1100], [100.0]), (2, [800, 1100], []), (3, [0], [1.05]), (4, [], []), (5, [1000], [55.0, 50.0])) AS t(query_id, prices, speeds)),
-x AS (SELECT *, list_filter(prices, lambda v: abs(v - price) <= 100)[1] AS np, list_filter(speeds, lambda v: v = speed OR abs(v - speed) <= 0.1 * speed)[1] AS ns FROM p, q)
-SELECT CAST(query_id AS BIGINT) AS query_id, CAST(doc_id AS BIGINT) AS doc_id, CAST(CASE WHEN np = price THEN 2 WHEN np IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN ns = speed THEN 2 WHEN ns IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN free AND list_contains(prices, 0) THEN 1.5 ELSE 1 END AS DOUBLE) AS factor FROM x""")
+_FACTS_SQL = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price, speed, free, prices, speeds FROM lineitem JOIN {values([(i, *r[1:]) for i, r in enumerate(PASSAGES)], 'np_, price, speed, free').replace('AS t(', 'AS p_(')} ON np_ = l_partkey % {len(PASSAGES)} JOIN (VALUES {', '.join(f'({i}, CAST({literal(p)} AS INTEGER[]), CAST({literal(s)} AS DOUBLE[]))' for i, (_, p, s) in enumerate(ASKS))}) AS q_(nq_, prices, speeds) ON nq_ = l_suppkey % {len(ASKS)}"""
+
+
+@query(f"""WITH x AS (SELECT *, list_filter(prices, lambda v: abs(v - price) <= 100)[1] AS np, list_filter(speeds, lambda v: v = speed OR abs(v - speed) <= 0.1 * speed)[1] AS ns FROM ({_FACTS_SQL}))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CASE WHEN np = price THEN 2 WHEN np IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN ns = speed THEN 2 WHEN ns IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN free AND list_contains(prices, 0) THEN 1.5 ELSE 1 END AS DOUBLE) AS factor FROM x""")
 def numeric_boost(spark, sf_dir):
-    """R11 on literal passages and queries."""
-    p = spark.createDataFrame(PASSAGES, "doc_id long, price int, speed double, free boolean")
-    q = spark.createDataFrame(ASKS, "query_id long, prices array<int>, speeds array<double>")
-    return q.join(p, F.lit(True)).select("query_id", "doc_id", numeric.numeric_boost(F.col("prices"), F.col("speeds"), F.col("price"), F.col("speed"), F.col("free")).alias("factor"))
+    """Each line's part stands for a passage, its supplier for a query."""
+    p = F.broadcast(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(PASSAGES)], "np int, price int, speed double, free boolean"))  # fixed
+    q = F.broadcast(spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(ASKS)], "nq int, prices array<int>, speeds array<double>"))  # fixed
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    pairs = lines.join(p, F.col("l_partkey") % len(PASSAGES) == F.col("np")).join(q, F.col("l_suppkey") % len(ASKS) == F.col("nq"))
+    factor = numeric.numeric_boost(F.col("prices"), F.col("speeds"), F.col("price"), F.col("speed"), F.col("free"))
+    return pairs.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce(factor, F.lit(1.0)).alias("factor"))
 
 
 def _steps(x: str, *steps: float) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import dims, numeric, text
 from talweg.operators import rules
-from talweg.plans._sql import PASSAGE_WORDS, PRODUCT_WORDS, WORDS, literal, query, table, values
+from talweg.plans._sql import PASSAGE_WORDS, PRODUCT_WORDS, WORDS, literal, query, spread, spread_rows, table, values
 
 PHRASES = [
     (1, "Quelle est la vitesse de la Fibre optique ?"),
@@ -71,10 +71,10 @@ _SPACES = r"'[\s\x{00A0}\x{202F}]+', ' ', 'g'"
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, trim(regexp_replace(lower({_ARABIC_FORM.format('text')}), {_SPACES})) AS label, trim({_REPAIR}) AS repaired,
-translate(text, '’‘`', '''''''') AS quotes, lower(trim(text)) AS title, trim(regexp_replace(lower(text), {_SPACES})) AS folded FROM {values(_LABELS, 'id, text')}""")
+translate(text, '’‘`', '''''''') AS quotes, lower(trim(text)) AS title, trim(regexp_replace(lower(text), {_SPACES})) AS folded FROM {spread(_LABELS, 'id, text', 'customer', 'c_custkey')}""")
 def label_forms(spark, sf_dir):
     t = F.col("text")
-    return spark.createDataFrame(_LABELS, "id long, text string").select("id", text.label_form(t).alias("label"), text.repaired(t).alias("repaired"), text.straight_quotes(t).alias("quotes"), text.title_form(t).alias("title"), text.folded(t).alias("folded"))
+    return spread_rows(table(spark, sf_dir, "customer"), _LABELS, "id long, text string", "c_custkey").select("id", text.label_form(t).alias("label"), text.repaired(t).alias("repaired"), text.straight_quotes(t).alias("quotes"), text.title_form(t).alias("title"), text.folded(t).alias("folded"))
 
 
 @query(f"""WITH t AS (SELECT item_id, {PASSAGE_WORDS.format('text')} AS w FROM benchmark), g AS (
@@ -102,9 +102,9 @@ _SPEED = "try_cast(replace(regexp_extract(lower(text), '([0-9.,]+)', 1), ',', '.
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(lower(text), 'gbps|gbit|gb/s') THEN v * 1000 WHEN regexp_matches(lower(text), 'mbps|mbit|mb/s') THEN v WHEN regexp_matches(lower(text), 'kbps|kbit|kb/s') THEN v / 1000 WHEN v < 10 THEN v * 1000 ELSE v END AS mbps
-FROM (SELECT id, text, {_SPEED} AS v FROM {values(SPEEDS, 'id, text')})""")
+FROM (SELECT id, text, {_SPEED} AS v FROM {spread(SPEEDS, 'id, text', 'customer', 'c_custkey')})""")
 def parse_speed(spark, sf_dir):
-    return spark.createDataFrame(SPEEDS, "id long, text string").select("id", numeric.speed(F.col("text")).alias("mbps"))
+    return spread_rows(table(spark, sf_dir, "customer"), SPEEDS, "id long, text string", "c_custkey").select("id", numeric.speed(F.col("text")).alias("mbps"))
 
 
 CLASSES = [(1, "un cadre supérieur"), (2, "retraités, personnel"), (3, "en activité"), (4, "un retraité"), (5, "pour tous"), (6, "les ayants leur droit"), (7, None), (8, "ftth et vdsl"), (9, "Telephonie"), (10, "chaque employé"), (11, "visiteur"), (12, "retraité actif"), (13, "ADSL")]
@@ -113,10 +113,10 @@ CLASSES = [(1, "un cadre supérieur"), (2, "retraités, personnel"), (3, "en act
 @query(f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN regexp_matches(l, 'cadres supérieurs|cadres superieurs|cadre supérieur') THEN 'cadres_superieurs' WHEN contains(l, 'retraité') AND NOT regexp_matches(l, 'personnel|actif') THEN 'retraites'
 WHEN regexp_matches(l, 'actif|activité') AND NOT contains(l, 'retraité') THEN 'actifs' WHEN contains(l, 'ayant') AND contains(l, 'droit') THEN 'ayants_droit' WHEN contains(l, 'tous') OR (contains(l, 'personnel') AND contains(l, 'retraité')) THEN 'tous'
 WHEN regexp_matches(l, 'personnel|employé|salarié') THEN 'actifs' ELSE 'autre' END AS class, CASE WHEN regexp_matches(upper(l), 'FIBRE|FTTH') THEN 'FIBRE' WHEN contains(upper(l), 'VDSL') THEN 'VDSL' WHEN contains(upper(l), 'ADSL') THEN 'ADSL' WHEN regexp_matches(upper(l), 'FIXE|TELEPHON') THEN 'FIXE' ELSE 'AUTRE' END AS offer
-FROM (SELECT id, lower(coalesce(text, '')) AS l FROM {values(CLASSES, 'id, text')})""")
+FROM (SELECT id, lower(coalesce(text, '')) AS l FROM {spread(CLASSES, 'id, text', 'customer', 'c_custkey')})""")
 def beneficiary_class(spark, sf_dir):
     t = F.col("text")
-    return spark.createDataFrame(CLASSES, "id long, text string").select("id", numeric.beneficiary(t).alias("class"), numeric.offer_type(t).alias("offer"))
+    return spread_rows(table(spark, sf_dir, "customer"), CLASSES, "id long, text string", "c_custkey").select("id", numeric.beneficiary(t).alias("class"), numeric.offer_type(t).alias("offer"))
 
 
 @query(f"""WITH p AS (SELECT l_orderkey, l_linenumber, floor(l_extendedprice / 10) AS v FROM lineitem), n AS (SELECT *, list_sort(list_transform({list(numeric.COMMON_PRICES)}, lambda k: {{'gap': abs(v - k), 'k': k}}))[1] AS best FROM p)
@@ -130,11 +130,11 @@ ASKED = [(1, "offre à 1 100 DA ou 800 da en 100 Mbps"), (2, "fibre 1.5 Gbps moi
 
 
 @query(f"""SELECT CAST(id AS BIGINT) AS id, array_to_string(list_transform(regexp_extract_all(lower(text), '([0-9][0-9\\s]*)\\s*da', 1), lambda x: regexp_replace(x, '\\s', '', 'g')), ',') AS prices,
-CAST(len(regexp_extract_all(lower(text), '[0-9][0-9.,]*\\s*(gbps|mbps|gbit|mbit)')) AS BIGINT) AS n_speeds, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS numbers FROM {values(ASKED, 'id, text')}""")
+CAST(len(regexp_extract_all(lower(text), '[0-9][0-9.,]*\\s*(gbps|mbps|gbit|mbit)')) AS BIGINT) AS n_speeds, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS numbers FROM {spread(ASKED, 'id, text', 'customer', 'c_custkey')}""")
 def query_numbers(spark, sf_dir):
     t = F.col("text")
     joined = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return spark.createDataFrame(ASKED, "id long, text string").select("id", joined(numeric.query_prices(t)).alias("prices"), F.size(numeric.query_speeds(t)).cast("long").alias("n_speeds"), joined(numeric.query_numbers(t)).alias("numbers"))
+    return spread_rows(table(spark, sf_dir, "customer"), ASKED, "id long, text string", "c_custkey").select("id", joined(numeric.query_prices(t)).alias("prices"), F.size(numeric.query_speeds(t)).cast("long").alias("n_speeds"), joined(numeric.query_numbers(t)).alias("numbers"))
 
 
 NAMES = [(1, "Offres/Argumentaire Gamers FR.docx"), (2, "Conventions/Convention Etab A AR.pdf"), (3, "Guides/دليل.pdf"), (4, "Produits/notice_arabe.odt"), (5, "Offres/Carte.PDF"), (6, "Guides/guide français.docx")]
@@ -144,9 +144,9 @@ NAMES = [(1, "Offres/Argumentaire Gamers FR.docx"), (2, "Conventions/Convention
 CASE WHEN regexp_matches(path, '[\\x{{0600}}-\\x{{06FF}}]') THEN 'AR' WHEN regexp_matches(lower(path), 'arabe|arabic') THEN 'AR' WHEN regexp_matches(lower(path), 'francais|français|french') THEN 'FR'
 WHEN regexp_matches(path, '(?i)(^|[^\\p{{L}}\\p{{N}}_])AR($|[^\\p{{L}}\\p{{N}}_])') THEN 'AR' ELSE 'FR' END AS lang, replace(url_encode(path), '%2F', '/') AS quoted,
 CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'pdf' THEN 'application/pdf' WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 'odt' THEN 'application/vnd.oasis.opendocument.text' ELSE 'application/octet-stream' END AS kind
-FROM {values(NAMES, 'id, path')}""")
+FROM {spread(NAMES, 'id, path', 'customer', 'c_custkey')}""")
 def filename_facts(spark, sf_dir):
-    facts = spark.createDataFrame(NAMES, "id long, path string").withColumn("f", text.path_facts(F.col("path")))
+    facts = spread_rows(table(spark, sf_dir, "customer"), NAMES, "id long, path string", "c_custkey").withColumn("f", text.path_facts(F.col("path")))
     return facts.select("id", "f.*", text.filename_language(F.col("f.filename")).alias("lang"), text.quoted(F.col("path")).alias("quoted"), text.content_type(F.col("f.ext")).alias("kind"))
 
 
@@ -154,12 +154,12 @@ SYNONYMS = [("fibre", "fibre optique", 0), ("fibre", "fibre", 1), ("fibre", "ا
 EXPAND = [(1, ["offre", "fibre", "vitesse"]), (2, ["fibre", "ftth", "fibre"]), (3, ["modem"])]
 
 
-@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, tokens FROM {values(EXPAND, 'query_id, tokens')}), s AS (SELECT * FROM {values(SYNONYMS, 'key, value, ordinal')}),
+@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, tokens FROM {spread(EXPAND, 'query_id, tokens', 'customer', 'c_custkey')}), s AS (SELECT * FROM {values(SYNONYMS, 'key, value, ordinal')}),
 e AS (SELECT query_id, unnest(tokens) AS key, generate_subscripts(tokens, 1) AS pos FROM q), r AS (SELECT query_id, pos, value, row_number() OVER (PARTITION BY query_id, pos ORDER BY ordinal) AS n FROM e JOIN s USING (key) WHERE value <> key),
 k AS (SELECT query_id, value, min((pos, n)) AS place FROM r WHERE n <= 2 GROUP BY 1, 2), m AS (SELECT k.query_id, list(value ORDER BY place) AS more FROM k JOIN q ON q.query_id = k.query_id WHERE NOT list_contains(tokens, value) GROUP BY 1)
 SELECT query_id, array_to_string(list_concat(tokens, coalesce(more, [])), ' ') AS tokens FROM q LEFT JOIN m USING (query_id)""")
 def synonym_expansion(spark, sf_dir):
-    queries, synonyms = spark.createDataFrame(EXPAND, "query_id long, tokens array<string>"), spark.createDataFrame(SYNONYMS, "key string, value string, ordinal int")
+    queries, synonyms = spread_rows(table(spark, sf_dir, "customer"), EXPAND, "query_id long, tokens array<string>", "c_custkey"), spark.createDataFrame(SYNONYMS, "key string, value string, ordinal int")
     return rules.expanded(queries, synonyms).select("query_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -167,10 +167,10 @@ WHO = [(1, "remise pour les employés et la famille"), (2, "quel tarif"), (3, "R
 _WHO = [(k, v, i) for i, (k, v) in enumerate((k, v) for k, words in dims.BENEFICIARY_WORDS.items() for v in words)]
 
 
-@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {values(WHO, 'query_id, query')}), d AS (SELECT * FROM {values(_WHO, 'key, value, ordinal')}), h AS (SELECT DISTINCT query_id, query, key FROM q JOIN d ON contains(lower(query), value)),
+@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {spread(WHO, 'query_id, query', 'customer', 'c_custkey')}), d AS (SELECT * FROM {values(_WHO, 'key, value, ordinal')}), h AS (SELECT DISTINCT query_id, query, key FROM q JOIN d ON contains(lower(query), value)),
 m AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal) AS n FROM d), l AS (SELECT query_id, list(value ORDER BY ordinal) AS more FROM h JOIN m USING (key) WHERE n <= 3 AND NOT contains(lower(query), value) GROUP BY 1),
 b AS (SELECT query_id, min_by(key, ordinal) AS beneficiary FROM q JOIN d ON contains(lower(query), value) GROUP BY 1)
 SELECT query_id, beneficiary, array_to_string(list_concat([query], coalesce(more, [])), ' ') AS query FROM q LEFT JOIN l USING (query_id) LEFT JOIN b USING (query_id)""")
 def beneficiary_queries(spark, sf_dir):
-    queries = spark.createDataFrame(WHO, "query_id long, query string")
+    queries = spread_rows(table(spark, sf_dir, "customer"), WHO, "query_id long, query string", "c_custkey")
     return rules.beneficiary_of(queries).join(rules.beneficiary_expansion(queries), "query_id")
