@@ -79,7 +79,7 @@ _FILES = [("k1", "Offre Gamers.docx"), ("k2", "L'offre.pdf"), ("k3", "GUIDE fibr
 _NAMES = [(1, "Offre Gamers.docx", None), (2, "L’offre.pdf", "gone"), (3, "guide Fibre.PDF", None), (4, "notice.docx", None), (5, "unique.docx", "k5"), (6, "nothing", None), (7, "nothing", "k4")]
 
 
-@query(f"""WITH k AS (SELECT * FROM {values(_FILES, 's3_key, filename')}), n AS (SELECT name_id, name, existing, translate(name, '’‘`', '') AS q FROM {spread(_NAMES, 'name_id, name, existing', 'customer', 'c_custkey')}),
+@query(f"""WITH k AS (SELECT * FROM {values(_FILES, 's3_key, filename')}), n AS (SELECT name_id, name, existing, translate(name, '’‘`', '''''''') AS q FROM {spread(_NAMES, 'name_id, name, existing', 'customer', 'c_custkey')}),
 u AS (SELECT name_id, existing AS s3_key, 0 AS p, 'existing' AS how FROM n WHERE existing IN (SELECT s3_key FROM k) UNION ALL SELECT name_id, s3_key, 1, 'exact' FROM n JOIN k ON name = filename UNION ALL SELECT name_id, s3_key, 2, 'quotes' FROM n JOIN k ON q = filename UNION ALL SELECT name_id, s3_key, 3, 'case' FROM n JOIN k ON lower(q) = lower(filename)
 UNION ALL SELECT name_id, s3_key, 4, 'stem' FROM n JOIN (SELECT lower(regexp_replace(filename, '\\.[^.]+$', '')) AS st, min(s3_key) AS s3_key FROM k GROUP BY 1 HAVING count(*) = 1) ON lower(regexp_replace(q, '\\.[^.]+$', '')) = st)
 SELECT name_id, min_by(s3_key, (p, s3_key)) AS s3_key, min_by(how, (p, s3_key)) AS how FROM u GROUP BY 1""")
@@ -351,7 +351,7 @@ def entity_hard_filter(spark, sf_dir):
 _TAGS = [(k, v, i) for i, (k, v) in enumerate((k, v) for k, tags in dims.TAG_WORDS.items() for v in tags)]
 
 
-@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {spread(_ASKED, 'query_id, query', 'customer', 'c_custkey')}), d AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), h AS (SELECT query_id, value, min(ordinal) AS o FROM q JOIN d ON regexp_matches(lower(query), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(key) || '($|[^\\p{{L}}\\p{{N}}_])') GROUP BY 1, 2)
+@query(f"""WITH q AS (SELECT CAST(query_id AS BIGINT) AS query_id, query FROM {spread(_ASKED, 'query_id, query', 'customer', 'c_custkey')}), d AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), h AS (SELECT query_id, value, min(ordinal) AS o FROM q JOIN d ON CASE WHEN contains(lower(query), key) THEN regexp_matches(lower(query), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(key) || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END GROUP BY 1, 2)
 SELECT query_id, coalesce(string_agg(value, ',' ORDER BY o), '') AS tags FROM q LEFT JOIN h USING (query_id) GROUP BY 1""")
 def tag_extract(spark, sf_dir):
     """F8."""
@@ -381,7 +381,7 @@ def product_rule(spark, sf_dir):
 
 
 @query("""WITH k AS (SELECT DISTINCT lower(p_type) AS key FROM part UNION SELECT lower(n_name) FROM nation UNION SELECT unnest(['the', 'de la', 'the and', 'être']) UNION SELECT DISTINCT lower(p_name) FROM part)
-SELECT doc_id, count(*) AS named, min(key) AS first FROM documents JOIN k ON contains(lower(text), key) AND regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(key) || '($|[^\p{L}\p{N}_])') GROUP BY 1""")
+SELECT doc_id, count(*) AS named, min(key) AS first FROM documents JOIN k ON CASE WHEN contains(lower(text), key) THEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(key) || '($|[^\p{L}\p{N}_])') ELSE false END GROUP BY 1""")
 def phrase_matches(spark, sf_dir):
     """Phrases of a dictionary that grows with the tables, as whole words of documents."""
     part = table(spark, sf_dir, "part")

@@ -139,7 +139,7 @@ def offer_search(spark, sf_dir):
     return pipelines.offers(offers(spark, sf_dir), questions(spark, sf_dir), synonyms(spark), index(spark, sf_dir))
 
 
-_WANTED = f"""tg AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), wq AS (SELECT DISTINCT item_id AS query_id, value FROM benchmark, tg WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])')), wl AS (SELECT query_id, list(value) AS wanted FROM wq GROUP BY 1),
+_WANTED = f"""tg AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), wq AS (SELECT DISTINCT item_id AS query_id, value FROM benchmark, tg WHERE CASE WHEN contains(lower(text), key) THEN regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])') ELSE false END), wl AS (SELECT query_id, list(value) AS wanted FROM wq GROUP BY 1),
 ok AS (SELECT item_id AS query_id, doc_id FROM benchmark CROSS JOIN d LEFT JOIN wl ON wl.query_id = item_id WHERE doc_type = 'section' AND (wanted IS NULL OR len(list_filter(wanted, lambda x: contains(lower(tags), lower(x)))) > 0))"""
 _SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> ''))"
 
