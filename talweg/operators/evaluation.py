@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.operators import timing
+
 
 def first_hits(ranked: DataFrame, labels: DataFrame, hit: Column | None = None) -> DataFrame:
     """Labels with hit_rank, the rank of a query's first right document, or null. ranked: (query_id, doc_id, rank); labels:
@@ -27,6 +29,26 @@ def rank_histogram(hits: DataFrame) -> DataFrame:
     return out.crossJoin(total).select("rank", "n", (F.col("n") / F.col("all")).alias("share"))
 
 
+def error_rates(hits: DataFrame, by: list[str]) -> DataFrame:
+    """Per group the queries, those whose first result is not right, and their share."""
+    wrong = F.coalesce(F.col("hit_rank") != 1, F.lit(True))
+    return hits.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(wrong).alias("errors"), F.avg(wrong.cast("double")).alias("error_rate"))
+
+
+def first_errors(hits: DataFrame, ranked: DataFrame, most: int = 10) -> DataFrame:
+    """The first `most` queries, by id, whose first result is not right, with that result (`found`; null without any)."""
+    wrong = hits.filter(F.coalesce(F.col("hit_rank") != 1, F.lit(True))).orderBy("query_id").limit(most)
+    return wrong.join(ranked.filter("rank = 1").select("query_id", F.col("doc_id").alias("found")), "query_id", "left")
+
+
+def report(ranked: DataFrame, labels: DataFrame, category: str = "category", hit: Column | None = None, times: DataFrame | None = None) -> dict[str, DataFrame]:
+    """An evaluation run over the results of any entry point: `overall` and `by_category` metrics, `error_rates` and `ranks` of first hits, the
+    `first_errors`, and, of measured times (query_id, ms), `latencies`. labels: (query_id, expected, category, ...)."""
+    hits = first_hits(ranked, labels, hit)
+    out = {"overall": metrics(hits), "by_category": metrics(hits, [category]), "error_rates": error_rates(hits, [category]), "ranks": rank_histogram(hits), "first_errors": first_errors(hits, ranked)}
+    return out if times is None else {**out, "latencies": timing.latencies(times)}
+
+
 def layers(answers: DataFrame) -> DataFrame:
     """Accuracy, coverage, mean score and layer accuracy of answers (expected, doc_id, expected_layer, layer, score)."""
     yes = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))

@@ -148,8 +148,13 @@ def products(docs: DataFrame, queries: DataFrame, dense: DataFrame, blocked: tup
 CATEGORIES = {"1": "offers", "2": "conventions", "3": "guides", "4": "products"}
 
 
-def entry_point(category: str, top: int = 5) -> Callable:
-    """The entry point of a category; ValueError for an unknown one or a number of results beyond 1 to 50."""
+DOC_TYPES = ("guide", "section", "step")
+
+
+def entry_point(category: str, top: int = 5, doc_type: str = "section") -> Callable:
+    """The entry point of a category; ValueError for an unknown one, a number of results beyond 1 to 50, or a document type that guides do not have."""
+    if doc_type not in DOC_TYPES:
+        raise ValueError(f"unknown document type {doc_type!r}")
     if category not in CATEGORIES:
         raise ValueError(f"unknown category {category!r}")
     if not 1 <= top <= 50:

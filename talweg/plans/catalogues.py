@@ -453,6 +453,23 @@ def error_rank_histogram(spark, sf_dir):
     return _rounded(evaluation.rank_histogram(_hits(spark, sf_dir)))
 
 
+@query(f"WITH {_HITS} SELECT label AS expected, count(*) AS n, count(*) FILTER (hit_rank IS NULL OR hit_rank <> 1) AS errors, round(avg(CASE WHEN hit_rank = 1 THEN 0.0 ELSE 1 END), 6) AS error_rate FROM h GROUP BY 1")
+def error_rates(spark, sf_dir):
+    """By category."""
+    return _rounded(evaluation.error_rates(_hits(spark, sf_dir), ["expected"]))
+
+
+@query(f"WITH {_HITS}, e AS (SELECT * FROM h WHERE hit_rank IS NULL OR hit_rank <> 1 ORDER BY query_id LIMIT 10) SELECT e.query_id, label AS expected, hit_rank, r.doc_id AS found FROM e LEFT JOIN r ON r.query_id = e.query_id AND r.rank = 1")
+def first_errors(spark, sf_dir):
+    """The first ten queries whose best vector has another label."""
+    from talweg.operators import fusion
+    from talweg.plans.search import _vectors
+
+    q, v = _vectors(spark, sf_dir)
+    ranked = fusion.dense_top_k(q, v, 1, where=F.col("query_id") != F.col("doc_id"), digits=6)
+    return evaluation.first_errors(_hits(spark, sf_dir), ranked).select("query_id", "expected", "hit_rank", "found")
+
+
 _ANSWERS = "a AS (SELECT o_orderkey AS expected, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 ELSE o_orderkey END AS doc_id, o_orderkey % 3 + 1 AS expected_layer, o_custkey % 3 + 1 AS layer, round(o_totalprice / 1000, 2) AS score FROM orders)"
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from talweg.functions import dims
 from talweg.operators import documents, fusion, pipelines, ranking, signatures
-from talweg.plans._sql import PRODUCT_WORDS, WORDS, literal, query, table, values
-from talweg.plans.catalogues import _FACTS, _MODEL_KEYS, _MODELS, _ORDER_FACTS, _TAGS, _conventions, _pick
+from talweg.plans._sql import PASSAGE_WORDS, PRODUCT_WORDS, WORDS, literal, query, table, values
+from talweg.plans.catalogues import _FACTS, _MODEL_KEYS, _MODELS, _ORDER_FACTS, _PLAIN, _RE2, _TAGS, _conventions, _pick
 from talweg.plans.fulltext import _best, asked, corpus, sections, store
 from talweg.plans.routing import ROUTER, _form, index, offers, questions, synonyms
 from talweg.plans.search import _minmax, _vectors
@@ -109,15 +109,53 @@ def joined_metadata(spark, sf_dir):
 # ---- entry points
 
 
-@query()
+_SPEEDS, _OFFER_KINDS, _WHO_HAS = [20, 50, 100, 300], ["FIBRE", "VDSL", None], ["retraites", None]
+_CODES = sorted(dims.ENTITY_CODES)
+# Questions by number: {p} is a price, {s} a speed, {c} an establishment's code.
+_QUESTIONS = ["quel est le prix de la fibre à {p} DA", "débit de {s} Mbps pour l'établissement {c}", "convention fibre {p} DA {s} Mbps", "cadres supérieurs et dirigeants fibre", "quels documents fournir", "mots inconnus zzz", "lavender almond {s} Mbps à {p} DA uniquement pour l'établissement {c}"]
+_OWN = ["Cadres", "lavender", "almond fibre"]
+
+
+def _say(k: str) -> str:
+    q = f"{literal(_QUESTIONS)}[1 + {k} % {len(_QUESTIONS)}]"
+    return f"replace(replace(replace({q}, '{{p}}', CAST(800 + 100 * ({k} % 5) AS VARCHAR)), '{{s}}', CAST({literal(_SPEEDS)}[1 + {k} % 4] AS VARCHAR)), '{{c}}', {literal(_CODES)}[1 + {k} % {len(_CODES)}])"
+
+
+_PASSAGE = f"""ps AS (SELECT p_partkey AS id, 'c' || p_partkey % 40 AS home, {literal(_CODES)}[1 + p_partkey % {len(_CODES)}] AS code, {literal(_WHO_HAS)}[1 + p_partkey % 2] AS who, {literal(_OFFER_KINDS)}[1 + p_partkey % 3] AS kind, 800 + 100 * (p_partkey % 7) AS price, CAST({literal(_SPEEDS)}[1 + p_partkey % 4] AS DOUBLE) AS speed, p_partkey % 9 = 0 AS free,
+CASE p_partkey % 5 WHEN 0 THEN {literal(_OWN)} WHEN 1 THEN ['fibre'] ELSE CAST([] AS VARCHAR[]) END AS own, p_name || ' ' || CASE p_partkey % 4 WHEN 0 THEN 'fibre cadres' WHEN 1 THEN 'documents à fournir' ELSE p_type END || ' à ' || (800 + 100 * (p_partkey % 7)) || ' DA' AS text FROM part)"""
+_FOUND = f"""{_PASSAGE}, qs AS (SELECT s_suppkey AS query_id, {_say('s_suppkey')} AS query, s_suppkey % {len(_QUESTIONS)} AS kind, CASE WHEN s_suppkey % {len(_QUESTIONS)} IN (1, 6) THEN [{literal(_CODES)}[1 + s_suppkey % {len(_CODES)}]] ELSE [] END AS ents, CASE WHEN s_suppkey % {len(_QUESTIONS)} IN (0, 2, 6) THEN [800 + 100 * (s_suppkey % 5)] ELSE [] END AS prices, CASE WHEN s_suppkey % {len(_QUESTIONS)} IN (1, 2, 6) THEN [CAST({literal(_SPEEDS)}[1 + s_suppkey % 4] AS DOUBLE)] ELSE [] END AS speeds FROM supplier),
+ip AS (SELECT * FROM {values(_RE2, 'intent, priority, pattern')}), ih AS (SELECT query_id, intent, priority, sum(len(regexp_extract_all({_PLAIN}, pattern))) AS hits FROM (SELECT query_id, query FROM qs), ip GROUP BY 1, 2, 3 HAVING sum(len(regexp_extract_all({_PLAIN}, pattern))) > 0), im AS (SELECT query_id, max_by(intent, (hits + 0.1 * priority, priority)) AS intent FROM ih GROUP BY 1),
+iw AS (SELECT unnest({literal(list(fusion.INTENT_WEIGHTS))}) AS intent, unnest({literal([b for _, b in fusion.INTENT_WEIGHTS.values()])}) AS sw), ex AS (SELECT query_id, query || CASE WHEN kind = 3 THEN ' ' || {literal(' '.join(w for w in dims.BENEFICIARY_WORDS['cadres_superieurs'][:3] if w not in _QUESTIONS[3]))} ELSE '' END AS query FROM qs),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({PASSAGE_WORDS.format('query')}) AS term FROM ex) GROUP BY 1, 2), dt AS (SELECT id, {PASSAGE_WORDS.format("concat_ws(' ', text, 'Établissement ' || code, who, kind)")} AS toks FROM ps), tot AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
+tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(toks) AS len, unnest(toks) AS term FROM dt) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), bs AS (SELECT query_id, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), tot GROUP BY 1, 2),
+b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM bs) WHERE n <= 100), b2 AS (SELECT query_id, id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS score FROM b1 WINDOW w AS (PARTITION BY query_id)),
+nb AS (SELECT b2.*, list_filter(prices, lambda v: abs(v - price) <= 100)[1] AS np, list_filter(speeds, lambda v: v = speed OR abs(v - speed) <= 0.1 * speed)[1] AS ns, price, speed, coalesce(intent, 'GENERAL') AS intent FROM b2 JOIN ps USING (id) JOIN qs USING (query_id) LEFT JOIN im USING (query_id)),
+b3 AS (SELECT query_id, id, score * sw * CASE WHEN np = price THEN 2 WHEN np IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN ns = speed THEN 2 WHEN ns IS NOT NULL THEN 1.5 ELSE 1 END AS score FROM nb JOIN iw USING (intent)), b4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM b3) WHERE n <= 50),
+b5 AS (SELECT query_id, id, score, home, code, own, text, query, len(ents) > 0 AND code <> ents[1] AS off FROM b4 JOIN ps USING (id) JOIN qs USING (query_id) WHERE len(ents) <> 1 OR code = ents[1]),
+gw AS (SELECT id, code, {_TOKENS} AS w FROM ps), gg AS (SELECT id, code, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS token FROM gw),
+gc AS (SELECT code, token, count(*) AS n FROM gg GROUP BY 1, 2), ga AS (SELECT token, sum(n) AS everywhere FROM gc GROUP BY 1), gz AS (SELECT code, sum(n) AS size FROM gc GROUP BY 1), gi AS (SELECT token, ln(((SELECT count(*) FROM ps) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT DISTINCT id, token FROM gg) GROUP BY 1),
+gs AS (SELECT code, token FROM gc JOIN ga USING (token) JOIN gz USING (code) WHERE length(token) >= 4 AND everywhere >= 3 AND n / everywhere > 0.6 AND n / size > {signatures.LOCAL} UNION SELECT code, lower(unnest(own)) FROM ps),
+hp AS (SELECT query_id, id, sum(0.1 * coalesce(idf, 1)) AS part FROM (SELECT query_id, id, unnest(list_distinct(list_transform(own, lambda x: lower(x)))) AS token, lower(query) AS low FROM b5) LEFT JOIN gi USING (token) WHERE contains(low, token) GROUP BY 1, 2),
+he AS (SELECT query_id, id, sum(0.05 * coalesce(idf, 1)) AS part FROM b5 JOIN gs USING (code) LEFT JOIN gi USING (token) WHERE contains(lower(query), token) AND NOT list_contains(list_transform(own, lambda x: lower(x)), token) GROUP BY 1, 2),
+hb AS (SELECT query_id, id, sum(0.1 * coalesce(idf, 1)) AS part FROM (SELECT query_id, id, lower(query) AS low, lower(text) AS body, unnest({_BASE}) AS token FROM b5) LEFT JOIN gi USING (token) WHERE contains(low, token) AND contains(body, token) GROUP BY 1, 2),
+sg AS (SELECT b5.query_id, b5.id, home, score * (1 + least(1.0, CASE WHEN off THEN 0.5 ELSE 1 END * coalesce(x.part, 0))) AS score FROM b5 LEFT JOIN (SELECT query_id, id, sum(part) AS part FROM (SELECT * FROM hp UNION ALL SELECT * FROM he UNION ALL SELECT * FROM hb) GROUP BY 1, 2) x USING (query_id, id)),
+dn AS (SELECT *, row_number() OVER (PARTITION BY query_id, home ORDER BY score DESC, id) AS n FROM sg), dd AS (SELECT query_id, home AS doc_id, min(CASE WHEN n = 1 THEN id END) AS passage_id, round(max(score) + 0.5 * avg(score), 6) AS doc_score FROM dn WHERE n <= 3 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_FOUND} SELECT query_id, doc_id, CAST(passage_id AS BIGINT) AS passage_id, doc_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_score DESC, doc_id) AS rank FROM dd) WHERE rank <= 5")
 def convention_search(spark, sf_dir):
-    """Nations are conventions, suppliers ask for them."""
-    code = _pick(sorted(dims.ENTITY_CODES), F.col("n_nationkey") % len(dims.ENTITY_CODES))
-    offer = F.struct(F.lit("Retraités").alias("category_segment"), F.lit("Fibre").alias("offer_type"), F.concat((F.col("n_nationkey") * 10 + 10).cast("string"), F.lit(" Mbps")).alias("speed"), F.concat((F.col("n_nationkey") * 100 + 800).cast("string"), F.lit(" DA")).alias("price"), F.lit(None).cast("string").alias("benefits"))
-    tables = "array<struct<table_name: string, data: array<map<string, string>>>>"
-    docs = table(spark, sf_dir, "nation").select(F.col("n_name").alias("doc_id"), F.concat(F.lit("Établissement "), code).alias("establishment"), F.lit("Retraités et ayants droit").alias("beneficiaries"), F.concat(F.lit("Remise pour "), F.col("n_name")).alias("purpose"), F.array(offer).alias("internet_offers_table"), F.expr("cast(null as array<struct<offer: string, price: string, benefits: string>>)").alias("telephony_offers_table"), F.expr(f"cast(null as {tables})").alias("other_tables"), F.array(F.lit("CNI")).alias("required_documents_new"), F.expr("cast(null as array<string>)").alias("required_documents_switch"), F.array(F.concat(F.lit("Valable pour "), F.col("n_name"))).alias("notes"))
-    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("prix de l'offre fibre à "), (F.col("s_nationkey") * 100 + 800).cast("string"), F.lit(" DA pour l'établissement "), _pick(sorted(dims.ENTITY_CODES), F.col("s_nationkey") % len(dims.ENTITY_CODES))).alias("query"))
-    return pipelines.conventions(documents.passages(docs), asked)
+    """Parts are passages of forty conventions, suppliers ask."""
+    n = F.col("p_partkey")
+    price = 800 + 100 * (n % 7)
+    own = F.when(n % 5 == 0, F.array(*map(F.lit, _OWN))).when(n % 5 == 1, F.array(F.lit("fibre"))).otherwise(F.array().cast("array<string>"))
+    body = F.concat("p_name", F.lit(" "), F.when(n % 4 == 0, "fibre cadres").when(n % 4 == 1, "documents à fournir").otherwise(F.col("p_type")), F.lit(" à "), price.cast("string"), F.lit(" DA"))
+    code = _pick(_CODES, n % len(_CODES))
+    rows = table(spark, sf_dir, "part").select(n.alias("id"), F.concat(F.lit("c"), (n % 40).cast("string")).alias("doc_id"), code.alias("entity_code"), F.concat(F.lit("Établissement "), code).alias("establishment"), _pick(_WHO_HAS, n % 2).alias("beneficiary"), _pick(_OFFER_KINDS, n % 3).alias("offer_type"), body.alias("text"), price.cast("int").alias("price_value"), _pick(_SPEEDS, n % 4).cast("double").alias("speed_mbps"), (n % 9 == 0).alias("is_free"), own.alias("signature_tokens"))
+    k = F.col("s_suppkey")
+    filled = _pick(_QUESTIONS, k % len(_QUESTIONS))
+    for mark, value in (("{p}", (800 + 100 * (k % 5)).cast("string")), ("{s}", _pick(_SPEEDS, k % 4).cast("string")), ("{c}", _pick(_CODES, k % len(_CODES)))):
+        filled = F.replace(filled, F.lit(mark), value)
+    return pipelines.conventions(rows, table(spark, sf_dir, "supplier").select(k.alias("query_id"), filled.alias("query")))
 
 
 _RULED = f"""{ROUTER}, syn2 AS (SELECT key, list(value ORDER BY ordinal) AS m FROM syn WHERE ordinal < 2 GROUP BY 1),

@@ -60,7 +60,7 @@ def read_objects(spark: SparkSession, path: str, schema: str | T.StructType, key
     return good, bad.unionByName(named)
 
 
-def json_container(spark: SparkSession, path: str, schema: str | T.StructType, keys: tuple[str, ...] = ("queries", "products", "data")) -> DataFrame:
+def json_container(spark: SparkSession, path: str, schema: str | T.StructType, keys: tuple[str, ...] = ("queries", "products", "data", "guides")) -> DataFrame:
     """The objects of files that hold a list, an object with a list under one of the keys, or a single object."""
     kind = _struct(schema).simpleString()
     outer = F.from_json("value", f"struct<{', '.join(f'`{k}`: array<{kind}>' for k in keys)}>")
