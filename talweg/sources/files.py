@@ -45,7 +45,7 @@ def json_objects(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 
 def read_objects(spark: SparkSession, path: str, schema: str | T.StructType, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
-    """The objects of a folder's JSON files, and the rejects (path, reason, content): `malformed` files, which give no rows, and objects
+    """The objects of a folder's JSON files, and the rejects (path, reason, content, and the key as far as it was read): `malformed` files, which give no rows, and objects
     with `no <key>`, which stay among the rows. FileNotFoundError without the folder, ValueError without a JSON file in it."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
@@ -54,9 +54,9 @@ def read_objects(spark: SparkSession, path: str, schema: str | T.StructType, key
     full = T.StructType([*_struct(schema).fields, T.StructField("_bad", T.StringType())])
     rows = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.json").json(path).select("*", F.col("_metadata.file_path").alias("_file_path"))
     good = rows.filter("_bad is null").drop("_bad")
-    bad = rows.filter("_bad is not null").select(F.col("_file_path").alias("path"), F.lit("malformed").alias("reason"), F.col("_bad").alias("content"))
+    bad = rows.filter("_bad is not null").select(F.col("_file_path").alias("path"), F.lit("malformed").alias("reason"), F.col("_bad").alias("content"), key)
     nameless = good.filter(F.coalesce(F.col(key), F.lit("")) == "")
-    named = nameless.select(F.col("_file_path").alias("path"), F.lit(f"no {key}").alias("reason"), F.to_json(F.struct(*(c for c in good.columns if c != "_file_path"))).alias("content"))
+    named = nameless.select(F.col("_file_path").alias("path"), F.lit(f"no {key}").alias("reason"), F.to_json(F.struct(*(c for c in good.columns if c != "_file_path"))).alias("content"), key)
     return good, bad.unionByName(named)
 
 

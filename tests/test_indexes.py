@@ -32,7 +32,7 @@ def test_any_order_of_writes_scores_as_one(spark, tmp_path):
     words = ["fibre", "modem", "offre", "prix", "ligne", "carte", "débit"]
     say = lambda: " ".join(rng.choices(words, k=rng.randint(1, 9)))
     state, store = {}, fulltext.Store(spark, f"file://{tmp_path}/a")
-    for step in range(3):
+    for step in range(2):
         new = {i: say() for i in rng.sample(range(30), 12)}
         gone = rng.sample(range(30), 3) if step else []
         gone = [i for i in gone if i not in new]
@@ -105,9 +105,9 @@ def test_topics_labels_and_words(spark):
     rows = spark.createDataFrame([(i, *(d.get(n) for n in names)) for i, d in enumerate(docs)], OFFER)
     known = spark.createDataFrame([("carton", "boite", 0), ("boite", "boite", 1), ("boite", "carton", 2)], "key string, value string, ordinal int")
     got = {}
-    for r in routing.routed(routing.Index.of(rows, known), asked(spark, "paiement", "4g sans engagement", "je suis locataire", "carton", "paiement carte dorée"), known).collect():
+    for r in routing.routed(routing.Index.of(rows, known), asked(spark, "paiement", "4g sans engagement", "je suis locataire", "carton", "paiement carte dorée", "facile"), known).collect():
         got.setdefault(r.query_id, {})[r.doc_id] = r.score
-    assert got[1][0] == 8 and got[1][2] == 2.5 and 1 not in got[1]
+    assert got[1][0] == 8 and 1 not in got[1] and got[6] == {2: 2.5}
     # 32 with words of the label's parts, and of documents without commitment; 0.7 of it with commitment; 15 lost elsewhere
     assert got[2] == {3: 32 + 2.5 * 3, 4: pytest.approx(0.7 * 32 + 2.5)}
     # 15, two label points and the word; less for business segments and for gamer offers
@@ -145,21 +145,14 @@ def test_vector_index_finds_most_and_forgets_what_goes(spark, tmp_path):
 # ---- scorers
 
 
-def _sizes():
-    """A model that scores each pair by its batch's size and tells how often it was loaded."""
-    state = {"loads": 0}
-    state["loads"] += 1
-    return lambda queries, texts: [1000 * state["loads"] + len(texts) for _ in texts]
-
-
-def _letters():
-    return lambda texts: [[t.count(c) for c in "abc"] for t in texts]
-
-
 def test_pairs_are_scored_in_batches(spark):
+    def sizes():
+        """Scores each pair by its batch's size."""
+        return lambda queries, texts: [len(texts) for _ in texts]
+
     pairs = spark.createDataFrame([(i, f"q{i}", None if i == 0 else "x" * 600) for i in range(70)], "query_id long, query string, text string").coalesce(1)
-    got = [int(r.rerank) for r in scorers.CrossEncoder("sizes", _sizes, batch=32).scores(pairs).collect()]
-    assert sorted(set(got)) == [1006, 1032] and len(got) == 70
+    got = [int(r.rerank) for r in scorers.CrossEncoder("sizes", sizes, batch=32).scores(pairs).collect()]
+    assert sorted(set(got)) == [6, 32] and len(got) == 70
     longest = scorers.CrossEncoder("lengths", lambda: lambda q, t: [len(x) for x in t]).scores(pairs).agg(F.max("rerank")).first()[0]
     assert longest == scorers.WINDOW
     assert scorers.CrossEncoder("none", lambda: None).scores(pairs).agg(F.max("rerank")).first()[0] == 0
@@ -168,7 +161,7 @@ def test_pairs_are_scored_in_batches(spark):
 def test_the_first_results_are_ordered_again(spark):
     ranked = spark.createDataFrame([(1, d, 1.0 - d / 10, d) for d in range(1, 6)], "query_id long, doc_id long, score double, rank long")
     texts = spark.createDataFrame([(1, "bbb"), (2, "ab"), (3, "aaa"), (4, "aaaa"), (5, None)], "doc_id long, text string")
-    encoder = scorers.BiEncoder("letters", _letters, query_prefix="", passage_prefix="")
+    encoder = scorers.BiEncoder("letters", lambda: lambda texts: [[t.count(c) for c in "abc"] for t in texts], query_prefix="", passage_prefix="")
     got = scorers.reranked(ranked, texts, asked(spark, "a"), encoder, 3).orderBy("new_rank").collect()
     assert [r.doc_id for r in got] == [3, 2, 1, 4, 5] and got[0].rerank == 1.0 and got[1].rerank == pytest.approx(1 / math.sqrt(2), abs=1e-6)
 
@@ -178,7 +171,7 @@ def test_documents_by_their_best_passage_again(spark):
     passages = spark.createDataFrame([("a1", "A", "x"), ("a2", "A", "xxxxxx"), ("b1", "B", "xxx"), ("c1", "C", "x" * 9)], "passage_id string, doc_id string, text string")
     model = scorers.CrossEncoder("length", lambda: lambda q, t: [len(x) for x in t])
     got = scorers.aggregated(ranked, passages, asked(spark, "q"), model, retrieved=3).collect()
-    assert {(r.doc_id, r.passage_id, r.doc_score) for r in got} == {("A", "a1", pytest.approx(0.5 + 0.27 + 0.14)), ("B", "b1", pytest.approx(1.5 + 0.24 + 0.16))}
+    assert {(r.doc_id, r.passage_id): round(r.doc_score, 6) for r in got} == {("A", "a1"): 0.91, ("B", "b1"): 1.9}
 
 
 # ---- substrings, keys, dictionaries

@@ -141,12 +141,8 @@ def test_results_as_an_application_shows_them(spark):
     assert [(r.query_id, r.found) for r in got["first_errors"].orderBy("query_id").collect()] == [(1, 10), (3, None)] and got["latencies"].first().n == 1
 
 
-def _short():
-    return lambda queries, texts: [-len(x) for x in texts]
-
-
 def test_a_scorer_of_ones_own(spark, tmp_path):
     docs, store = guide_store(spark, tmp_path)
     asked = spark.createDataFrame([(1, "ligne fibre autre")], "query_id long, query string")
-    got = pipelines.guides(docs, asked, store, scorer=scorers.CrossEncoder("short", _short), filters=False).orderBy("new_rank").collect()
+    got = pipelines.guides(docs, asked, store, scorer=scorers.CrossEncoder("short", lambda: lambda queries, texts: [-len(x) for x in texts]), filters=False).orderBy("new_rank").collect()
     assert [r.doc_id for r in got] == [3, 2, 1]
