@@ -100,11 +100,14 @@ _PASSAGE = ("doc_id", "establishment", "entity_code", "passage_type", "text", "p
 
 
 def entity_code(establishment: Column, names: dict[str, str] | None = None) -> Column:
-    """The code of the first name in the establishment's, else its last word in upper case, else UNK."""
-    low = F.lower(_some(establishment))
+    """The code of the first of `names` in the establishment's, else that behind "l'établissement" as a word of its own (any quote, any case; the surveyed map takes A for
+    AD, too), else its last word in upper case, else UNK."""
+    low = F.lower(text.straight_quotes(_some(establishment)))
+    coded = F.upper(F.regexp_extract(low, rf"l'établissement\s+({'|'.join(c.lower() for c in dims.ENTITY_CODES)})(?!{text.WORD})", 1))
     words = F.filter(F.split(_some(establishment), r"\s+"), lambda w: w != "")
     last = F.coalesce(F.upper(F.element_at(F.when(F.size(words) > 0, words), -1)), F.lit("UNK"))
-    return reduce(lambda out, x: F.when(F.contains(low, F.lit(x[0].lower())), x[1]).otherwise(out), reversed(list((names or {}).items())), last)
+    known = F.when(coded != "", coded).otherwise(last)
+    return reduce(lambda out, x: F.when(F.contains(low, F.lit(x[0].lower())), x[1]).otherwise(out), reversed(list((names or {}).items())), known)
 
 
 def passages(docs: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

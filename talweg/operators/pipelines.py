@@ -24,13 +24,6 @@ def query_record(queries: DataFrame) -> DataFrame:
     return out.select("query_id", "query", "expanded", "beneficiary", numeric.query_prices(q).alias("prices"), numeric.query_speeds(q).alias("speeds"), numeric.query_numbers(q).alias("numbers"))
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Written once, as several steps read it: a plan ends there."""
-    path = files.own_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def conventions(passages: DataFrame, queries: DataFrame, dense: DataFrame | None = None, top: int = 5, retrieved: int = 50, scorer: scorers.CrossEncoder | None = None, reranked: int = 30) -> DataFrame:
     """(query_id, doc_id, passage_id, doc_score, rank): the best documents of each query.
 
@@ -39,10 +32,10 @@ def conventions(passages: DataFrame, queries: DataFrame, dense: DataFrame | None
     that name one establishment only its passages stay; signature words raise them; documents are scored over their best passages, with a
     cross-encoder over the best one of each of the `reranked` first passages. passages: those of documents.passages().
     """
-    rows = _kept(passages, "passages")
-    record = _kept(query_record(queries), "record")
+    rows = files.kept(passages, "passages")
+    record = files.kept(query_record(queries), "record")
     intents = rules.classify(queries).select("query_id", "intent")
-    found = _kept(queries.select("query_id", rules.entities(F.col("query")).alias("entities")), "entities")
+    found = files.kept(queries.select("query_id", rules.entities(F.col("query")).alias("entities")), "entities")
     # establishment, class and kind of offer are searched with the text
     body = rows.select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.coalesce("text", F.lit("")), *(F.nullif(c, F.lit("")) for c in ("establishment", "beneficiary", "offer_type"))).alias("text"))
     index = bm25.Index.stored(body, text.passage_words(F.col("text")), files.own_folder(rows.sparkSession, f"bm25-passages-{uuid.uuid4().hex}"))
@@ -53,12 +46,12 @@ def conventions(passages: DataFrame, queries: DataFrame, dense: DataFrame | None
     facts = rows.select(F.col("id").alias("doc_id"), "price_value", "speed_mbps", "is_free")
     boost = numeric.numeric_boost(F.col("prices"), F.col("speeds"), F.col("price_value"), F.col("speed_mbps"), F.col("is_free"))
     boosted = mixed.join(facts, "doc_id").join(record.select("query_id", "prices", "speeds"), "query_id").select("query_id", "doc_id", (F.col("score") * boost).alias("score"))
-    best = _kept(ranking.top_k(boosted, retrieved), "best")
+    best = files.kept(ranking.top_k(boosted, retrieved), "best")
     named = rows.select(F.col("id").alias("doc_id"), F.col("doc_id").alias("home"), "entity_code", "text", "signature_tokens")
-    kept = _kept(rules.entity_filter(best.join(named, "doc_id"), found).join(found, "query_id"), "candidates")
+    kept = files.kept(rules.entity_filter(best.join(named, "doc_id"), found).join(found, "query_id"), "candidates")
     first = F.get("entities", F.lit(0))
     pairs = kept.select("query_id", "doc_id", "entity_code", "text", "signature_tokens", (F.upper("entity_code") != F.upper(first)).alias("mismatch"))
-    owned, weights = (_kept(df, "signatures") for df in (signatures.of_entities(rows, own="signature_tokens"), signatures.idf(rows)))
+    owned, weights = (files.kept(df, "signatures") for df in (signatures.of_entities(rows, own="signature_tokens"), signatures.idf(rows)))
     raised = signatures.factors(pairs, queries, owned, weights)
     scored = kept.join(raised, ["query_id", "doc_id"]).select("query_id", F.col("home").alias("doc_id"), F.col("doc_id").alias("passage_id"), (F.col("score") * F.col("factor")).alias("score"))
     if scorer is not None:
@@ -86,8 +79,8 @@ def offers(docs: DataFrame, queries: DataFrame, synonyms: DataFrame, index: rout
     spark = docs.sparkSession
     index = index or routing.Index.stored(docs, synonyms, files.own_folder(spark, f"routing-{uuid.uuid4().hex}"))
     words = words or bm25.Index.stored(docs.select("doc_id", "text"), text.offer_words(F.col("text")), files.own_folder(spark, f"bm25-offers-{uuid.uuid4().hex}"))
-    tokens = _kept(offer_tokens(queries, synonyms), "tokens")
-    routed = _kept(routing.routed(index, queries.join(tokens.select("query_id"), "query_id", "left_semi"), synonyms), "routed")
+    tokens = files.kept(offer_tokens(queries, synonyms), "tokens")
+    routed = files.kept(routing.routed(index, queries.join(tokens.select("query_id"), "query_id", "left_semi"), synonyms), "routed")
     pool = max(2 * top, 5)
     sparse = bm25.scores(words, tokens, F.col("tokens"), bm25.OFFERS, routed.select("query_id", "doc_id"))
     fused = ranking.top_k(fusion.rules_and_sparse(routed, sparse).select("query_id", "doc_id", F.round("score", 6).alias("score")), pool)
@@ -112,8 +105,8 @@ def guides(docs: DataFrame, queries: DataFrame, store: fulltext.Store, dense: Da
     """
     s = settings or Settings()
     asked = queries.select("query_id", F.trim(F.regexp_replace("query", r"(?U)\s+", " ")).alias("query"))
-    wanted = _kept(rules.tags(asked, dictionary), "tags") if filters else None
-    sparse = _kept(fulltext.search(store, asked, s.sparse_k, doc_type, wanted, digits=None).select("query_id", "doc_id", "score"), "sparse")
+    wanted = files.kept(rules.tags(asked, dictionary), "tags") if filters else None
+    sparse = files.kept(fulltext.search(store, asked, s.sparse_k, doc_type, wanted, digits=None).select("query_id", "doc_id", "score"), "sparse")
     if dense is None:
         fused = sparse
     else:
@@ -122,7 +115,7 @@ def guides(docs: DataFrame, queries: DataFrame, store: fulltext.Store, dense: Da
         near = dense.select("query_id", "doc_id", "score").join(facts, "doc_id")
         if wanted is not None:
             near = near.join(wanted.withColumnRenamed("tags", "wanted_"), "query_id", "left").filter(fulltext.tagged(F.col("tags_"), text.listed(F.col("wanted_"))))
-        near = _kept(ranking.top_k(near.select("query_id", "doc_id", "score"), s.dense_k).drop("rank"), "dense")
+        near = files.kept(ranking.top_k(near.select("query_id", "doc_id", "score"), s.dense_k).drop("rank"), "dense")
         plain = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != ""))
         both = sparse.join(near.select("query_id").distinct(), "query_id", "left_semi")
         mixed = fusion.title_boost(fusion.weighted(both, near, s.dense_weight, s.sparse_weight), asked.select("query_id", plain("query").alias("query_words")), docs.select("doc_id", plain("title").alias("title_words")), s.title_boost)

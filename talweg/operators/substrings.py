@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +35,6 @@ def _level(length: Column) -> Column:
     return F.when(length >= GRAM + WINDOW - 1, 0).when(length >= SHORT, 1).otherwise(2)
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    path = files.own_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def containing(wholes: DataFrame, parts: DataFrame, verify: Column | None = None) -> DataFrame:
     """(whole_id, part_id) where a text (whole_id, whole) contains another (part_id, part); empty parts, which lie in every text, and nulls give no pairs.
 
@@ -54,7 +46,7 @@ def containing(wholes: DataFrame, parts: DataFrame, verify: Column | None = None
     small = F.concat(_hashes(F.col("text_"), 1, F.col("chars_")), _hashes(F.col("text_"), 2, F.col("chars_")))
     one = _split(parts.filter("part <> ''").select("part_id", F.col("part").alias("text_")), "text_").withColumn("level", _level(F.size("chars_")))
     own = F.when(F.col("level") == 0, _leasts(F.col("grams"))).when(F.col("level") == 1, short).when(F.size("chars_") == 2, _hashes(F.col("text_"), 2, F.col("chars_"))).otherwise(_hashes(F.col("text_"), 1, F.col("chars_")))
-    wanted = _kept(one.withColumn("grams", grams).select("part_id", "level", F.explode(F.array_distinct(own)).alias("key")), "grams")
+    wanted = files.kept(one.withColumn("grams", grams).select("part_id", "level", F.explode(F.array_distinct(own)).alias("key")), "grams")
     levels = [r["level"] for r in wanted.select("level").distinct().collect()]  # three at most
     texts = _split(wholes.filter("whole <> ''").select("whole_id", F.col("whole").alias("text_")), "text_").withColumn("grams", grams)
     each = {0: _leasts(F.col("grams")), 1: short, 2: small}
@@ -65,7 +57,7 @@ def containing(wholes: DataFrame, parts: DataFrame, verify: Column | None = None
         emitted = some if emitted is None else emitted.unionByName(some)
     if emitted is None:
         return wholes.select("whole_id").crossJoin(parts.select("part_id")).limit(0)
-    hits = _kept(emitted.join(keys, ["level", "key"]), "gram-hits")
+    hits = files.kept(emitted.join(keys, ["level", "key"]), "gram-hits")
     often = hits.groupBy("level", "key").agg(F.count("*").alias("n"))
     rarest = wanted.join(often, ["level", "key"], "left").groupBy("part_id", "level").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)), "key")).alias("key"))
     pairs = hits.join(rarest, ["level", "key"]).select("whole_id", "part_id").distinct()

@@ -381,7 +381,7 @@ def product_rule(spark, sf_dir):
 
 
 @query("""WITH k AS (SELECT DISTINCT lower(p_type) AS key FROM part UNION SELECT lower(n_name) FROM nation UNION SELECT unnest(['the', 'de la', 'the and', 'être']) UNION SELECT DISTINCT lower(p_name) FROM part)
-SELECT doc_id, count(*) AS named, min(key) AS first FROM documents JOIN k ON CASE WHEN contains(lower(text), key) THEN regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])' || regexp_escape(key) || '($|[^\p{L}\p{N}_])') ELSE false END GROUP BY 1""")
+SELECT doc_id, count(*) AS named, min(key) AS first FROM documents JOIN k ON CASE WHEN contains(lower(text), key) THEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])' || regexp_escape(key) || '($|[^\\p{L}\\p{N}_])') ELSE false END GROUP BY 1""")
 def phrase_matches(spark, sf_dir):
     """Phrases of a dictionary that grows with the tables, as whole words of documents."""
     part = table(spark, sf_dir, "part")

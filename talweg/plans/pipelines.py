@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.functions import dims
-from talweg.operators import documents, fusion, pipelines, ranking, signatures
+from talweg.operators import catalogue, documents, fusion, pipelines, ranking, signatures
 from talweg.plans._sql import PASSAGE_WORDS, PRODUCT_WORDS, WORDS, literal, query, table, values
 from talweg.plans.catalogues import _FACTS, _MODEL_KEYS, _MODELS, _ORDER_FACTS, _PLAIN, _RE2, _TAGS, _conventions, _pick
 from talweg.plans.fulltext import _best, asked, corpus, sections, store
@@ -100,10 +100,11 @@ def timings(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(v), 4).alias("total"), F.round(F.avg(v), 6).alias("mean"), F.min(v).alias("least"), F.max(v).alias("most"), F.count(F.when(v <= 200, 1)).alias("within"))
 
 
-@query("SELECT doc_id, lang, quality, toxic FROM documents JOIN labels USING (doc_id)")
+@query("SELECT item_id % 200 AS doc_id, item_id, lang, source, quality, toxic FROM benchmark b JOIN documents d ON d.doc_id = b.item_id % 200 JOIN labels l ON l.doc_id = d.doc_id")
 def joined_metadata(spark, sf_dir):
-    """Index rows with their documents' metadata."""
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    """Index rows with their documents and these with their metadata."""
+    hits = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 200).alias("doc_id"), "item_id")
+    return catalogue.with_metadata(hits, table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), table(spark, sf_dir, "labels")).select("doc_id", "item_id", "lang", "source", "quality", "toxic")
 
 
 # ---- entry points
@@ -177,7 +178,7 @@ def offer_search(spark, sf_dir):
     return pipelines.offers(offers(spark, sf_dir), questions(spark, sf_dir), synonyms(spark), index(spark, sf_dir))
 
 
-_WANTED = f"""tg AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), wq AS (SELECT DISTINCT item_id AS query_id, value FROM benchmark, tg WHERE CASE WHEN contains(lower(text), key) THEN regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])') ELSE false END), wl AS (SELECT query_id, list(value) AS wanted FROM wq GROUP BY 1),
+_WANTED = f"""tg AS (SELECT * FROM {values(_TAGS, 'key, value, ordinal')}), wq AS (SELECT DISTINCT item_id AS query_id, value FROM benchmark, tg WHERE CASE WHEN contains(lower(text), key) THEN regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])' || regexp_escape(key) || '($|[^\\p{{L}}\\p{{N}}_])') ELSE false END), wl AS (SELECT query_id, list(value) AS wanted FROM wq GROUP BY 1),
 ok AS (SELECT item_id AS query_id, doc_id FROM benchmark CROSS JOIN d LEFT JOIN wl ON wl.query_id = item_id WHERE doc_type = 'section' AND (wanted IS NULL OR len(list_filter(wanted, lambda x: contains(lower(tags), lower(x)))) > 0))"""
 _SPLIT = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '\s+'), lambda w: w <> ''))"
 

@@ -255,7 +255,7 @@ def cascade_one_doc(spark, sf_dir):
     queries = _queries(spark, sf_dir).select(F.col("query_id").alias("part_id"), F.col("query").alias("part"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("whole_id"), F.col("text").alias("whole"))
     whole = substrings.containing(docs, queries).select(F.col("part_id").alias("query_id"), F.col("whole_id").alias("doc_id"), F.lit(1.0).alias("score"))
-    scored = smoothed(spark, sf_dir)
+    scored = files.kept(smoothed(spark, sf_dir), "scored")
     return fusion.cascade(whole, scored.filter("score >= 40"), scored)
 
 

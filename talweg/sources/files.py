@@ -166,6 +166,11 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(path, length, content) of the files under a folder; only the files that are asked for by a filter on path are read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "length", "content")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -190,3 +195,10 @@ def own_folder(spark: SparkSession, name: str) -> str:
 
 
 _OWN: set[str] = set()
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A table written once in own_folder(), as several steps read it: a plan ends there."""
+    path = own_folder(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,9 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
-from talweg.operators import evaluation, fulltext, pipelines, scorers, shaping, signatures
+from talweg.operators import documents, evaluation, fulltext, pipelines, scorers, shaping, signatures
 
 
 def test_factors_by_definition(spark):
@@ -120,6 +121,13 @@ def test_requests_are_checked():
         pipelines.entry_point("3", 5, "page")
 
 
+def test_codes_of_establishments(spark):
+    names = ["L’établissement AD", "Convention de l'Établissement A (Alger)", "l`établissement p", "Établissement Zz", "", None, "L'établissement ADX"]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, e string").orderBy("i")
+    assert [r.c for r in rows.select(documents.entity_code(F.col("e")).alias("c")).collect()] == ["AD", "A", "P", "ZZ", "UNK", "UNK", "ADX"]
+    assert rows.limit(1).select(documents.entity_code(F.col("e"), {"établissement": "Q"}).alias("c")).first().c == "Q"
+
+
 def test_results_as_an_application_shows_them(spark):
     ranked = spark.createDataFrame([(1, 10, 1, 0.123456), (1, 11, 2, 0.1), (1, 12, 3, 0.05), (2, 99, 1, 1.0)], "query_id long, doc_id long, rank long, score double")
     docs = spark.createDataFrame([(10, "A", "x" * 600, "g/à b.pdf"), (11, "A", "y", None), (12, "B", None, "b.pdf")], "doc_id long, title string, text string, s3_key string")
