@@ -49,12 +49,12 @@ _RANK = ranks()
 def lexicon(docs: DataFrame, text_col: str = "text") -> list[str]:
     """The LEXICON words that most documents have, most first, ties in alphabetical order; at most that many come to the driver.
 
-    Words are runs of a-z in lower-case texts. Credential contexts are left out, so that a secret which many copies
+    Words are runs of letters of any script, with their marks, in lower-case texts. Credential contexts are left out, so that a secret which many copies
     hold is no word.
     """
     low = F.lower(F.col(text_col).cast("string"))
     clean = F.when(low.contains(":") | low.contains("="), F.regexp_replace(low, _CONTEXT.pattern, " ")).otherwise(low)
-    words = docs.select(F.explode(F.array_distinct(F.split(clean, "[^a-z]+"))).alias("word")).filter(F.length("word").between(SHORTEST, LONGEST))
+    words = docs.select(F.explode(F.array_distinct(F.split(clean, r"[^\p{L}\p{M}]+"))).alias("word")).filter(F.length("word").between(SHORTEST, LONGEST))
     counted = words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= FEWEST)
     counted = stored(counted.withColumn("step", F.floor(16 * F.log2("n")).cast("int")), "lexicon")
     # how often a word has to come, in steps of a sixteenth power of two, so that no task sends more than it has of the most frequent

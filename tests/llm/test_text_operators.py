@@ -135,6 +135,14 @@ def test_guess_costs_equal_brute_force(parts):
         assert abs(got - want) < 1e-9
 
 
+def test_words_of_every_script_are_no_secrets(spark):
+    """What many documents say elsewhere is cheap to guess behind a credential's name, whatever its letters."""
+    said = "réinitialisation идентификатор Schlüsselwörter κωδικός"
+    docs = [(i, f"{said} {i}") for i in range(6)] + [(10, "password: réinitialisation"), (11, "auth: идентификатор"), (12, "token = Schlüsselwörter"), (13, "secret: жъыфщэзкйц")]
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert "guess" not in found[10] + found[11] + found[12] and found[13] == ["guess"]
+
+
 def test_words_of_the_corpus_are_no_secrets(spark):
     docs = [(i, f"the configuration of authentication number {i} is international") for i in range(8)]
     docs += [(20, "pwd: configuration, credentials: international, auth = authentication"), (21, "pwd: xkvqzjwpfhgt")]
