@@ -40,12 +40,12 @@ def conventions(passages: DataFrame, queries: DataFrame, dense: DataFrame | None
     body = rows.select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.coalesce("text", F.lit("")), *(F.nullif(c, F.lit("")) for c in ("establishment", "beneficiary", "offer_type"))).alias("text"))
     index = bm25.Index.stored(body, text.passage_words(F.col("text")), files.own_folder(rows.sparkSession, f"bm25-passages-{uuid.uuid4().hex}"))
     sparse = bm25.scores(index, record.select("query_id", F.col("expanded").alias("query")), text.passage_words(F.col("query")))
-    sparse = ranking.top_k(sparse, 2 * retrieved).select("query_id", "doc_id", "score")
+    sparse = ranking.top_k(sparse.withColumn("score", F.round("score", 6)), 2 * retrieved).select("query_id", "doc_id", "score")
     near = sparse.limit(0) if dense is None else ranking.top_k(dense, 2 * retrieved).select("query_id", "doc_id", "score")
     mixed = fusion.by_intent(sparse, near, intents).select("query_id", "doc_id", "score")
     facts = rows.select(F.col("id").alias("doc_id"), "price_value", "speed_mbps", "is_free")
     boost = numeric.numeric_boost(F.col("prices"), F.col("speeds"), F.col("price_value"), F.col("speed_mbps"), F.col("is_free"))
-    boosted = mixed.join(facts, "doc_id").join(record.select("query_id", "prices", "speeds"), "query_id").select("query_id", "doc_id", (F.col("score") * boost).alias("score"))
+    boosted = mixed.join(facts, "doc_id").join(record.select("query_id", "prices", "speeds"), "query_id").select("query_id", "doc_id", F.round(F.col("score") * boost, 6).alias("score"))
     best = files.kept(ranking.top_k(boosted, retrieved), "best")
     named = rows.select(F.col("id").alias("doc_id"), F.col("doc_id").alias("home"), "entity_code", "text", "signature_tokens")
     kept = files.kept(rules.entity_filter(best.join(named, "doc_id"), found).join(found, "query_id"), "candidates")

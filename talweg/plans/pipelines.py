@@ -128,10 +128,10 @@ _FOUND = f"""{_PASSAGE}, qs AS (SELECT s_suppkey AS query_id, {_say('s_suppkey')
 ip AS (SELECT * FROM {values(_RE2, 'intent, priority, pattern')}), ih AS (SELECT query_id, intent, priority, sum(len(regexp_extract_all({_PLAIN}, pattern))) AS hits FROM (SELECT query_id, query FROM qs), ip GROUP BY 1, 2, 3 HAVING sum(len(regexp_extract_all({_PLAIN}, pattern))) > 0), im AS (SELECT query_id, max_by(intent, (hits + 0.1 * priority, priority)) AS intent FROM ih GROUP BY 1),
 iw AS (SELECT unnest({literal(list(fusion.INTENT_WEIGHTS))}) AS intent, unnest({literal([b for _, b in fusion.INTENT_WEIGHTS.values()])}) AS sw), ex AS (SELECT query_id, query || CASE WHEN kind = 3 THEN ' ' || {literal(' '.join(w for w in dims.BENEFICIARY_WORDS['cadres_superieurs'][:3] if w not in _QUESTIONS[3]))} ELSE '' END AS query FROM qs),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({PASSAGE_WORDS.format('query')}) AS term FROM ex) GROUP BY 1, 2), dt AS (SELECT id, {PASSAGE_WORDS.format("concat_ws(' ', text, 'Établissement ' || code, who, kind)")} AS toks FROM ps), tot AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
-tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(toks) AS len, unnest(toks) AS term FROM dt) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), bs AS (SELECT query_id, id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), tot GROUP BY 1, 2),
+tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(toks) AS len, unnest(toks) AS term FROM dt) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), bs AS (SELECT query_id, id, round(sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), tot GROUP BY 1, 2),
 b1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM bs) WHERE n <= 100), b2 AS (SELECT query_id, id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS score FROM b1 WINDOW w AS (PARTITION BY query_id)),
 nb AS (SELECT b2.*, list_filter(prices, lambda v: abs(v - price) <= 100)[1] AS np, list_filter(speeds, lambda v: v = speed OR abs(v - speed) <= 0.1 * speed)[1] AS ns, price, speed, coalesce(intent, 'GENERAL') AS intent FROM b2 JOIN ps USING (id) JOIN qs USING (query_id) LEFT JOIN im USING (query_id)),
-b3 AS (SELECT query_id, id, score * sw * CASE WHEN np = price THEN 2 WHEN np IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN ns = speed THEN 2 WHEN ns IS NOT NULL THEN 1.5 ELSE 1 END AS score FROM nb JOIN iw USING (intent)), b4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM b3) WHERE n <= 50),
+b3 AS (SELECT query_id, id, round(score * sw * CASE WHEN np = price THEN 2 WHEN np IS NOT NULL THEN 1.5 ELSE 1 END * CASE WHEN ns = speed THEN 2 WHEN ns IS NOT NULL THEN 1.5 ELSE 1 END, 6) AS score FROM nb JOIN iw USING (intent)), b4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM b3) WHERE n <= 50),
 b5 AS (SELECT query_id, id, score, home, code, own, text, query, len(ents) > 0 AND code <> ents[1] AS off FROM b4 JOIN ps USING (id) JOIN qs USING (query_id) WHERE len(ents) <> 1 OR code = ents[1]),
 gw AS (SELECT id, code, {_TOKENS} AS w FROM ps), gg AS (SELECT id, code, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS token FROM gw),
 gc AS (SELECT code, token, count(*) AS n FROM gg GROUP BY 1, 2), ga AS (SELECT token, sum(n) AS everywhere FROM gc GROUP BY 1), gz AS (SELECT code, sum(n) AS size FROM gc GROUP BY 1), gi AS (SELECT token, ln(((SELECT count(*) FROM ps) + 1) / (count(*) + 1)) + 1 AS idf FROM (SELECT DISTINCT id, token FROM gg) GROUP BY 1),
