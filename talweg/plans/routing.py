@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.operators import routing, rules
+from talweg.operators import ranking, routing, rules
 from talweg.plans._sql import WORDS, literal, query, table, values
 from talweg.plans.catalogues import _pick
 from talweg.sources import files
@@ -129,4 +129,4 @@ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 @query(f"WITH {ROUTER} SELECT query_id, doc_id, score, rank FROM r")
 def rule_router(spark, sf_dir):
     """The fifteen best offers of each question."""
-    return routing.routed(index(spark, sf_dir), questions(spark, sf_dir), synonyms(spark))
+    return ranking.by_text(questions(spark, sf_dir), lambda q: routing.routed(index(spark, sf_dir), q, synonyms(spark)))
