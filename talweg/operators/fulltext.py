@@ -119,7 +119,13 @@ def tagged(tags: Column, wanted: Column) -> Column:
 
 def search(store: Store, queries: DataFrame, top: int = 30, doc_type: str | None = None, wanted: DataFrame | None = None, only: tuple[str, ...] = (), digits: int | None = 6) -> DataFrame:
     """R2: (query_id, doc_id, score, rank): the best documents with a word of the query. Statistics cover all documents; a document type and tags (wanted:
-    query_id, tags) cut the results after that."""
+    query_id, tags) cut the results after that. Without tags each text of a query is searched once."""
+    if wanted is None:
+        return ranking.by_text(queries, lambda q: _search(store, q, top, doc_type, None, only, digits))
+    return _search(store, queries, top, doc_type, wanted, only, digits)
+
+
+def _search(store: Store, queries: DataFrame, top: int, doc_type: str | None, wanted: DataFrame | None, only: tuple[str, ...], digits: int | None) -> DataFrame:
     scored = bm25.scores(store.index(only), queries, match_words(F.col("query")), bm25.FTS5)
     if doc_type is not None or wanted is not None:
         facts = store.live().select(F.col(store.key).alias("doc_id"), *(c for c in ("doc_type", "tags") if c != store.key))
