@@ -48,3 +48,12 @@ def test_the_first_document_of_a_product_is_enough(spark):
     docs = spark.createDataFrame([(7, "ZTE Blade A35"), (5, "zte blade v50")], "doc_id long, name_text string")
     both, one = (sorted(map(tuple, rules.by_product(queries, docs, first=f).collect())) for f in (False, True))
     assert both and one == [min(both)]
+
+
+def test_product_rule_has_every_text_that_meets_another(spark, small):
+    rows = QUERIES["product_rule"](spark, small).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.side, r.key), set()).add(r.text_id)
+    assert {r.side for r in rows} == {"query", "doc"}
+    assert all(r.links == len(by["doc" if r.side == "query" else "query", r.key]) for r in rows)
