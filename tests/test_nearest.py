@@ -36,3 +36,11 @@ def test_vector_queries_compare_no_rows_pair_by_pair(spark, small, capsys):
         QUERIES[name](spark, small).explain()
         plan = capsys.readouterr().out
         assert "CoGroupsInArrow" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_guides_compare_no_rows_pair_by_pair(spark, small, monkeypatch):
+    calls, own = [], nearest.candidates
+    monkeypatch.setattr(nearest, "candidates", lambda q, *x: calls.append(q.count()) or own(q, *x))
+    QUERIES["guide_search"](spark, small)
+    texts = spark.read.parquet(f"{small}/benchmark.parquet").count()
+    assert calls and 0 < calls[0] <= texts
