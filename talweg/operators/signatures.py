@@ -7,33 +7,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from talweg.functions import dims, numeric, text
+from talweg.sources import files
 
 # What makes a token an establishment's own.
 LETTERS, OFTEN, SHARE, LOCAL = 4, 3, 0.6, 0.01
 #: Characters of a token by which queries are searched for it.
 KEY = 4
+#: Bins of hashes in which tokens are counted before they are counted one by one.
+BINS = 1 << 17
 
 
 def tokens(passage: Column) -> Column:
     """Words in lower case, and their runs of two and three."""
-    return text.grams(F.regexp_extract_all(F.lower(passage), F.lit(f"({text.WORD}+)")))
+    return text.grams(_words(passage))
 
 
-def idf(passages: DataFrame, body: str = "text") -> DataFrame:
-    """(token, idf): ln((passages + 1) / (passages with the token + 1)) + 1."""
+def _words(passage: Column) -> Column:
+    return F.regexp_extract_all(F.lower(passage), F.lit(f"({text.WORD}+)"))
+
+
+def _split(passages: DataFrame, body: str, *columns: Column) -> DataFrame:
+    """columns and words_ of each passage. A generator makes the words once; a projection would make them anew wherever they are used."""
+    return passages.select(*columns, F.explode(F.array(_words(F.col(body)))).alias("words_"))
+
+
+def idf(passages: DataFrame, body: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(token, idf): ln((passages + 1) / (passages with the token + 1)) + 1. only: the tokens (token) that are wanted; others are not counted."""
     total = F.broadcast(passages.agg(F.count("*").alias("all")))  # one row
-    each = passages.select(F.explode(F.array_distinct(tokens(F.col(body)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return each.crossJoin(total).select("token", (F.ln((F.col("all") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    # an outer one, as a filter would be made of the others' arrays, which takes them a second time
+    each = _split(passages, body).select(F.explode_outer(F.array_distinct(text.grams(F.col("words_")))).alias("token")).filter("token is not null")
+    if only is not None:
+        each = each.join(only.select("token"), "token", "left_semi")
+    return each.groupBy("token").agg(F.count("*").alias("df")).crossJoin(total).select("token", (F.ln((F.col("all") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def of_entities(passages: DataFrame, entity: str = "entity_code", body: str = "text", own: str | None = None, local: float = LOCAL) -> DataFrame:
     """(entity, token): tokens of LETTERS characters that come OFTEN times in all, more than SHARE of them with the entity and
-    more than `local` of all its tokens; and the words that its passages bring along (own, an array of them)."""
-    counts = passages.select(F.col(entity).alias("entity"), F.explode(tokens(F.col(body))).alias("token")).groupBy("entity", "token").agg(F.count("*").alias("n"))
-    all_ = counts.groupBy("token").agg(F.sum("n").alias("everywhere"))
-    sizes = counts.groupBy("entity").agg(F.sum("n").alias("size"))
-    long = counts.filter(F.length("token") >= LETTERS).join(all_.filter(F.col("everywhere") >= OFTEN), "token").join(sizes, "entity")
-    found = long.filter((F.col("n") / F.col("everywhere") > SHARE) & (F.col("n") / F.col("size") > local)).select("entity", "token")
+    more than `local` of all its tokens; and the words that its passages bring along (own, an array of them).
+
+    A token that an entity has more than `local` of its tokens of lies in a bin of hashes of which it has as many or more: tokens of other bins
+    cannot qualify, and only the rest, a few, are counted one by one.
+    """
+    split = _split(passages, body, F.col(entity).alias("entity"))
+    words = split.select("entity", F.size("words_").cast("long").alias("n"))
+    sizes = words.groupBy("entity").agg(F.sum(F.col("n") + F.greatest(F.col("n") - 1, F.lit(0)) + F.greatest(F.col("n") - 2, F.lit(0))).alias("size"))
+    sizes = files.kept(sizes, "sizes")
+    each = split.select("entity", F.explode_outer(text.grams(F.col("words_"))).alias("token")).filter(F.length("token") >= LETTERS)
+    each = each.withColumn("bin", F.pmod(F.xxhash64("token"), F.lit(BINS)).cast("int"))
+    full = each.groupBy("entity", "bin").agg(F.count("*").alias("n")).join(sizes, "entity").filter(F.col("n") / F.col("size") > local)
+    full = files.kept(full.select("bin").distinct(), "bins")
+    counts = each.join(full, "bin", "left_semi").groupBy("entity", "token").agg(F.count("*").alias("n"))
+    # of a token that has more than half of its places with one entity, that is the entity which has most
+    most = counts.groupBy("token").agg(F.sum("n").alias("everywhere"), F.max_by(F.struct("entity", "n"), "n").alias("most")).select("token", "everywhere", "most.*")
+    found = most.filter((F.col("everywhere") >= OFTEN) & (F.col("n") / F.col("everywhere") > SHARE)).join(sizes, "entity")
+    found = found.filter(F.col("n") / F.col("size") > local).select("entity", "token")
     if own is None:
         return found
     return found.unionByName(passages.select(F.col(entity).alias("entity"), F.explode(F.transform(own, F.lower)).alias("token"))).distinct()
@@ -59,6 +86,12 @@ def _base(spark) -> DataFrame:
     return F.broadcast(spark.createDataFrame(words, "token string"))  # fixed
 
 
+def known(queries: DataFrame, owned: DataFrame) -> DataFrame:
+    """(token): the entities' tokens (entity, token) and fixed words that some query names."""
+    every = owned.select("token").unionByName(_base(queries.sparkSession).select("token"))
+    return files.kept(named(queries, every).select("token").distinct(), "known")
+
+
 def matching(queries: DataFrame, owned: DataFrame, weights: DataFrame) -> DataFrame:
     """(query_id, entity, token, idf) of the entities' tokens (entity, token) that a query names, and of the fixed words with
     entity BASE. A token without a weight counts 1."""

@@ -12,6 +12,7 @@ from talweg.plans.catalogues import _FACTS, _MODEL_KEYS, _MODELS, _ORDER_FACTS,
 from talweg.plans.fulltext import _best, asked, corpus, sections, store
 from talweg.plans.routing import ROUTER, _form, index, offers, questions, synonyms
 from talweg.plans.search import _minmax, _vectors
+from talweg.sources import files
 
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _GRAMS = f"""w AS (SELECT doc_id, source AS entity, {_TOKENS} AS w FROM documents), g AS (SELECT doc_id, entity, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS token FROM w),
@@ -45,7 +46,8 @@ def signature_matches(spark, sf_dir):
     """R13."""
     docs, owned = _sources(spark, sf_dir)
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return signatures.matching(queries, owned, signatures.idf(docs)).withColumn("idf", F.round("idf", 6))
+    owned = files.kept(owned, "signatures")
+    return signatures.matching(queries, owned, signatures.idf(docs, only=signatures.known(queries, owned))).withColumn("idf", F.round("idf", 6))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
