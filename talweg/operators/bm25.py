@@ -25,6 +25,8 @@ SMOOTHED = Variant()
 FTS5 = Variant("floored", 1.2)
 OKAPI = Variant("okapi")
 OFFERS = Variant("okapi", b=0.5, every=True)
+#: Documents of a part of the postings; the scores of a part's documents with all queries are added up in one task.
+PART = 2048
 
 
 def postings(docs: DataFrame, tokens: Column, keep: list[str] = ()) -> DataFrame:
@@ -51,13 +53,15 @@ def query_terms(queries: DataFrame, tokens: Column) -> DataFrame:
 @dataclass(frozen=True)
 class Index:
     """postings (term, doc_id, len, tf), terms (term, df) and total (one row: n, avgdl) of a corpus, with its ids (doc_id).
-    Without terms, df is counted of the postings; lengths (doc_id, len): where postings have none."""
+    Without terms, df is counted of the postings; lengths (doc_id, len): where postings have none. parts: into how many parts postings
+    go by document before they are scored; stored() has them lie so."""
 
     postings: DataFrame
     terms: DataFrame | None
     total: DataFrame
     ids: DataFrame
     lengths: DataFrame | None = None
+    parts: int | None = None
 
     @staticmethod
     def of(docs: DataFrame, tokens: Column) -> Index:
@@ -67,34 +71,43 @@ class Index:
 
     @staticmethod
     def stored(docs: DataFrame, tokens: Column, folder: str) -> Index:
-        """An index that is written to a folder once, texts being read once; a folder that holds one is read. Postings are sorted by
-        term within their files, so that a query's terms are found by the files' statistics."""
+        """An index that is written to a folder once, texts being read once; a folder that holds one is read. Postings lie in buckets of
+        PART documents, sorted by term: no row of a pair of query and document is shuffled until each bucket has its best."""
         spark = docs.sparkSession
         path = lambda name: f"{folder.rstrip('/')}/{name}"
         if not files.exists(spark, path("done")):
-            each = docs.select("doc_id", tokens.alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("len"), "tokens")
+            n = parts(docs.count())
+            each = docs.repartition(n, "doc_id").select("doc_id", tokens.alias("tokens")).select("doc_id", F.size("tokens").cast("long").alias("len"), "tokens")
             rows = each.select("doc_id", "len", F.explode_outer("tokens").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
-            rows.repartitionByRange("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path("postings"))
-            own = spark.read.parquet(path("postings"))
+            files.write_buckets(rows, path("postings"), n, "doc_id", "term", "doc_id")
+            own = files.buckets(spark, path("postings"), n, "doc_id")
             own.filter("term is not null").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(path("terms"))
             own.select("doc_id", "len").distinct().write.mode("overwrite").parquet(path("ids"))
             ids = spark.read.parquet(path("ids"))
             ids.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")).write.mode("overwrite").parquet(path("total"))
-            spark.range(1).write.mode("overwrite").parquet(path("done"))  # last: an index that broke off is made again
+            spark.range(1).select(F.lit(n).alias("parts")).write.mode("overwrite").parquet(path("done"))  # last: an index that broke off is made again
         read = lambda name: spark.read.parquet(path(name))
-        return Index(read("postings").filter("term is not null"), read("terms"), read("total"), read("ids").select("doc_id"))
+        own = files.buckets(spark, path("postings"), read("done").first()["parts"], "doc_id")
+        return Index(own.filter("term is not null"), read("terms"), read("total"), read("ids").select("doc_id"))
+
+
+def parts(n: int) -> int:
+    """Parts for so many documents."""
+    return max(1, -(-n // PART))
 
 
 def scores(index: Index, queries: DataFrame, query_tokens: Column, variant: Variant = SMOOTHED, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, score) of documents with a query term (or of all, for `every`).
 
-    Postings are cut to the queries' terms first, so what is joined and shuffled follows the queries, not the corpus.
-    Statistics cover all documents, whatever `allowed` (query_id, doc_id) leaves.
+    The queries' weighed terms are written once, so that Spark knows their size and brings them to the postings: where these lie by
+    document, or are dealt out so (parts), scores are added up where they lie, and what follows by document or as the best of each query
+    does not shuffle all pairs. Statistics cover all documents, whatever `allowed` (query_id, doc_id) leaves.
     """
     wanted = query_terms(queries, query_tokens)
     tf, terms, total = index.postings, index.terms, index.total
     if index.lengths is not None:
-        tf = tf.join(wanted.select("term").distinct(), "term", "left_semi").join(index.lengths, "doc_id")
+        tf = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+        tf = (tf if index.parts is None else tf.repartition(index.parts, "doc_id")).join(index.lengths, "doc_id")
     if terms is None:
         terms = (index.postings if variant.idf == "okapi" else tf).groupBy("term").agg(F.count("*").alias("df"))
     if variant.idf == "okapi":  # the mean is over the whole vocabulary
@@ -105,6 +118,7 @@ def scores(index: Index, queries: DataFrame, query_tokens: Column, variant: Vari
         odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
         idf = F.ln(odds + 1) if variant.idf == "smoothed" else F.greatest(F.ln(odds), F.lit(1e-6))
     weighed = wanted.join(terms, "term").crossJoin(F.broadcast(total)).select("query_id", "term", "times", idf.alias("idf"), "avgdl")  # one row
+    weighed = files.kept(weighed, "weighed")
     part = F.col("idf") * F.col("tf") * (variant.k1 + 1) / (F.col("tf") + variant.k1 * (1 - variant.b + variant.b * F.col("len") / F.col("avgdl")))
     out = tf.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
     if allowed is not None:
@@ -120,11 +134,15 @@ def _contained(field: Column):
 
 
 def field_boost(scored: DataFrame, queries: DataFrame, docs: DataFrame, query_tokens: Column, fields: dict[str, float]) -> DataFrame:
-    """The score times each field's factor if the field contains one of the query's words."""
-    words = queries.select("query_id", query_tokens.alias("words_"))
-    out = scored.join(words, "query_id").join(docs.select("doc_id", *(F.lower(F.col(f)).alias(f + "_") for f in fields)), "doc_id")
+    """The score times each field's factor if the field contains one of the query's words. Words are tried once for a query and each
+    set of fields that some document has."""
+    lower = docs.select("doc_id", *(F.lower(F.col(f)).alias(f + "_") for f in fields))
+    held = F.struct(*(f + "_" for f in fields))
     factor = F.lit(1.0)
     for f, x in fields.items():
         field = F.col(f + "_")
         factor = factor * F.when(F.exists("words_", _contained(field)), x).otherwise(1.0)
-    return out.select("query_id", "doc_id", (F.col("score") * factor).alias("score"))
+    each = queries.select("query_id", query_tokens.alias("words_")).crossJoin(lower.drop("doc_id").distinct())
+    each = files.kept(each.select("query_id", held.alias("held_"), factor.alias("factor_")), "factors").filter("factor_ <> 1")
+    out = scored.join(lower.select("doc_id", held.alias("held_")), "doc_id").join(each, ["query_id", "held_"], "left")
+    return out.select("query_id", "doc_id", (F.col("score") * F.coalesce("factor_", F.lit(1.0))).alias("score"))

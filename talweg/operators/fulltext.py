@@ -18,7 +18,7 @@ MERGE = 8
 
 
 class Store(Versioned):
-    """A full-text index. Its segments hold `postings` (term, key, tfs: a frequency for each field), sorted by term, `terms` (term, df), and `docs` (key, length over
+    """A full-text index. Its segments hold `postings` (term, key, tfs: a frequency for each field), sorted by term within files, `terms` (term, df), and `docs` (key, length over
     all fields, hash of their texts, kept columns); its versions, number (n) and total length of the living documents."""
 
     def __init__(self, spark: SparkSession, folder: str, fields: tuple[str, ...] = FIELDS, keep: tuple[str, ...] = ("doc_type", "tags"), tokens=text.index_words, key: str = "doc_id"):
@@ -45,7 +45,7 @@ class Store(Versioned):
 
     def _postings(self, name: str, counts: DataFrame) -> None:
         folder = f"{self.folder}/segments/{name}"
-        counts.repartitionByRange("term", self.key).sortWithinPartitions("term", self.key).write.parquet(f"{folder}/postings")
+        counts.sortWithinPartitions("term", self.key).write.parquet(f"{folder}/postings")
         self.segment(name, "postings").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
 
     def write(self, rows: DataFrame, gone: DataFrame | None = None, source: str | None = None) -> None:
@@ -104,7 +104,7 @@ class Store(Versioned):
         rows = self.living("postings", now["segments"]).select("term", self.key, tf.alias("tf")).filter("tf > 0")
         terms = self.segment(now["segments"][0], "terms") if len(now["segments"]) == 1 and not only else None
         total = self.spark.createDataFrame([(facts["n"], facts["length"] / facts["n"] if facts["n"] else None)], "n long, avgdl double")
-        return bm25.Index(rows.withColumnRenamed(self.key, "doc_id"), terms, total, docs.select(F.col(self.key).alias("doc_id")), lengths.withColumnRenamed(self.key, "doc_id"))
+        return bm25.Index(rows.withColumnRenamed(self.key, "doc_id"), terms, total, docs.select(F.col(self.key).alias("doc_id")), lengths.withColumnRenamed(self.key, "doc_id"), bm25.parts(facts["n"]))
 
 
 def match_words(query: Column) -> Column:

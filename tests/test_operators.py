@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from talweg.operators import bm25, catalogue, evaluation, fusion, ranking
+from talweg.operators import bm25, catalogue, evaluation, fusion, ranking, signatures
 from talweg.sources import files
 from talweg.streaming import queries as streaming
 
@@ -96,3 +96,36 @@ def test_a_stored_index_scores_as_one_made_anew(spark, tmp_path):
             got, want = (sorted(map(tuple, bm25.scores(i, asked, F.col("t"), variant).collect())) for i in (bm25.Index.stored(docs, F.col("t"), folder), bm25.Index.of(docs, F.col("t"))))
             assert [(q, d) for q, d, _ in got] == [(q, d) for q, d, _ in want]
             assert all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(got, want, strict=True))
+
+
+def test_scores_of_a_stored_index_are_added_up_where_postings_lie(spark, tmp_path):
+    docs = spark.createDataFrame([(i, [f"w{i % 7}", f"w{i % 3}", f"x{i}"]) for i in range(5000)], "doc_id long, t array<string>")
+    asked = spark.createDataFrame([(i, [f"w{i}", "w1"]) for i in range(5)], "query_id long, t array<string>")
+    out = ranking.top_k(bm25.scores(bm25.Index.stored(docs, F.col("t"), f"file://{tmp_path}/index"), asked, F.col("t")), 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(dealt) == 1 and "query_id" in dealt[0] and "doc_id" not in dealt[0].split("ENSURE")[0]
+    assert out.count() == 15
+
+
+def test_field_boost_tries_words_once_for_a_set_of_fields(spark):
+    docs = spark.createDataFrame([(i, "EN" if i % 2 else None, "src") for i in range(6)], "doc_id long, lang string, source string")
+    asked = spark.createDataFrame([(1, ["e", "rc"]), (2, ["x"]), (3, None)], "query_id long, words array<string>")
+    scored = spark.createDataFrame([(q, d, 1.0) for q in (1, 2, 3) for d in range(6)], "query_id long, doc_id long, score double")
+    out = bm25.field_boost(scored, asked, docs, F.col("words"), {"lang": 1.5, "source": 2.0})
+    assert {(r.query_id, r.doc_id): r.score for r in out.collect()} == {(q, d): (3.0 if d % 2 else 2.0) if q == 1 else 1.0 for q in (1, 2, 3) for d in range(6)}
+    assert "words_" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_tokens_of_full_bins_are_counted_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(signatures, "BINS", 2)  # every bin holds several tokens
+    rows = [("A", "alpha alpha beta alpha beta gamma"), ("B", "beta delta delta delta delta"), ("A", None), (None, "omega omega omega"), ("C", "")]
+    got = signatures.of_entities(spark.createDataFrame(rows, "entity_code string, text string"), local=0.1)
+    assert sorted(map(tuple, got.collect())) == [("A", "alpha"), ("A", "beta"), ("B", "delta"), ("B", "delta delta")]
+
+
+def test_document_frequencies_of_wanted_tokens_alone(spark):
+    docs = spark.createDataFrame([(1, "a b a b"), (2, "b c"), (3, None)], "doc_id long, text string")
+    every = {r.token: r.idf for r in signatures.idf(docs).collect()}
+    some = {r.token: r.idf for r in signatures.idf(docs, only=spark.createDataFrame([("b",), ("a b",), ("z",)], "token string")).collect()}
+    assert some == {t: every[t] for t in ("b", "a b")}
