@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,6 +187,16 @@ def test_substrings_of_every_length(spark):
     assert sorted(map(tuple, got.collect())) == sorted((i, j) for i, w in enumerate(wholes) if w for j, p in enumerate(parts) if p and p in w)
 
 
+def test_a_text_is_keyed_once_for_all_its_characters(spark):
+    wholes = spark.createDataFrame([(1, "été " * 5000 + "fin du texte entier")], "whole_id long, whole string")
+    parts = spark.createDataFrame([(1, "fin du texte entier"), (2, "té é"), (3, "é")], "part_id long, part string")
+    out = substrings.containing(wholes, parts)
+    assert sorted(map(tuple, out.collect())) == [(1, 1), (1, 2), (1, 3)]
+    few = substrings._keys(substrings._of_text, (0, 1, 2))
+    keys = pa.Table.from_batches(few(pa.table({"id": [7], "t": pa.array(["été " * 5000 + "x"], pa.binary())}).to_batches()))
+    assert keys.num_rows < 60 and set(keys.column("id").to_pylist()) == {7}
+
+
 def test_a_large_dictionary_names_the_same(spark):
     small = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate((k, v) for k, vs in rules.dims.TAG_WORDS.items() for v in vs)], "key string, value string, ordinal int")
     large = small.unionByName(spark.range(20000).select(F.concat(F.lit("terme "), F.col("id").cast("string")).alias("key"), F.lit("T").alias("value"), (F.col("id") + 1000).cast("int").alias("ordinal")))
