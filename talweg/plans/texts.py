@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.functions import dims, numeric, text
-from talweg.operators import rules
+from talweg.operators import ranking, rules
 from talweg.plans._sql import PASSAGE_WORDS, PRODUCT_WORDS, WORDS, literal, query, spread, spread_rows, table, values
 
 PHRASES = [
@@ -74,7 +74,8 @@ _SPACES = r"'[\s\x{00A0}\x{202F}]+', ' ', 'g'"
 translate(text, '’‘`', '''''''') AS quotes, lower(trim(text)) AS title, trim(regexp_replace(lower(text), {_SPACES})) AS folded FROM {spread(_LABELS, 'id, text', 'customer', 'c_custkey')}""")
 def label_forms(spark, sf_dir):
     t = F.col("text")
-    return spread_rows(table(spark, sf_dir, "customer"), _LABELS, "id long, text string", "c_custkey").select("id", text.label_form(t).alias("label"), text.repaired(t).alias("repaired"), text.straight_quotes(t).alias("quotes"), text.title_form(t).alias("title"), text.folded(t).alias("folded"))
+    forms = lambda q: q.select("id", text.label_form(t).alias("label"), text.repaired(t).alias("repaired"), text.straight_quotes(t).alias("quotes"), text.title_form(t).alias("title"), text.folded(t).alias("folded"))
+    return ranking.by_text(spread_rows(table(spark, sf_dir, "customer"), _LABELS, "id long, text string", "c_custkey"), forms, "id", "text")
 
 
 @query(f"""WITH t AS (SELECT item_id, {PASSAGE_WORDS.format('text')} AS w FROM benchmark), g AS (
