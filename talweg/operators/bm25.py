@@ -96,12 +96,13 @@ def parts(n: int) -> int:
     return max(1, -(-n // PART))
 
 
-def scores(index: Index, queries: DataFrame, query_tokens: Column, variant: Variant = SMOOTHED, allowed: DataFrame | None = None) -> DataFrame:
+def scores(index: Index, queries: DataFrame, query_tokens: Column, variant: Variant = SMOOTHED, allowed: DataFrame | None = None, alike: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, doc_id, score) of documents with a query term (or of all, for `every`).
 
     The queries' weighed terms are written once, so that Spark knows their size and brings them to the postings: where these lie by
     document, or are dealt out so (parts), scores are added up where they lie, and what follows by document or as the best of each query
-    does not shuffle all pairs. Statistics cover all documents, whatever `allowed` (query_id, doc_id) leaves.
+    does not shuffle all pairs. Statistics cover all documents, whatever `allowed` (query_id, doc_id) leaves, or `alike`, the groups of
+    queries (query_id, group) and of documents (doc_id, group), distinct both: pairs of a group alone are scored.
     """
     wanted = query_terms(queries, query_tokens)
     tf, terms, total = index.postings, index.terms, index.total
@@ -118,13 +119,16 @@ def scores(index: Index, queries: DataFrame, query_tokens: Column, variant: Vari
         odds = (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)
         idf = F.ln(odds + 1) if variant.idf == "smoothed" else F.greatest(F.ln(odds), F.lit(1e-6))
     weighed = wanted.join(terms, "term").crossJoin(F.broadcast(total)).select("query_id", "term", "times", idf.alias("idf"), "avgdl")  # one row
+    by = ["term"]
+    if alike is not None:
+        weighed, tf, by = weighed.join(alike[0], "query_id"), tf.join(alike[1].hint("shuffle_hash"), "doc_id"), ["term", "group"]
     weighed = files.kept(weighed, "weighed")
     part = F.col("idf") * F.col("tf") * (variant.k1 + 1) / (F.col("tf") + variant.k1 * (1 - variant.b + variant.b * F.col("len") / F.col("avgdl")))
-    out = tf.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
+    out = tf.join(weighed, by).groupBy("query_id", "doc_id").agg(F.sum(part * F.col("times")).alias("score"))
     if allowed is not None:
         out = out.join(allowed, ["query_id", "doc_id"], "left_semi")
     if variant.every:  # a score for every document of every query is the feature here
-        pairs = allowed if allowed is not None else queries.select("query_id").crossJoin(index.ids)
+        pairs = allowed if allowed is not None else alike[0].join(alike[1], "group").select("query_id", "doc_id") if alike is not None else queries.select("query_id").crossJoin(index.ids)
         out = pairs.join(out, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out
 

@@ -3,6 +3,8 @@ import json
 from pyspark.sql import functions as F
 
 from talweg.operators import bm25, catalogue, evaluation, fusion, ranking, signatures
+from talweg.plans import search
+from talweg.plans.registry import QUERIES
 from talweg.sources import files
 from talweg.streaming import queries as streaming
 
@@ -129,3 +131,23 @@ def test_document_frequencies_of_wanted_tokens_alone(spark):
     every = {r.token: r.idf for r in signatures.idf(docs).collect()}
     some = {r.token: r.idf for r in signatures.idf(docs, only=spark.createDataFrame([("b",), ("a b",), ("z",)], "token string")).collect()}
     assert some == {t: every[t] for t in ("b", "a b")}
+
+
+def test_scores_of_groups_are_those_of_allowed_pairs(spark):
+    docs = spark.createDataFrame([(i, [f"w{i % 4}", "w1"], i % 3) for i in range(20)], "doc_id long, t array<string>, group int")
+    asked = spark.createDataFrame([(i, [f"w{i}", "w1"], i % 3) for i in range(5)], "query_id long, t array<string>, group int")
+    index, groups = bm25.Index.of(docs, F.col("t")), (asked.select("query_id", "group"), docs.select("doc_id", "group"))
+    pairs = groups[0].join(groups[1], "group").select("query_id", "doc_id")
+    for variant in (bm25.SMOOTHED, bm25.OFFERS):
+        got = bm25.scores(index, asked, F.col("t"), variant, alike=groups)
+        want = bm25.scores(index, asked, F.col("t"), variant, pairs)
+        assert sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in got.collect()) == sorted((r.query_id, r.doc_id, round(r.score, 9)) for r in want.collect())
+
+
+def test_label_forms_go_by_text_and_the_cascade_keeps_one_document(spark, small, monkeypatch):
+    calls, own = [], ranking.by_text
+    monkeypatch.setattr(ranking, "by_text", lambda *x: calls.append("text") or own(*x))
+    monkeypatch.setattr(search.files, "kept", lambda df, name, own=files.kept: calls.append((name, df.columns)) or own(df, name))
+    QUERIES["label_forms"](spark, small)
+    QUERIES["cascade_one_doc"](spark, small)
+    assert "text" in calls and ("best", ["query_id", "doc_id", "score", "rank"]) in calls
