@@ -259,6 +259,45 @@ def test_a_family_of_alike_lines(spark):
     assert sum(r.removed for r in got) > 60 and sum(r.emptied for r in got) == sum(r.removed for r in got)
 
 
+def test_alike_lines_that_share_a_very_common_block_alone(spark):
+    """Lines of 29 words fall into six blocks; a hundred lines have the same words in one of them. Two of these lines are alike, but
+    differ in each of the other blocks: they meet over the common one only."""
+    rng = random.Random(4)
+    vocabulary = list(dict.fromkeys("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6000)))
+    pairs = [(w, w[:-1] + "z") for w in vocabulary]
+    block = lambda c: F.pmod(F.shiftright(F.xxhash64(c), 9), F.lit(6)).cast("int")
+    known = spark.createDataFrame(pairs, "w string, z string").select("w", "z", block("w").alias("b"), block("z").alias("bz")).collect()
+    common = [r.w for r in known if r.b == 0][:4]
+    of = [[r for r in known if r.b == b and r.bz > 0] for b in range(1, 6)]
+    some = [x[:5] for x in of]
+    line = [r.w for b in some for r in b]
+    other = [r.z if i == 0 else r.w for b in some for i, r in enumerate(b)]
+    far = [[rng.choice([r.w for r in of[b]]) for b in range(5) for _ in range(5)] for _ in range(100)]
+    texts = [*far[:50], line, other, *far[50:]]
+    rows = [(i, " ".join([*common, *x])) for i, x in enumerate(texts)]
+    assert distance(rows[50][1], rows[51][1]) == 5 <= 0.1 * len(rows[50][1])
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("lines_.emptied").collect()
+    assert [r.doc_id for r in got] == [51]
+
+
+def test_edit_distance_of_what_lines_do_not_share(spark):
+    """Against plain edit distances: words put in, left out, repeated and replaced at either end and between."""
+    rng, rows = random.Random(6), []
+    for _ in range(300):
+        base = [rng.choice(("a", "bb", "ab", "abc", "cab")) for _ in range(rng.randint(1, 14))]
+        out = list(base)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.choice((0, len(out), rng.randint(0, len(out))))
+            out[at : at + rng.randint(0, 1)] = rng.choice(([], ["a"], ["bb", "a"], base[:1]))
+        if out:
+            rows.append((" ".join(base), " ".join(out)))
+    texts = [(i, t) for i, t in enumerate(t for r in rows for t in r)]
+    pairs = [(2 * i, 2 * i + 1) for i in range(len(rows))]
+    got = line_dedup.confirmed(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "line long, norm string"))
+    want = {2 * i for i, (x, y) in enumerate(rows) if distance(x, y) <= int(0.1 * max(len(x), len(y)))}
+    assert {r.a for r in got.collect()} == want and 0 < len(want) < len(rows)
+
+
 def test_odd_lines(spark, odd, none, tmp_path):
     got = line_dedup.dedup(odd[0])
     assert got.columns == [*odd[0].columns, "lines_"]
