@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from talweg.functions import text
 from talweg.operators import bm25, catalogue, fulltext, fusion, routing, rules, scorers, substrings, timing
 from talweg.operators.vector_index import VectorIndex
+from talweg.plans import search
 from talweg.sources import files, workers  # noqa: F401
 
 GUIDES = "doc_id long, doc_type string, text string, guide_title string, section_title string, tags string"
@@ -167,6 +168,16 @@ def test_the_first_results_are_ordered_again(spark):
     assert [r.doc_id for r in got] == [3, 2, 1, 4, 5] and got[0].rerank == 1.0 and got[1].rerank == pytest.approx(1 / math.sqrt(2), abs=1e-6)
 
 
+def test_results_come_to_the_texts_that_are_looked_through_again(spark, small):
+    """Texts of documents are not shuffled, however large they are; what is found of them is small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "65536")
+    try:
+        plan = search.heuristic_rerank(spark, small)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_documents_by_their_best_passage_again(spark):
     ranked = spark.createDataFrame([(1, "a1", 0.9), (1, "a2", 0.5), (1, "b1", 0.8), (1, "c1", 0.1)], "query_id long, passage_id string, score double")
     passages = spark.createDataFrame([("a1", "A", "x"), ("a2", "A", "xxxxxx"), ("b1", "B", "xxx"), ("c1", "C", "x" * 9)], "passage_id string, doc_id string, text string")
