@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from talweg.functions import dims, numeric, text
 from talweg.operators import rules
+from talweg.sources import files
 
 
 def _line(label: str, value: Column) -> Column:
@@ -119,7 +120,10 @@ def passages(docs: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     category of an offer is `Tous`. names: codes of establishments by a part of their names.
     """
     null = lambda kind: F.lit(None).cast(kind)
-    docs = docs.withColumn("establishment", _some(F.col("establishment"))).withColumn("entity_code", entity_code(F.col("establishment"), names))
+    docs = docs.withColumn("establishment", _some(F.col("establishment")))
+    # a code is made once for each establishment, not for each convention and type of passage
+    codes = docs.select("establishment").distinct().withColumn("entity_code", entity_code(F.col("establishment"), names))
+    docs = docs.join(files.kept(codes, "codes"), "establishment")
     docs = docs.withColumn("keywords", text.listed(F.col("keywords")) if "keywords" in docs.columns else F.array().cast("array<string>"))
     head = ("doc_id", "establishment", "entity_code", "keywords")
 
@@ -139,7 +143,7 @@ def passages(docs: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
             (offer if offer is not None else null("string")).alias("offer_type"),
             (segment if segment is not None else null("string")).alias("category_segment"),
             "keywords",
-            (F.array_sort(F.array_distinct(signs)) if signs is not None else none).alias("signature_tokens"),
+            (F.sort_array(F.array_distinct(signs)) if signs is not None else none).alias("signature_tokens"),
         )
 
     signs = lambda body, who=None: rules.signature_words(body, who if who is not None else null("string"))
@@ -153,11 +157,14 @@ def passages(docs: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     segment, upper = F.coalesce("o.category_segment", F.lit("Tous")), F.upper(o("offer_type"))
     kind = F.when(text.either(upper, ("FIBRE", "FTTH")), "FIBRE").when(text.either(upper, ("VDSL",)), "VDSL").when(text.either(upper, ("ADSL",)), "ADSL").otherwise(upper)
     extra = lambda before, after: F.when(o("benefits") != "", F.concat(F.lit(before), o("benefits"), F.lit(after))).otherwise("")
-    who, price = numeric.beneficiary(segment), numeric.price(o("price"))
+    # a generator makes an offer's class, price and kind once; a projection would make them anew wherever they are used
+    made = F.struct("o", segment.alias("segment"), numeric.beneficiary(segment).alias("who"), numeric.price(o("price")).alias("price"), kind.alias("kind"))
+    net = net.select(*head, "idx", F.inline(F.array(made)))
+    segment, who, price, kind = (F.col(c) for c in ("segment", "who", "price", "kind"))
     body = F.concat(F.lit("[Benef="), who, F.lit("] Idoom "), kind, F.lit(" "), o("speed"), F.lit(" à "), o("price"), extra(" (", ")"))
     offers = rows(net, "OFFER", "internet_offer", F.col("idx"), "[Type=Offer]", body, price, numeric.speed(o("speed")), F.contains(F.lower(o("price")), F.lit("gratuit")) | (price == 0), who, kind, segment, signs(segment, who))
     tel = docs.select(*head, F.posexplode("telephony_offers_table").alias("idx", "o"))
-    phone = rows(tel, "TELEPHONY", "telephony", F.col("idx"), "[Type=Telephony] ", F.concat(o("offer"), F.lit(": "), o("price"), extra(" - ", "")), price, offer=F.lit("FIXE"))
+    phone = rows(tel, "TELEPHONY", "telephony", F.col("idx"), "[Type=Telephony] ", F.concat(o("offer"), F.lit(": "), o("price"), extra(" - ", "")), numeric.price(o("price")), offer=F.lit("FIXE"))
     tables = docs.select(*head, F.posexplode("other_tables").alias("at", "t")).select(*head, "at", _some(F.col("t.table_name")).alias("table_name"), F.posexplode("t.data").alias("idx", "cells"))
     is_equipment = text.either(F.upper("table_name"), ("ONT", "ÉQUIPEMENT", "MODEM"))
     cell = lambda *names_: F.coalesce(*(F.element_at("cells", F.lit(n)) for n in names_), F.lit(""))

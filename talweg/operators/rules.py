@@ -158,7 +158,8 @@ def beneficiary_expansion(queries: DataFrame, most: int = 3) -> DataFrame:
 def signature_words(passage: Column, class_: Column) -> Column:
     """The signature words in a passage, then its class in lower case."""
     known = [w for words in dims.SIGNATURE_WORDS.values() for w in words]
-    found = F.filter(F.array(*map(F.lit, known)), lambda w: F.contains(F.lower(passage), w))
+    low = F.lower(passage)  # outside of any lambda, where Spark makes it once for all words
+    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in known)))
     return F.concat(found, F.when(class_.isNull(), F.array().cast("array<string>")).otherwise(F.array(F.lower(class_))))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from talweg.functions import text
 from talweg.operators import bm25, catalogue, fulltext, fusion, routing, rules, scorers, substrings, timing
 from talweg.operators.vector_index import VectorIndex
-from talweg.plans import search
+from talweg.plans import catalogues, search
 from talweg.sources import files, workers  # noqa: F401
 
 GUIDES = "doc_id long, doc_type string, text string, guide_title string, section_title string, tags string"
@@ -241,3 +241,9 @@ def test_stages_are_timed_by_their_own_run(spark, tmp_path):
     assert (sums.n, sums.mean, sums.median, sums.quick) == (3, 200.0, 200.0, 2)
     assert catalogue.resolved(spark.createDataFrame([("data/a/b.pdf",)], "path string"), spark.createDataFrame([("/r/b.pdf",)], "path string"), "/r/").first()[:] == ("data/a/b.pdf", "/r/b.pdf", True)
     assert bm25.OFFERS.b == 0.5 and text.WORD
+
+
+def test_a_code_is_made_once_for_each_establishment(spark, small):
+    """Types of passages read the codes; none makes them anew of each convention."""
+    plan = catalogues.convention_passages(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "l'établissement" not in plan and "entity_code" in plan
