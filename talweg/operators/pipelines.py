@@ -52,7 +52,8 @@ def _conventions(passages: DataFrame, queries: DataFrame, dense: DataFrame | Non
     mixed = fusion.by_intent(sparse, near, intents).select("query_id", "doc_id", "score")
     facts = rows.select(F.col("id").alias("doc_id"), "price_value", "speed_mbps", "is_free")
     boost = numeric.numeric_boost(F.col("prices"), F.col("speeds"), F.col("price_value"), F.col("speed_mbps"), F.col("is_free"))
-    boosted = mixed.join(facts, "doc_id").join(record.select("query_id", "prices", "speeds"), "query_id").select("query_id", "doc_id", F.round(F.col("score") * boost, 6).alias("score"))
+    # passages are many short rows that files hold in few bytes: without the hint Spark would take them for small and bring all of them to the driver
+    boosted = mixed.join(facts.hint("merge"), "doc_id").join(record.select("query_id", "prices", "speeds"), "query_id").select("query_id", "doc_id", F.round(F.col("score") * boost, 6).alias("score"))
     best = files.kept(ranking.top_k(boosted, retrieved), "best")
     named = rows.select(F.col("id").alias("doc_id"), F.col("doc_id").alias("home"), "entity_code", "text", "signature_tokens")
     kept = files.kept(rules.entity_filter(best.join(named, "doc_id"), found).join(found, "query_id"), "candidates")
